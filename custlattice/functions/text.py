@@ -83,15 +83,18 @@ def tokens(text: Column) -> Column:
     return F.split(F.lower(text), TOKEN_SPLIT)
 
 
-def _among(hits: Column, terms) -> Column:
-    if not terms:
-        return F.array().cast("array<string>")
-    return F.filter(hits, lambda t: t.isin(list(terms)))
+def _words(terms) -> Column:
+    return F.array(*[F.lit(t) for t in terms]).cast("array<string>")
+
+
+def _known_tokens(text: Column, terms) -> Column:
+    return F.filter(tokens(text), lambda t: t.isin(list(terms)))
 
 
 def _score(hits: Column, lexicon: Lexicon) -> Column:
-    good = F.size(_among(hits, lexicon.positive))
-    bad = F.size(_among(hits, lexicon.negative))
+    """Both lists are counted with repetitions; a word on both counts on both sides."""
+    good = F.size(F.filter(hits, lambda t: t.isin(list(lexicon.positive))))
+    bad = F.size(F.filter(hits, lambda t: t.isin(list(lexicon.negative))))
     score = (good - bad).cast("double") / F.nullif(good + bad, F.lit(0))
     return F.when(hits.isNotNull(), F.coalesce(F.round(score, 6), F.lit(0.0)))
 
@@ -107,14 +110,14 @@ def sentiment_label(score: Column) -> Column:
 
 def _entities(hits: Column, lexicon: Lexicon) -> Column:
     lists = [
-        F.array_sort(F.array_distinct(_among(hits, lexicon.entities.get(k, ())))).alias(k)
+        F.sort_array(F.array_intersect(hits, _words(lexicon.entities.get(k, ())))).alias(k)
         for k in ENTITY_KINDS
     ]
     return F.when(hits.isNotNull(), F.struct(*lists))
 
 
 def _intents(hits: Column, lexicon: Lexicon) -> Column:
-    flags = [(F.size(_among(hits, lexicon.intents.get(k, ()))) > 0).alias(k) for k in INTENTS]
+    flags = [F.arrays_overlap(hits, _words(lexicon.intents.get(k, ()))).alias(k) for k in INTENTS]
     return F.when(hits.isNotNull(), F.struct(*flags))
 
 
@@ -144,10 +147,10 @@ def with_signals(
     that a consumer does not select are pruned again.
     """
     known = lexicon.terms()
-    out = docs.withColumn("_hits", F.filter(tokens(text), lambda t: t.isin(known)))
+    out = docs.withColumn("_hits", _known_tokens(text, known))
     intent_hits = F.col("_hits")
     if intent_text is not None:
-        out = out.withColumn("_intent_hits", F.filter(tokens(intent_text), lambda t: t.isin(known)))
+        out = out.withColumn("_intent_hits", _known_tokens(intent_text, known))
         intent_hits = F.col("_intent_hits")
     return (
         out.withColumn("sentiment_score", _score(F.col("_hits"), lexicon))

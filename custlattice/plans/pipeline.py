@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from datetime import datetime
 from functools import cached_property
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,12 +15,11 @@ from custlattice.operators import enrich, events, evidence, health, moments, wor
 from custlattice.sources import tables as store
 
 
-def run_scoring(
-    tables: dict[str, DataFrame], signals: DataFrame, as_of: datetime
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Events, moments and health, in this order."""
-    found = moments.detect_moments(signals, tables["policy"], tables["claim"], as_of)
-    scored = health.customer_health(
+def score_health(
+    tables: dict[str, DataFrame], signals: DataFrame, found: DataFrame, as_of: datetime
+) -> DataFrame:
+    """Health from the source tables, the text signals and the detected moments."""
+    return health.customer_health(
         tables["customer"],
         signals,
         health.agg_claims(tables["claim"]),
@@ -30,31 +28,39 @@ def run_scoring(
         health.agg_moments(found),
         as_of,
     )
-    return events.customer_events(tables, as_of), found, scored
+
+
+def run_scoring(
+    tables: dict[str, DataFrame], signals: DataFrame, as_of: datetime
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Events, moments and health, in this order."""
+    found = moments.detect_moments(signals, tables["policy"], tables["claim"], as_of)
+    return events.customer_events(tables, as_of), found, score_health(tables, signals, found, as_of)
 
 
 @dataclass
 class Workspace:
-    """All derived tables as lazy DataFrames over the nine source tables.
+    """All derived tables over the nine source tables, each built when first asked for.
 
-    Three small tables are persisted because many rules read them: the text signals (the only
-    result of scoring the texts), the health rows, both one narrow row per customer, and the
-    actions. Lost blocks are recomputed from their lineage. Detail rows and texts are never cached.
+    Four small tables that many rules read are written below the session's checkpoint folder and
+    read back: the text signals and the health rows (one narrow row per customer), the moments and
+    the actions. That ends their lineage: a lost executor repeats at most one stage, and the plans
+    on top stay small. Detail rows and texts are never copied.
     """
 
     tables: dict[str, DataFrame]
     as_of: datetime
     lexicon: Lexicon
     prior_actions: DataFrame | None = None
-    _cached: list[DataFrame] = field(default_factory=list)
 
-    def _keep(self, df: DataFrame) -> DataFrame:
-        self._cached.append(df.persist(StorageLevel.MEMORY_AND_DISK))
-        return self._cached[-1]
+    @cached_property
+    def _root(self) -> str:
+        return store.scratch_dir(self.tables["customer"].sparkSession)
 
-    def release(self) -> None:
-        while self._cached:
-            self._cached.pop().unpersist()
+    def _stage(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self._root}/{name}"
+        df.write.mode("overwrite").parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
 
     @cached_property
     def wide(self) -> DataFrame:
@@ -62,7 +68,7 @@ class Workspace:
 
     @cached_property
     def signals(self) -> DataFrame:
-        return self._keep(enrich.customer_signals(self.wide))
+        return self._stage(enrich.customer_signals(self.wide), "signals")
 
     @cached_property
     def enrichment(self) -> DataFrame:
@@ -82,11 +88,12 @@ class Workspace:
 
     @cached_property
     def moments(self) -> DataFrame:
-        return moments.detect_moments(self.signals, self.tables["policy"], self.tables["claim"], self.as_of)
+        found = moments.detect_moments(self.signals, self.tables["policy"], self.tables["claim"], self.as_of)
+        return self._stage(found, "moments")
 
     @cached_property
     def health(self) -> DataFrame:
-        return self._keep(run_scoring(self.tables, self.signals, self.as_of)[2])
+        return self._stage(score_health(self.tables, self.signals, self.moments, self.as_of), "health")
 
     @cached_property
     def actions(self) -> DataFrame:
@@ -94,7 +101,7 @@ class Workspace:
         if prior is None:
             spark = self.tables["customer"].sparkSession
             prior = spark.createDataFrame([], store.SCHEMAS["next_best_action"])
-        return self._keep(nba.generate_nba(self.tables, self.signals, self.health, prior, self.as_of))
+        return self._stage(nba.generate_nba(self.tables, self.signals, self.health, prior, self.as_of), "actions")
 
     @cached_property
     def corpus(self) -> DataFrame:
@@ -138,12 +145,7 @@ def run_pipeline(
         ),
     }
     out["customer_health"] = publish(
-        health.customer_health(
-            tables["customer"], signals, health.agg_claims(tables["claim"]),
-            health.agg_payments(tables["payment"]), health.agg_engagement(tables["interaction"], as_of),
-            health.agg_moments(out["customer_moment"]), as_of,
-        ),
-        "customer_health",
+        score_health(tables, signals, out["customer_moment"], as_of), "customer_health"
     )
     if prior_actions is None:
         prior_actions = spark.createDataFrame([], store.SCHEMAS["next_best_action"])

@@ -46,6 +46,7 @@ def spark_session(cores=8, partitions=8):
         SparkSession.builder.master(f"local[{cores}]")
         .appName("custlattice")
         .config("spark.ui.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")
