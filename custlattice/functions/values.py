@@ -55,9 +55,12 @@ def mean_exact(x: Column, digits: int) -> Column:
     Integer sums do not depend on row order, so a retried task or another partitioning cannot
     change the last bits of the result.
     """
-    scale = 10**digits
-    units = F.round(x.cast(f"decimal(18,{digits})") * scale, 0).cast("bigint")
-    return F.sum(units).cast("double") / F.lit(float(scale)) / F.count(x)
+    return F.sum(fixed_units(x, digits)).cast("double") / F.lit(float(10**digits)) / F.count(x)
+
+
+def fixed_units(x: Column, digits: int) -> Column:
+    """A value with ``digits`` decimals as a whole number of its last decimal."""
+    return F.rint(x * float(10**digits)).cast("bigint")
 
 
 def count_where(condition: Column) -> Column:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from custlattice import vocab
 from custlattice.functions.text import Lexicon, sentiment_label, with_signals
-from custlattice.functions.values import mean_exact, one_decimal, ts_lit
+from custlattice.functions.values import fixed_units, mean_exact, one_decimal, ts_lit
 from custlattice.sources.schemas import SCHEMAS
 
 ENRICHMENT = SCHEMAS["customer_ai_enrichment"]
@@ -49,17 +49,23 @@ def unprocessed(
     """Sources with no value in ``column`` yet. ``batch`` bounds one run, lowest ids first.
 
     A left anti join on non-NULL ids: unlike ``NOT IN`` it needs no broadcast, and one NULL id in
-    the enrichment table does not suppress every source.
+    the enrichment table does not suppress every source. The anti join sees ids only; the texts
+    meet the ids that are left in a semi join, which Spark broadcasts when few are left, so an
+    incremental run does not shuffle the texts.
     """
-    todo = source
+    if enrichment is None and batch is None:
+        return source
+    todo = source.select(id_column).distinct()
     if enrichment is not None:
         done = enrichment.filter(
             (F.col("source_table") == source_table)
             & F.col(column).isNotNull()
             & F.col("source_id").isNotNull()
         ).select(F.col("source_id").alias(id_column))
-        todo = source.join(done.distinct(), id_column, "left_anti")
-    return todo if batch is None else todo.orderBy(id_column).limit(batch)
+        todo = todo.join(done, id_column, "left_anti")
+    if batch is not None:
+        todo = todo.orderBy(id_column).limit(batch)
+    return source.join(todo, id_column, "left_semi")
 
 
 def _rows(df: DataFrame, prefix: str, id_column: str, source_table: str, as_of: datetime, filled) -> DataFrame:
@@ -235,7 +241,7 @@ def customer_signals(wide: DataFrame) -> DataFrame:
     names = F.col("entities.competitors")
     wants_out = (F.col("sentiment_score") < -0.3) & intents["cancellation_intent"]
     # avg over all sentiment rows, in integer micro-units so that row order cannot matter
-    micro = F.round(F.col("sentiment_sum").cast("decimal(18,6)") * 1_000_000, 0).cast("bigint")
+    micro = fixed_units(F.col("sentiment_sum"), 6)
     rows = F.sum("sentiment_rows")
     return wide.groupBy("customer_id").agg(
         F.round(F.sum(micro).cast("double") / 1_000_000.0 / F.nullif(rows, F.lit(0)), 12).alias("avg_sentiment"),

@@ -142,11 +142,16 @@ def doc_lengths(corpus: DataFrame) -> DataFrame:
 
 
 def postings(corpus: DataFrame) -> DataFrame:
-    """(term, doc_id, tf) with the document attributes carried along."""
-    carried = F.struct(*ATTRIBUTES).alias("attrs")
-    words = corpus.select("doc_id", carried, F.explode(tokens(F.col("content"))).alias("term")).filter(F.col("term") != "")
+    """(term, doc_id, tf) with the document's length and attributes carried along.
+
+    All words of a document come from one row, so the partial count before the shuffle already is
+    the final one and only distinct (document, term) pairs travel.
+    """
+    words = corpus.withColumn("_words", F.filter(tokens(F.col("content")), lambda t: t != ""))
+    carried = F.struct(*ATTRIBUTES, F.size("_words").alias("dl")).alias("attrs")
+    each = words.select("doc_id", carried, F.explode("_words").alias("term"))
     return (
-        words.groupBy("doc_id", "term")
+        each.groupBy("doc_id", "term")
         .agg(F.count("*").alias("tf"), F.first("attrs").alias("attrs"))
         .select("term", "doc_id", "tf", "attrs.*")
     )
@@ -166,16 +171,16 @@ def _bucket(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(TERM_BUCKETS)).cast("int")
 
 
-def write_index(index: EvidenceIndex, path: str, splits: int = 4, mode: str = "overwrite") -> None:
-    """Postings partitioned by term bucket and sorted by term inside each file; a frequent term is
-    spread over ``splits`` files by document hash."""
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(splits))
+def write_index(index: EvidenceIndex, path: str, mode: str = "overwrite") -> None:
+    """Postings partitioned by term bucket and sorted by term inside each file.
+
+    The rows are rebalanced by bucket: adaptive execution merges small buckets into one task and
+    splits a bucket that a frequent term makes large.
+    """
+    bucketed = index.postings.withColumn("bucket", _bucket(F.col("term")))
+    balanced = bucketed.sparkSession.sql("SELECT /*+ REBALANCE(bucket) */ * FROM {rows}", rows=bucketed)
     (
-        index.postings.withColumn("bucket", _bucket(F.col("term")))
-        .withColumn("_split", part)
-        .repartition("bucket", "_split")
-        .sortWithinPartitions("bucket", "term")
-        .drop("_split")
+        balanced.sortWithinPartitions("bucket", "term")
         .write.mode(mode)
         .partitionBy("bucket")
         .parquet(f"{path}/postings")
@@ -204,8 +209,9 @@ def search_index(
 ) -> DataFrame:
     """Top ``k`` (doc_id, score, attributes) from the postings of the query's terms.
 
-    Collection statistics cover the filtered documents. Scores are summed per document after the
-    join of the matching postings with their lengths; ties go to the lower doc_id.
+    Collection statistics cover the filtered documents. Postings carry their document's length, so
+    ranking joins nothing but the document frequency of each query term; ties go to the lower
+    doc_id.
     """
     terms = query_terms(query)
     flt = filters or Filters()
@@ -219,11 +225,9 @@ def search_index(
         hits = hits.filter(F.col("bucket").isin(buckets)).drop("bucket")
     hits = flt.apply(hits)
     frequency = hits.groupBy("term").agg(F.count("*").alias("df"))  # at most MAX_QUERY_TERMS rows
-    lengths = docs.select("doc_id", "dl")
     gain = _idf(n_docs, F.col("df")) * _gain(F.col("tf"), F.col("dl"), avg_dl)
     scored = (
         hits.join(F.broadcast(frequency), "term")
-        .join(lengths, "doc_id")
         .groupBy("doc_id", *ATTRIBUTES)
         .agg(F.round(F.sum(F.round(gain, 9).cast("decimal(18,9)")), 6).cast("double").alias("score"))
     )

@@ -152,7 +152,8 @@ def run_pipeline(
     out["next_best_action"] = publish(
         nba.generate_nba(tables, signals, out["customer_health"], prior_actions, as_of), "next_best_action"
     )
-    corpus = evidence.evidence_source(tables, wide)
+    # labels scored in place: joining them from the enrichment table would shuffle every text
+    corpus = evidence.evidence_from_text(tables, lexicon)
     evidence.write_index(evidence.build_index(corpus), f"{root}/evidence_index/{version}")
     return out
 

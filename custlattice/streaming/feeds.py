@@ -88,10 +88,9 @@ def stream_enrichment(
 
     def write(batch: DataFrame, batch_id: int) -> None:
         done = read_sink(batch.sparkSession, sink, "customer_ai_enrichment", before=batch_id)
-        todo = enrich.unprocessed(
-            batch.dropDuplicates([kind.id_column]), kind.id_column, done, kind.table, "sentiment_score"
-        )
-        scored = enrich.wide_from_source(todo, kind, lexicon)
+        todo = enrich.unprocessed(batch, kind.id_column, done, kind.table, "sentiment_score")
+        # repeats within a batch are dropped after scoring, when the rows no longer carry text
+        scored = enrich.wide_from_source(todo, kind, lexicon).dropDuplicates(["source_id"])
         enrich.tall_from_wide(scored, as_of).write.mode("overwrite").parquet(
             _batch_path(sink, "customer_ai_enrichment", batch_id)
         )
