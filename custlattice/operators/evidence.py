@@ -148,13 +148,10 @@ def postings(corpus: DataFrame) -> DataFrame:
     the final one and only distinct (document, term) pairs travel.
     """
     words = corpus.withColumn("_words", F.filter(tokens(F.col("content")), lambda t: t != ""))
-    carried = F.struct(*ATTRIBUTES, F.size("_words").alias("dl")).alias("attrs")
-    each = words.select("doc_id", carried, F.explode("_words").alias("term"))
-    return (
-        each.groupBy("doc_id", "term")
-        .agg(F.count("*").alias("tf"), F.first("attrs").alias("attrs"))
-        .select("term", "doc_id", "tf", "attrs.*")
-    )
+    each = words.select("doc_id", *ATTRIBUTES, F.size("_words").alias("dl"), F.explode("_words").alias("term"))
+    # attributes are grouping keys, not first() values, which would force a sort-based aggregation
+    counted = each.groupBy("doc_id", *ATTRIBUTES, "dl", "term").agg(F.count("*").alias("tf"))
+    return counted.select("term", "doc_id", "tf", "dl", *ATTRIBUTES)
 
 
 @dataclass(frozen=True)
