@@ -20,6 +20,7 @@ from custlattice.functions.text import TOKEN_SPLIT, Lexicon, tokens
 from custlattice.functions.values import date_lit
 from custlattice.operators.enrich import EMAIL, TRANSCRIPT, scored
 from custlattice.operators.grouping import top_per_key
+from custlattice.sources.tables import scratch_dir
 
 K1, B = 1.2, 0.75
 TERM_BUCKETS = 256
@@ -214,7 +215,8 @@ def search_index(
     flt = filters or Filters()
     docs = flt.apply(index.documents)
     stats = docs.agg(F.count("*").alias("n"), F.avg("dl").alias("avg_dl"))
-    n_docs, avg_dl = stats.select("n").scalar(), stats.select("avg_dl").scalar()
+    row = stats.select(F.struct("n", "avg_dl").alias("s")).scalar()
+    n_docs, avg_dl = row["n"], row["avg_dl"]
     hits = index.postings.filter(F.col("term").isin(terms))
     if "bucket" in hits.columns:
         spark = hits.sparkSession
@@ -251,17 +253,23 @@ def count_terms(corpus: DataFrame, terms: list[str]) -> DataFrame:
 def search_corpus(corpus: DataFrame, query: str, k: int = 5, filters: Filters | None = None) -> DataFrame:
     """Top ``k`` straight from the corpus, same scores as ``search_index``.
 
-    The counted table is persisted because statistics and ranking both read it: it is a small
-    fraction of the text, and tokenising is the expensive part.
+    The counted rows are written to the checkpoint folder because statistics and ranking both read
+    them: they are a small fraction of the text, and tokenising is the expensive part.
     """
     terms = query_terms(query)
-    counted = count_terms((filters or Filters()).apply(corpus), terms).persist()
+    spark = corpus.sparkSession
+    counts = count_terms((filters or Filters()).apply(corpus), terms)
+    path = scratch_dir(spark)
+    counts.write.parquet(path)
+    counted = spark.read.schema(counts.schema).parquet(path)
     columns = [f"tf_{i}" for i in range(len(terms))]
     stats = counted.agg(
         F.count("*").alias("n"), F.avg("dl").alias("avg_dl"),
         *[F.count_if(F.col(c) > 0).alias(f"df_{c}") for c in columns],
-    ).persist()
-    one = {c: stats.select(c).scalar() for c in stats.columns}
+    )
+    # one row; a struct, so that a single subquery computes all of it
+    row = stats.select(F.struct(*stats.columns).alias("s")).scalar()
+    one = {c: row[c] for c in stats.columns}
     parts = [
         F.round(_idf(one["n"], one[f"df_{c}"]) * _gain(F.col(c), F.col("dl"), one["avg_dl"]), 9).cast("decimal(18,9)")
         for c in columns

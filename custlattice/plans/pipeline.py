@@ -123,8 +123,8 @@ def run_pipeline(
     stage uses it, so a lost executor never repeats more than one stage."""
     version = as_of.strftime("v%Y%m%d%H%M%S")
 
-    def publish(df: DataFrame, table: str) -> DataFrame:
-        return store.new_version(df, root, table, as_of, version)
+    def publish(df: DataFrame, table: str, *cluster_by: str) -> DataFrame:
+        return store.new_version(df, root, table, as_of, version, cluster_by)
 
     wide_path = f"{root}/text_signals/{version}"
     enrich.wide_from_text(tables["transcript"], tables["email"], lexicon).write.mode("overwrite").parquet(wide_path)
@@ -139,7 +139,9 @@ def run_pipeline(
         "customer_ai_enrichment": publish(
             enrich.tall_from_wide(wide, as_of).unionByName(summaries), "customer_ai_enrichment"
         ),
-        "customer_event": publish(events.customer_events(tables, as_of), "customer_event"),
+        "customer_event": publish(
+            events.customer_events(tables, as_of), "customer_event", "customer_id", "event_timestamp"
+        ),
         "customer_moment": publish(
             moments.detect_moments(signals, tables["policy"], tables["claim"], as_of), "customer_moment"
         ),

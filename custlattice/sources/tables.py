@@ -65,10 +65,19 @@ def overwrite(df: DataFrame, root: str, table: str, as_of: datetime, partition_b
     conform(df, table, as_of).write.mode("overwrite").partitionBy(*partition_by).parquet(f"{root}/{table}")
 
 
-def new_version(df: DataFrame, root: str, table: str, as_of: datetime, version: str) -> DataFrame:
-    """Write a complete new version of a table and read it back, which also ends its lineage."""
+def new_version(
+    df: DataFrame, root: str, table: str, as_of: datetime, version: str, cluster_by: tuple = ()
+) -> DataFrame:
+    """Write a complete new version of a table and read it back, which also ends its lineage.
+
+    ``cluster_by`` range-partitions and sorts the files, so that a look-up by the first column
+    skips almost all row groups; further columns split a first value that has very many rows.
+    """
     path = f"{root}/{table}/{version}"
-    conform(df, table, as_of).write.mode("overwrite").parquet(path)
+    rows = conform(df, table, as_of)
+    if cluster_by:
+        rows = rows.repartitionByRange(*cluster_by).sortWithinPartitions(*cluster_by)
+    rows.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(SCHEMAS[table]).parquet(path)
 
 
