@@ -17,6 +17,7 @@ from custlattice import vocab
 from custlattice.functions.values import (
     clamp, count_where, date_lit, one_decimal, ratio, round_exact, stamp, ts_lit, ts_plus_days,
 )
+from custlattice.operators.grouping import join_uneven
 from custlattice.operators.moments import competitor_rows, next_renewal, renewing, stale_claims
 from custlattice.sources.tables import delete_where
 
@@ -116,11 +117,8 @@ def nba_retention(
 def nba_claims(claim: DataFrame, health: DataFrame, existing: DataFrame, as_of: datetime) -> DataFrame:
     """One escalation per stale claim of a customer with sentiment below 50."""
     unhappy = health.filter(F.col("sentiment_score") < 50).select("customer_id", "sentiment_score")
-    hits = (
-        stale_claims(claim, as_of)
-        .select("customer_id", "claim_id", "claim_amount", "days_open")
-        .join(_free(unhappy, existing, ESCALATION), "customer_id")
-    )
+    stale = stale_claims(claim, as_of).select("customer_id", "claim_id", "claim_amount", "days_open")
+    hits = join_uneven(stale, _free(unhappy, existing, ESCALATION), "customer_id")
     days = F.col("days_open")
     return _action(
         hits, as_of, F.concat(F.lit("NBA-CLM-"), "customer_id", F.lit("-"), "claim_id"), ESCALATION,

@@ -16,9 +16,30 @@ def top_per_key(df: DataFrame, key: str, k: int, *order: Column, rank: str | Non
     return out if rank else out.drop(name)
 
 
+MAX_HOT_KEYS = 1_000
+
+
+def join_uneven(many: DataFrame, few: DataFrame, key: str) -> DataFrame:
+    """Inner join where one key may own a large share of ``many``; ``few`` has a small fixed
+    number of rows per key.
+
+    Adaptive skew handling only applies when both inputs of a join come straight from a shuffle;
+    here ``few`` is the result of a join, aggregation or window. So the keys holding more than
+    1/1000 of the rows -- at most 1,000 keys, whatever the data -- are joined by broadcast where
+    their rows lie, and only the remaining keys are shuffled. Every row is joined exactly once.
+    """
+    counts = many.groupBy(key).agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n")).scalar()
+    hot = counts.filter(F.col("n") * MAX_HOT_KEYS > total).select(key)
+    hot_few = few.join(F.broadcast(hot), key, "left_semi")
+    in_place = many.join(F.broadcast(hot_few), key)
+    shuffled = many.join(F.broadcast(hot), key, "left_anti").join(few, key)
+    return in_place.unionByName(shuffled)
+
+
 def paged_arrays(
     items: DataFrame, key: str, item_id: str, fields: dict[str, Column], page_size: int,
-    header: DataFrame | None = None,
+    header: DataFrame | None = None, one_key: bool = False,
 ) -> DataFrame:
     """Collect ``fields`` into arrays per (key, page): at most about ``page_size`` items a page.
 
@@ -26,10 +47,14 @@ def paged_arrays(
     needs by the hash of the item id, so no task ever holds an unbounded group and no item is
     dropped. NULL items of a field are left out of its array. ``header`` has one row per key; its
     columns are repeated on every page, and its keys without items get an empty page 0.
+
+    ``one_key`` announces that the result is filtered to a single key: a plain join lets that
+    filter reach every scan, and its one-row page table is broadcast at run time.
     """
     pages = items.groupBy(key).agg(F.ceil(F.count("*") / page_size).cast("int").alias("pages"))
     page = F.pmod(F.xxhash64(item_id), F.col("pages")).cast("int")
-    spread = items.join(pages, key).select(key, page.alias("page"), *[c.alias(n) for n, c in fields.items()])
+    joined = items.join(pages, key) if one_key else join_uneven(items, pages, key)
+    spread = joined.select(key, page.alias("page"), *[c.alias(n) for n, c in fields.items()])
     head = [c for c in header.columns if c != key] if header is not None else []
     if header is not None:
         every_page = F.explode(F.sequence(F.lit(0), F.coalesce("pages", F.lit(1)) - 1))

@@ -89,10 +89,10 @@ CLAIM = "struct<claim_id:string,claim_type:string,amount:double,status:string,fi
 
 def customer_360(
     tables: dict[str, DataFrame], health: DataFrame, moments: DataFrame, as_of: datetime,
-    customer_id: str | None = None, page_size: int = PAGE,
+    customer_id: str | None = None, page_size: int = PAGE, one_key: bool = False,
 ) -> DataFrame:
     """Nested record per customer: master data, health, live moments, policies, claims filed in
-    the last six months.
+    the last six months. ``one_key``: the caller will filter the result to one customer.
 
     The three lists come from one union and one shuffle. A customer with more than ``page_size``
     items gets further records (page 1, 2, ...) instead of unbounded arrays.
@@ -136,13 +136,17 @@ def customer_360(
     )
     scores = _of(health, customer_id).select("customer_id", F.struct(*HEALTH_FIELDS).alias("health"))
     header = master.join(scores, "customer_id", "left")
-    return paged_arrays(items, "customer_id", "item_id", lists, page_size, header)
+    return paged_arrays(
+        items, "customer_id", "item_id", lists, page_size, header, one_key or customer_id is not None
+    )
 
 
 def nba_recommendations(
-    actions: DataFrame, as_of: datetime, customer_id: str | None = None, page_size: int = PAGE
+    actions: DataFrame, as_of: datetime, customer_id: str | None = None, page_size: int = PAGE,
+    one_key: bool = False,
 ) -> DataFrame:
     """Pending, unsuppressed, unexpired actions as an array per customer (paged like above)."""
     open_ = _live(_of(actions, customer_id), as_of).filter(~F.col("suppressed") & (F.col("status") == "PENDING"))
     record = F.struct("priority", "action_id", "action_type", "confidence", "rationale", "status", "evidence")
-    return paged_arrays(open_, "customer_id", "action_id", {"actions": record}, page_size)
+    one = one_key or customer_id is not None
+    return paged_arrays(open_, "customer_id", "action_id", {"actions": record}, page_size, one_key=one)

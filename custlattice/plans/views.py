@@ -26,9 +26,9 @@ def register_functions(spark: SparkSession, frames: dict[str, DataFrame], as_of:
         spark,
         {
             "customer_nba_rows": customer_nba(frames["next_best_action"], as_of),
-            "nba_recommendation_pages": lookup.nba_recommendations(frames["next_best_action"], as_of),
+            "nba_recommendation_pages": lookup.nba_recommendations(frames["next_best_action"], as_of, one_key=True),
             "customer_360_pages": lookup.customer_360(
-                frames, frames["customer_health"], frames["customer_moment"], as_of
+                frames, frames["customer_health"], frames["customer_moment"], as_of, one_key=True
             ),
         },
     )

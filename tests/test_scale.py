@@ -75,6 +75,17 @@ def test_action_evidence_equals_brute_force(spark):
     assert len(got) == 150 and {r["doc_id"] for r in got} == {d for _, d in best}
 
 
+def test_uneven_join_equals_plain_join(spark):
+    many = spark.range(20000).select(
+        F.when(F.col("id") % 3 == 0, "HOT").when(F.col("id") % 50 == 1, None).otherwise((F.col("id") % 5000).cast("string")).alias("k"),
+        F.col("id").alias("row"),
+    )
+    few = many.select("k").distinct().filter("k is null or k <> '4'").withColumn("x", F.length("k"))
+    got = grouping.join_uneven(many, few, "k")
+    want = many.join(few, "k")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.select(got.columns).collect()))
+
+
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
