@@ -278,7 +278,7 @@ def fit(docs: DataFrame, labels: DataFrame, allowed=lambda doc_id: F.lit(True))
         share = np.clip(bad / max(1, bad + good), 1e-6, 1 - 1e-6)
         return Grammar(*nothing, np.array([np.log(share / (1 - share)), *[0.0] * len(PATTERNS)]))
     ratio = (F.col("bad") + 0.5) / (bad + 1) / ((F.col("good") + 0.5) / (good + 1))
-    least = max(3, bad // 300)
+    least = max(5, bad // 50)
     chosen = (
         _stem_counts(sample).withColumn("ratio", ratio).where((F.col("bad") >= least) & (F.col("ratio") >= 20))
         .orderBy(F.desc("bad"), F.desc("ratio"), "stem").limit(LEXICON).collect()
