@@ -6,13 +6,24 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from custlattice.llm import decontam, langid, neardup, packing, suffixes, toxicity
+from custlattice.llm import ann, chatformat, classlm, decontam, langid, neardup, packing, suffixes, toxicity, urlfilter
 from custlattice.llm.staging import fold, table
 
 #: Files of the byte-level BPE vocabulary, and the pattern that cuts texts before it is applied.
 TOKENIZER = (public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "<|im_end|><|im_start|>assistant ok"
+    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("bigint"), F.col("turn").cast("bigint"), "role", "text")
+    return chatformat.read_back(*chatformat.prefix_trees(turns.unionByName(extra)))
+
+
+def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = packing.packed(table(spark, sf_dir, "documents"), TOKENIZER)
     return out.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
@@ -26,11 +37,24 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op5_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = fold(F.col("doc_id"), 5) == 1
+    made, counts = classlm.fit(docs.where(~held_out))
+    return classlm.scores(docs, made, counts).withColumn("held_out", held_out)
+
+
 def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffixes.repeated_spans(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "start_word", "end_word", "is_first", "first_doc_id")
 
 
+def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    out = urlfilter.judged(pages, urlfilter.fit(urlfilter.labelled_urls(spark)))
+    return out.select("page_id", "host", "path", "rule", "verdict", "score")
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -45,5 +69,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxic_scores(docs, made).select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op3_packing, op4_language, op6_repeats, op8_decontamination, op9_simhash, op10_toxicity)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_chat, op2_nearest, op3_packing, op4_language, op5_classes, op6_repeats, op7_urls, op8_decontamination, op9_simhash, op10_toxicity)
+}
+#: What the other queries do (learnt models, tokenizers, hash fingerprints) SQL cannot express; tests hold them against plain versions.
 ORACLE_SQL: dict[str, str] = {}
