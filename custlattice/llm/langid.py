@@ -150,7 +150,7 @@ def predicted(docs: DataFrame, made: Centroids) -> DataFrame:
         raw, off = text_bytes(text)
         i, n = 0, len(off) - 1
         while i < n:  # a row has 2^BITS counts, so rows per step are few
-            j = min(n, i + 256, max(i + 1, int(np.searchsorted(off, off[i] + (1 << 20), "right")) - 1))
+            j = min(n, i + 256, max(i + 1, int(np.searchsorted(off, off[i] + (1 << 18), "right")) - 1))
             a, b, c = sent.value.predict(raw[off[i] : off[j]], off[i : j + 1] - off[i])
             lang += a
             score.append(b)

@@ -24,7 +24,7 @@ END = 2
 #: Rows packed by one task.
 ROWS = 100_000
 #: Cuts whose ids a Python worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 
 
 class _Known(dict):
@@ -122,7 +122,7 @@ def pieces(docs: DataFrame, paths: tuple, capacity: int = CAPACITY) -> DataFrame
                 cuts = [0, *range(n % capacity or capacity, n + 1, capacity)] if n > capacity else [0, n]
                 out += [(doc, k, a, b - a, ids[4 * a : 4 * b]) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))]
                 held += len(ids)
-                if held >= 1 << 23:
+                if held >= 1 << 22:
                     yield batch()
                     held = 0
         if out:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _SHIPPED: set[str] = set()
 
 
@@ -29,8 +30,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def ship(spark: SparkSession) -> None:
-    """Once per application, send this package to the executors, so that their Python workers can import it wherever they run."""
+    """Once per application, send this package to the executors, so that their Python workers can import it wherever they run.
+
+    Texts can be long, so where the session says nothing else, fewer of them go to Python at a time.
+    """
     context = spark.sparkContext
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, "1024")
     if context.applicationId not in _SHIPPED:
         _SHIPPED.add(context.applicationId)
         package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))

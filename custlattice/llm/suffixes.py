@@ -11,7 +11,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -205,9 +204,11 @@ def matches(retained: DataFrame) -> DataFrame:
     if not joins:
         return inner
     spark = retained.sparkSession
-    renamed = spark.createDataFrame([(a, b) for a, b in same.items()], "run bigint, into bigint")
+    renamed = spark.createDataFrame(pa.table({"run": list(same), "into": list(same.values())}))
     inner = inner.join(F.broadcast(renamed), "run", "left").select(F.coalesce("into", "run").alias("run"), *_ID, "pos", "l", "r")
-    return inner.unionByName(spark.createDataFrame(joins, "run bigint, doc_id bigint, copy bigint, pos bigint, l int, r int"))
+    names, kinds = inner.columns, [pa.int64()] * 4 + [pa.int32()] * 2
+    found = pa.table({n: pa.array(c, t) for n, c, t in zip(names, zip(*joins, strict=True), kinds, strict=True)})
+    return inner.unionByName(spark.createDataFrame(found))
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -242,22 +243,20 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     )
 
 
-def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
-    """Texts without the words of their spans and the white space after them."""
+def cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
+    """Texts without the words of their spans and the white space after them; null where either is null."""
 
-    def one(text, gone):
-        if gone is None or not len(gone) or text is None:
-            return text
+    def one(text: str, gone: list[dict]) -> str:
         raw, off = text_bytes(pa.array([text]))
         w = words(raw, off)
         data, keep, at = text.encode(), [], 0
-        for a, b in sorted((int(g["start_word"]), int(g["end_word"])) for g in gone):
-            start = int(w.start[a])
-            keep.append(data[at : max(at, start)])
+        for a, b in sorted((g["start_word"], g["end_word"]) for g in gone):
+            keep.append(data[at : max(at, int(w.start[a]))])
             at = max(at, int(w.start[b]) if b < len(w.start) else len(data))
         return (b"".join(keep) + data[at:]).decode()
 
-    return pd.Series([one(t, s) for t, s in zip(texts, spans, strict=True)], dtype=object)
+    pairs = zip(texts, spans, strict=True)
+    return pa.array([one(t.as_py(), s.as_py()) if t.is_valid and s.is_valid else None for t, s in pairs], pa.string())
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -269,8 +268,9 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     gone = staged(gone, "cuts").select(F.col("doc_id").alias("_id"), F.col("copy").alias("_copy"), "spans")
     on = docs["doc_id"].cast("bigint").eqNullSafe(gone["_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == gone["_copy"])
     joined = docs.join(gone, on, "left")
-    hit = F.when(F.col("spans").isNotNull(), F.col("text"))  # other texts don't go to Python
-    changed = F.pandas_udf(cut, "string")(hit, F.col("spans"))
+    # other texts don't go to Python, and the filter below doesn't make it run twice
+    hit = F.when(F.col("spans").isNotNull(), F.col("text"))
+    changed = F.arrow_udf(cut, "string").asNondeterministic()(hit, F.col("spans"))
     changed = F.when(F.col("spans").isNotNull(), changed).otherwise(F.col("text"))
     joined = joined.withColumn("text", changed).where(F.col("spans").isNull() | F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
     if "n_chars" in docs.columns:

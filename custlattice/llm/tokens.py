@@ -16,7 +16,7 @@ _P = 0x9E3779B97F4A7C15 | 1
 _P_INVERSE = pow(_P, -1, 1 << 64)
 _Q = 0xD6E8FEB86659FD93
 #: Bytes handled at once; a longer text is handled alone.
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
