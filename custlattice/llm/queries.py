@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from custlattice.llm import ann, chatformat, classlm, decontam, langid, neardup, packing, suffixes, toxicity, urlfilter
+from custlattice.llm.oracle import ORACLE_SQL as ORACLE_SQL
 from custlattice.llm.staging import fold, table
 
 #: Files of the byte-level BPE vocabulary, and the pattern that cuts texts before it is applied.
@@ -74,5 +75,3 @@ QUERIES = {
     f.__name__: f
     for f in (op1_chat, op2_nearest, op3_packing, op4_language, op5_classes, op6_repeats, op7_urls, op8_decontamination, op9_simhash, op10_toxicity)
 }
-#: What the other queries do (learnt models, tokenizers, hash fingerprints) SQL cannot express; tests hold them against plain versions.
-ORACLE_SQL: dict[str, str] = {}
