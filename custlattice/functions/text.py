@@ -15,12 +15,11 @@ from pyspark.sql import functions as F
 from custlattice.vocab import ENTITY_KINDS, INTENTS
 
 TOKEN_SPLIT = "[^a-z0-9]+"
-MAX_LEXICON_TERMS = 5_000
 
 
 @dataclass(frozen=True)
 class Lexicon:
-    """Term lists. A lexicon is configuration: it is compiled into the plan, hence size-checked."""
+    """Term lists of any length. A lexicon is configuration, and compiled into the plan as hash sets."""
 
     positive: tuple[str, ...]
     negative: tuple[str, ...]
@@ -31,8 +30,6 @@ class Lexicon:
         unknown = (set(self.entities) - set(ENTITY_KINDS)) | (set(self.intents) - set(INTENTS))
         if unknown:
             raise ValueError(f"unknown entity or intent names: {sorted(unknown)}")
-        if len(self.terms()) > MAX_LEXICON_TERMS:
-            raise ValueError(f"a lexicon may hold at most {MAX_LEXICON_TERMS} terms")
 
     def terms(self) -> list[str]:
         lists = [self.positive, self.negative, *self.entities.values(), *self.intents.values()]
@@ -41,9 +38,7 @@ class Lexicon:
     @classmethod
     def from_table(cls, terms: DataFrame) -> Lexicon:
         """Read a (list, term) table; list names are positive, negative, an entity or an intent."""
-        rows = terms.select("list", "term").distinct().limit(MAX_LEXICON_TERMS + 1).collect()
-        if len(rows) > MAX_LEXICON_TERMS:
-            raise ValueError(f"a lexicon may hold at most {MAX_LEXICON_TERMS} terms")
+        rows = terms.select("list", "term").distinct().collect()
 
         def of(name):
             return tuple(sorted(r["term"] for r in rows if r["list"] == name))

@@ -17,7 +17,7 @@ from custlattice import vocab
 from custlattice.functions.values import (
     clamp, count_where, date_lit, one_decimal, ratio, round_exact, stamp, ts_lit, ts_plus_days,
 )
-from custlattice.operators.grouping import join_uneven
+from custlattice.operators.grouping import anti_uneven, join_uneven
 from custlattice.operators.moments import competitor_rows, next_renewal, renewing, stale_claims
 from custlattice.sources.tables import delete_where
 
@@ -82,12 +82,15 @@ def _action(
     )
 
 
-def _free(df: DataFrame, existing: DataFrame, kind: str) -> DataFrame:
+def _free(df: DataFrame, existing: DataFrame, kind: str, spread_by: str | None = None) -> DataFrame:
+    """Rows of customers without a blocking action of this kind; ``spread_by`` if a customer may have very many rows."""
     holders = existing.filter(
         (F.col("action_type") == kind)
         & F.col("status").isin(*vocab.BLOCKING_STATUSES)
         & F.col("customer_id").isNotNull()
     ).select("customer_id").distinct()
+    if spread_by is not None:
+        return anti_uneven(df, holders, "customer_id", spread_by)
     return df.join(holders, "customer_id", "left_anti")
 
 
@@ -118,7 +121,7 @@ def nba_claims(claim: DataFrame, health: DataFrame, existing: DataFrame, as_of:
     """One escalation per stale claim of a customer with sentiment below 50."""
     unhappy = health.filter(F.col("sentiment_score") < 50).select("customer_id", "sentiment_score")
     stale = stale_claims(claim, as_of).select("customer_id", "claim_id", "claim_amount", "days_open")
-    hits = join_uneven(stale, _free(unhappy, existing, ESCALATION), "customer_id")
+    hits = join_uneven(stale, _free(unhappy, existing, ESCALATION), "customer_id", "claim_id")
     days = F.col("days_open")
     return _action(
         hits, as_of, F.concat(F.lit("NBA-CLM-"), "customer_id", F.lit("-"), "claim_id"), ESCALATION,
@@ -134,15 +137,16 @@ def nba_competitor(
 ) -> DataFrame:
     """Competitor named and a renewal within 45 days: soonest renewal and first naming row, or
     (``all``) every naming row with every distinct renewal day."""
-    if mode == "all":
-        hits = competitor_rows(wide).join(renewing(policy, as_of, 45).distinct(), "customer_id")
+    if mode == "all":  # at most 45 renewal days per naming row
+        rows = _free(competitor_rows(wide), existing, CAMPAIGN, "row_id")
+        hits = rows.join(renewing(policy, as_of, 45).distinct(), "customer_id")
     else:
         named = signals.filter(F.col("competitor").isNotNull()).select(
             "customer_id", F.col("competitor.names").alias("names")
         )
-        hits = named.join(next_renewal(policy, as_of, 45), "customer_id")
+        hits = _free(named, existing, CAMPAIGN).join(next_renewal(policy, as_of, 45), "customer_id")
     return _action(
-        _free(hits, existing, CAMPAIGN), as_of, _stamped("NBA-CRC-", as_of), CAMPAIGN, F.lit(0.80),
+        hits, as_of, _stamped("NBA-CRC-", as_of), CAMPAIGN, F.lit(0.80),
         F.lit(CAMPAIGN_TEXT), 2, 10,
         competitors_mentioned=F.col("names"), renewal_days=F.col("renewal_days"),
     )
@@ -206,12 +210,13 @@ def generate_nba(
 
 
 def customer_nba(actions: DataFrame, as_of: datetime, customer_id: str | None = None) -> DataFrame:
-    """Unsuppressed, unexpired actions in any status, most urgent first; of one or all customers."""
+    """Unsuppressed, unexpired actions in any status; of one customer most urgent first, or of all without order."""
     live = actions.filter(
         ~F.col("suppressed") & (F.col("expires_at").isNull() | (F.col("expires_at") > ts_lit(as_of)))
     )
     if customer_id is not None:
         live = live.filter(F.col("customer_id") == F.lit(customer_id))
+        live = live.orderBy("priority", F.col("confidence").desc(), "action_id")
     return live.select(
         "customer_id", "action_id", "action_type", "confidence", "rationale", "priority", "status", "created_at"
-    ).orderBy("customer_id", "priority", F.col("confidence").desc(), "action_id")
+    )

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from custlattice import vocab
 from custlattice.functions.text import Lexicon, sentiment_label, with_signals
 from custlattice.functions.values import fixed_units, mean_exact, one_decimal, ts_lit
+from custlattice.operators.grouping import positions
 from custlattice.sources.schemas import SCHEMAS
 
 ENRICHMENT = SCHEMAS["customer_ai_enrichment"]
@@ -297,30 +298,21 @@ def _fold_lines(lines: DataFrame, *keys) -> DataFrame:
 def customer_digest(
     transcript: DataFrame, email: DataFrame, note: DataFrame, max_lines: int = 10_000
 ) -> DataFrame:
-    """Per customer, the digest lines joined newest first.
+    """Per customer, the digest lines joined newest first, in parts of ``max_lines`` documents.
 
-    A customer with more than ``max_lines`` documents gets several consecutive parts instead of
-    one string that a single task would have to hold: those lines are range-partitioned by
-    (customer, newest first), and each partition folds its own stretch. Nothing is dropped: the
-    parts, read in order of ``part``, are the whole digest. The size check reads one narrow column.
+    Part n holds the documents at positions n * ``max_lines`` to (n + 1) * ``max_lines`` - 1 of the
+    customer, newest first and by descending document id within a moment. Read in order of ``part``, the
+    parts are the whole digest; the rule is the same for every customer, and no task holds more than a part.
     """
     lines = text_lines(transcript, email, note)
-    counts = lines.groupBy("customer_id").agg(F.count("*").alias("n"))
-    large = counts.filter(F.col("n") > max_lines)
-    total = large.agg(F.sum("n")).first()[0]
-    columns = ("customer_id", "part", "n_lines", "oldest", "newest", "digest")
-    if total is None:
-        return _fold_lines(lines, "customer_id").withColumn("part", F.lit(0).cast("bigint")).select(*columns)
-    keys = large.select("customer_id")
-    usual = _fold_lines(lines.join(keys, "customer_id", "left_anti"), "customer_id")
-    order = ("customer_id", F.col("written_at").desc(), F.col("doc_id").desc())
-    spread = (
-        lines.join(keys, "customer_id", "left_semi")
-        .repartitionByRange(max(2, -(-total // max_lines)), *order)
-        .withColumn("part", F.spark_partition_id().cast("bigint"))
+    numbered = positions(
+        lines, "customer_id", F.col("written_at").cast("date"),
+        F.col("written_at").desc_nulls_last(), F.col("doc_id").desc(), first_bucket=F.col("_bucket").desc_nulls_last(),
     )
-    parts = _fold_lines(spread, "customer_id", "part")
-    return usual.withColumn("part", F.lit(0).cast("bigint")).select(*columns).unionByName(parts.select(*columns))
+    part = F.floor(F.col("_at") / max_lines).cast("bigint")
+    # explicit exchange: the partitioning by customer and day that the numbering leaves is not enough
+    dealt = numbered.withColumn("part", part).drop("_at").repartition("customer_id", "part")
+    return _fold_lines(dealt, "customer_id", "part").select("customer_id", "part", "n_lines", "oldest", "newest", "digest")
 
 
 def customer_summary(

@@ -2,8 +2,7 @@
 
 Search reads a postings index -- (term, doc_id, tf) with the document attributes used for
 filtering -- that is written bucketed by term hash, so a query touches only the buckets of its own
-terms. ``search_corpus`` ranks without an index: one pass counts the query's terms per document
-into a narrow table, which is all that the ranking needs.
+terms; this is the way for a corpus that is asked more than once. ``search_corpus`` ranks without an index.
 """
 
 from __future__ import annotations
@@ -24,7 +23,6 @@ from custlattice.sources.tables import scratch_dir
 
 K1, B = 1.2, 0.75
 TERM_BUCKETS = 256
-MAX_QUERY_TERMS = 64
 CORPUS = ("doc_id", "customer_id", "source_type", "content", "sentiment", "moment_type", "event_date")
 ATTRIBUTES = ("customer_id", "source_type", "sentiment", "moment_type", "event_date")
 
@@ -128,8 +126,8 @@ class Filters:
 
 def query_terms(query: str) -> list[str]:
     terms = sorted({t for t in re.split(TOKEN_SPLIT, query.lower()) if t})
-    if not terms or len(terms) > MAX_QUERY_TERMS:
-        raise ValueError(f"a query needs 1 to {MAX_QUERY_TERMS} distinct terms")
+    if not terms:
+        raise ValueError("a query needs at least one term")
     return terms
 
 
@@ -142,17 +140,37 @@ def doc_lengths(corpus: DataFrame) -> DataFrame:
     return corpus.select("doc_id", *ATTRIBUTES, F.coalesce(words, F.lit(0)).alias("dl"))
 
 
-def postings(corpus: DataFrame) -> DataFrame:
-    """(term, doc_id, tf) with the document's length and attributes carried along.
+def _folded(words: Column) -> Column:
+    """Distinct words of an array with their counts: the sorted words' runs."""
 
-    All words of a document come from one row, so the partial count before the shuffle already is
-    the final one and only distinct (document, term) pairs travel.
+    def runs(w: Column) -> Column:
+        starts = F.filter(
+            F.sequence(F.lit(1), F.greatest(F.size(w), F.lit(1))),
+            lambda i: (F.size(w) > 0) & ((i == 1) | (F.get(w, i - 1) != F.get(w, i - 2))),
+        )
+
+        def counted(at: Column) -> Column:
+            def one(i: Column, n: Column) -> Column:
+                ends = F.coalesce(F.get(at, n + 1), F.size(w) + 1)
+                return F.struct(F.get(w, i - 1).alias("term"), (ends - i).cast("bigint").alias("tf"))
+
+            return F.transform(at, one)
+
+        # binding through a one-element array, so that neither the sort nor the starts are computed again per word
+        return F.get(F.transform(F.array(starts), counted), F.lit(0))
+
+    return F.get(F.transform(F.array(F.array_sort(words)), runs), F.lit(0))
+
+
+def postings(corpus: DataFrame, terms: list[str] | None = None) -> DataFrame:
+    """(term, doc_id, tf) with the document's length and attributes carried along, of all words or of ``terms``.
+
+    All words of a document lie in one row and are counted there: nothing is shuffled.
     """
     words = corpus.withColumn("_words", F.filter(tokens(F.col("content")), lambda t: t != ""))
-    each = words.select("doc_id", *ATTRIBUTES, F.size("_words").alias("dl"), F.explode("_words").alias("term"))
-    # attributes are grouping keys, not first() values, which would force a sort-based aggregation
-    counted = each.groupBy("doc_id", *ATTRIBUTES, "dl", "term").agg(F.count("*").alias("tf"))
-    return counted.select("term", "doc_id", "tf", "dl", *ATTRIBUTES)
+    wanted = F.col("_words") if terms is None else F.filter("_words", lambda t: t.isin(terms))
+    each = words.select("doc_id", *ATTRIBUTES, F.size("_words").alias("dl"), F.explode(_folded(wanted)).alias("_p"))
+    return each.select(F.col("_p.term").alias("term"), "doc_id", F.col("_p.tf").alias("tf"), "dl", *ATTRIBUTES)
 
 
 @dataclass(frozen=True)
@@ -190,8 +208,10 @@ def open_index(spark: SparkSession, path: str) -> EvidenceIndex:
     return EvidenceIndex(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/documents"))
 
 
-def term_bucket(term: str, spark: SparkSession) -> int:
-    return spark.range(1).select(_bucket(F.lit(term))).first()[0]
+def term_buckets(terms: list[str], spark: SparkSession) -> list[int]:
+    """The buckets of a question's terms, in one select."""
+    buckets = F.array_sort(F.array_distinct(F.transform(F.array(*[F.lit(t) for t in terms]), _bucket)))
+    return list(spark.range(1).select(buckets).first()[0])
 
 
 def _idf(n_docs: Column, df: Column) -> Column:
@@ -219,11 +239,10 @@ def search_index(
     n_docs, avg_dl = row["n"], row["avg_dl"]
     hits = index.postings.filter(F.col("term").isin(terms))
     if "bucket" in hits.columns:
-        spark = hits.sparkSession
-        buckets = sorted({term_bucket(t, spark) for t in terms})
+        buckets = term_buckets(terms, hits.sparkSession)
         hits = hits.filter(F.col("bucket").isin(buckets)).drop("bucket")
     hits = flt.apply(hits)
-    frequency = hits.groupBy("term").agg(F.count("*").alias("df"))  # at most MAX_QUERY_TERMS rows
+    frequency = hits.groupBy("term").agg(F.count("*").alias("df"))  # one row per term of the question
     gain = _idf(n_docs, F.col("df")) * _gain(F.col("tf"), F.col("dl"), avg_dl)
     scored = (
         hits.join(F.broadcast(frequency), "term")
@@ -233,55 +252,27 @@ def search_index(
     return scored.orderBy(F.col("score").desc(), "doc_id").limit(k)
 
 
-def _occurrences(words: str, term: str) -> Column:
-    return F.coalesce(F.size(F.filter(words, lambda w: w == F.lit(term))), F.lit(0))
-
-
-def count_terms(corpus: DataFrame, terms: list[str]) -> DataFrame:
-    """Narrow per-document table of the query's term counts, in one pass and without a shuffle."""
-    words = corpus.withColumn("_words", F.filter(tokens(F.col("content")), lambda t: t != ""))
-    hits = words.select(
-        "doc_id", *ATTRIBUTES, F.coalesce(F.size("_words"), F.lit(0)).alias("dl"),
-        F.filter("_words", lambda t: t.isin(terms)).alias("_hits"),
-    )
-    return hits.select(
-        "doc_id", *ATTRIBUTES, "dl",
-        *[_occurrences("_hits", t).alias(f"tf_{i}") for i, t in enumerate(terms)],
-    )
-
-
 def search_corpus(corpus: DataFrame, query: str, k: int = 5, filters: Filters | None = None) -> DataFrame:
-    """Top ``k`` straight from the corpus, same scores as ``search_index``.
+    """Top ``k`` straight from the corpus, without an index: for a corpus that is asked once, and as a check.
 
-    The counted rows are written to the checkpoint folder because statistics and ranking both read
-    them: they are a small fraction of the text, and tokenising is the expensive part.
+    One pass counts the question's terms per document, whatever their number; these narrow rows are
+    written to the checkpoint folder, because statistics and ranking both read them, and ranked as
+    ``search_index`` ranks.
     """
     terms = query_terms(query)
     spark = corpus.sparkSession
-    counts = count_terms((filters or Filters()).apply(corpus), terms)
+    words = (filters or Filters()).apply(corpus).withColumn("_words", F.filter(tokens(F.col("content")), lambda t: t != ""))
+    counts = words.select(
+        "doc_id", *ATTRIBUTES, F.coalesce(F.size("_words"), F.lit(0)).alias("dl"),
+        _folded(F.filter("_words", lambda t: t.isin(terms))).alias("hits"),
+    )
     path = scratch_dir(spark)
     counts.write.parquet(path)
     counted = spark.read.schema(counts.schema).parquet(path)
-    columns = [f"tf_{i}" for i in range(len(terms))]
-    stats = counted.agg(
-        F.count("*").alias("n"), F.avg("dl").alias("avg_dl"),
-        *[F.count_if(F.col(c) > 0).alias(f"df_{c}") for c in columns],
-    )
-    # one row; a struct, so that a single subquery computes all of it
-    row = stats.select(F.struct(*stats.columns).alias("s")).scalar()
-    one = {c: row[c] for c in stats.columns}
-    parts = [
-        F.round(_idf(one["n"], one[f"df_{c}"]) * _gain(F.col(c), F.col("dl"), one["avg_dl"]), 9).cast("decimal(18,9)")
-        for c in columns
-    ]
-    score = F.round(reduce(lambda a, b: a + b, parts), 6).cast("double")
-    matched = reduce(lambda a, b: a | b, [F.col(c) > 0 for c in columns])
-    return (
-        counted.filter(matched)
-        .select("doc_id", *ATTRIBUTES, score.alias("score"))
-        .orderBy(F.col("score").desc(), "doc_id")
-        .limit(k)
+    hits = counted.select("doc_id", *ATTRIBUTES, "dl", F.explode("hits").alias("_p")).select(
+        F.col("_p.term").alias("term"), "doc_id", F.col("_p.tf").alias("tf"), "dl", *ATTRIBUTES
     )
+    return search_index(EvidenceIndex(hits, counted.select("doc_id", *ATTRIBUTES, "dl")), query, k)
 
 
 def with_content(hits: DataFrame, corpus: DataFrame) -> DataFrame:
@@ -315,13 +306,13 @@ def customer_evidence(corpus: DataFrame, customer_id: str | None = None, k: int
     return top_per_key(preview, "customer_id", k, *newest)
 
 
-def action_evidence(actions: DataFrame, corpus: DataFrame, k: int = 3) -> DataFrame:
-    """Latest ``k`` documents for each action. Texts are cut to ``k`` per customer before the
+def action_evidence(actions: DataFrame, corpus: DataFrame, k: int | None = 3) -> DataFrame:
+    """Latest ``k`` documents for each action (our own number; None: all). Texts are cut to ``k`` per customer before the
     join, so a customer's actions never meet all of that customer's documents."""
     newest = (F.col("event_date").desc_nulls_last(), F.col("doc_id"))
     best = top_per_key(
         corpus.select("customer_id", "doc_id", "source_type", "sentiment", "moment_type", "event_date"),
-        "customer_id", k, *newest, rank="evidence_rank",
+        "customer_id", 2**31 - 1 if k is None else k, *newest, rank="evidence_rank",
     )
-    return join_uneven(actions.select("action_id", "customer_id", "action_type"), best, "customer_id")
+    return join_uneven(actions.select("action_id", "customer_id", "action_type"), best, "customer_id", "action_id")
 

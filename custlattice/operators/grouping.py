@@ -16,52 +16,74 @@ def top_per_key(df: DataFrame, key: str, k: int, *order: Column, rank: str | Non
     return out if rank else out.drop(name)
 
 
-MAX_HOT_KEYS = 1_000
+SALTS = 16
+PAGE_BUCKETS = 2  # hexadecimal digits: 256 buckets per key
 
 
-def join_uneven(many: DataFrame, few: DataFrame, key: str) -> DataFrame:
+def join_uneven(many: DataFrame, few: DataFrame, key: str, spread_by: str) -> DataFrame:
     """Inner join where one key may own a large share of ``many``; ``few`` has a small fixed
     number of rows per key.
 
-    Adaptive skew handling only applies when both inputs of a join come straight from a shuffle;
-    here ``few`` is the result of a join, aggregation or window. So the keys holding more than
-    1/1000 of the rows -- at most 1,000 keys, whatever the data -- are joined by broadcast where
-    their rows lie, and only the remaining keys are shuffled. Every row is joined exactly once.
+    Every key is treated alike: the hash of ``spread_by``, a column that tells the rows of ``many``
+    apart, deals a key's rows over ``SALTS`` parts, and ``few`` meets each part. Both inputs are read
+    once, whatever the sizes.
     """
-    counts = many.groupBy(key).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n")).scalar()
-    hot = counts.filter(F.col("n") * MAX_HOT_KEYS > total).select(key)
-    hot_few = few.join(F.broadcast(hot), key, "left_semi")
-    in_place = many.join(F.broadcast(hot_few), key)
-    shuffled = many.join(F.broadcast(hot), key, "left_anti").join(few, key)
-    return in_place.unionByName(shuffled)
+    part = F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int")
+    spread = few.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return many.withColumn("_part", part).join(spread, [key, "_part"]).drop("_part")
+
+
+def anti_uneven(many: DataFrame, few: DataFrame, key: str, spread_by: str) -> DataFrame:
+    """Rows of ``many`` whose key ``few`` lacks, dealt out as in ``join_uneven``; NULL keys stay."""
+    part = F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int")
+    spread = few.select(key).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return many.withColumn("_part", part).join(spread, [key, "_part"], "left_anti").drop("_part")
+
+
+def positions(rows: DataFrame, key: str, bucket: Column, *order: Column, first_bucket: Column) -> DataFrame:
+    """``rows`` with ``_at``: the row's number within its key, from 0, without gaps.
+
+    ``bucket`` cuts a key's order into consecutive stretches; ``first_bucket`` orders them. A stretch
+    is numbered on its own and starts after the rows of the earlier ones, so a key with very many
+    rows is many tasks' work. The counts per stretch come from a second, narrow reading.
+    """
+    named = rows.withColumn("_bucket", bucket)
+    counts = named.groupBy(key, "_bucket").agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy(key).orderBy(first_bucket).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    own = F.row_number().over(Window.partitionBy(key, "_bucket").orderBy(*order))
+    numbered = named.withColumn("_own", own)
+    starts = counts.select(F.col(key).alias("_key"), F.col("_bucket").alias("_in"), "_before")
+    same = numbered[key].eqNullSafe(starts["_key"]) & numbered["_bucket"].eqNullSafe(starts["_in"])
+    joined = numbered.join(starts, same)
+    return joined.withColumn("_at", F.col("_before") + F.col("_own") - 1).drop("_key", "_in", "_before", "_own", "_bucket")
 
 
 def paged_arrays(
     items: DataFrame, key: str, item_id: str, fields: dict[str, Column], page_size: int,
-    header: DataFrame | None = None, one_key: bool = False,
+    header: DataFrame | None = None,
 ) -> DataFrame:
-    """Collect ``fields`` into arrays per (key, page): at most about ``page_size`` items a page.
-
-    A key with few items has the single page 0. A larger one is spread over as many pages as it
-    needs by the hash of the item id, so no task ever holds an unbounded group and no item is
-    dropped. NULL items of a field are left out of its array. ``header`` has one row per key; its
-    columns are repeated on every page, and its keys without items get an empty page 0.
+    """Collect ``fields`` into arrays per (key, page): page n holds the items at positions
+    n * ``page_size`` to (n + 1) * ``page_size`` - 1 of the key, in the order of md5(item id).
 
-    ``one_key`` announces that the result is filtered to a single key: a plain join lets that
-    filter reach every scan, and its one-row page table is broadcast at run time.
+    The rule is the same for every size. No task holds more than a page, no item is dropped, page
+    numbers have no gaps, and they do not depend on the cluster. NULL items of a field are left out of its
+    array. ``header`` has one row per key; its columns are repeated on every page, and its keys without
+    items get an empty page 0.
     """
-    pages = items.groupBy(key).agg(F.ceil(F.count("*") / page_size).cast("int").alias("pages"))
-    page = F.pmod(F.xxhash64(item_id), F.col("pages")).cast("int")
-    joined = items.join(pages, key) if one_key else join_uneven(items, pages, key)
-    spread = joined.select(key, page.alias("page"), *[c.alias(n) for n, c in fields.items()])
+    digest = F.md5(F.coalesce(F.col(item_id).cast("string"), F.lit("")).cast("binary"))
+    slim = items.select(F.col(key), F.col(item_id).alias("_id"), digest.alias("_digest"), *[c.alias(n) for n, c in fields.items()])
+    bucket = F.substring("_digest", 1, PAGE_BUCKETS)
+    numbered = positions(slim, key, bucket, F.col("_digest"), F.col("_id"), first_bucket=F.col("_bucket"))
+    page = F.floor(F.col("_at") / page_size).cast("int")
+    spread = numbered.select(key, page.alias("page"), *fields)
     head = [c for c in header.columns if c != key] if header is not None else []
     if header is not None:
+        pages = items.groupBy(key).agg(F.ceil(F.count("*") / page_size).cast("int").alias("pages"))
         every_page = F.explode(F.sequence(F.lit(0), F.coalesce("pages", F.lit(1)) - 1))
         titles = header.join(pages, key, "left").select(key, every_page.alias("page"), *head)
         spread = spread.unionByName(titles, allowMissingColumns=True)
-    # explicit exchange on (key, page): the join's partitioning by key alone would satisfy the
-    # aggregation and put a whole hot key into one task
+    # explicit exchange on (key, page): a partitioning by key alone would put a whole hot key into one task
     return (
         spread.repartition(key, "page")
         .groupBy(key, "page")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from custlattice import vocab
 from custlattice.functions.values import date_lit, days_after, days_between, stamp, ts_lit, ts_plus_days
+from custlattice.operators.grouping import anti_uneven
 
 CHURN, FRICTION, PRICE = "CHURN", "CLAIM_FRICTION", "PRICE_SENSITIVITY"
 RENEWAL_DAYS = 45  # renewal window of the competitor rule
@@ -110,7 +111,7 @@ def moments_churn_intent(
         (F.col("moment_type") == CHURN) & F.col("customer_id").isNotNull()
     ).select("customer_id").distinct()
     return _moment(
-        hits.join(held, "customer_id", "left_anti"), as_of, _stamped("MOM-CHR2-", as_of), CHURN, 0.90, 14,
+        anti_uneven(hits, held, "customer_id", "row_id"), as_of, _stamped("MOM-CHR2-", as_of), CHURN, 0.90, 14,
         F.col("row_id"),
         reason=F.lit(CANCEL_REASON), sentiment_score=F.col("score"), source=F.lit(CANCEL_SOURCE),
     )
@@ -166,10 +167,8 @@ def detect_moments(
 
 
 def active_moments(moments: DataFrame, as_of: datetime, customer_id: str | None = None) -> DataFrame:
-    """Unexpired moments, newest first; of one customer, or of all of them by customer."""
+    """Unexpired moments; of one customer newest first, or of all of them without order."""
     live = moments.filter(F.col("expires_at").isNull() | (F.col("expires_at") > ts_lit(as_of)))
     if customer_id is not None:
-        live = live.filter(F.col("customer_id") == F.lit(customer_id))
-    return live.select(
-        "customer_id", "moment_id", "moment_type", "confidence", "detected_at", "context"
-    ).orderBy("customer_id", F.col("detected_at").desc(), "moment_id")
+        live = live.filter(F.col("customer_id") == F.lit(customer_id)).orderBy(F.col("detected_at").desc(), "moment_id")
+    return live.select("customer_id", "moment_id", "moment_type", "confidence", "detected_at", "context")

@@ -1,7 +1,6 @@
 """Customer look-ups. Each takes an optional customer id; without one it covers all customers.
 
-All-customer listings are ordered globally by (customer, ...), which Spark does by range
-partitioning: a customer with very many rows is split over several ranges.
+The order belongs to the one-customer view; a listing of all customers has none and shuffles nothing.
 """
 
 from __future__ import annotations
@@ -25,33 +24,41 @@ def _of(df: DataFrame, customer_id: str | None) -> DataFrame:
     return df if customer_id is None else df.filter(F.col("customer_id") == F.lit(customer_id))
 
 
+def _ordered(df: DataFrame, customer_id: str | None, *order) -> DataFrame:
+    return df if customer_id is None else df.orderBy(*order)
+
+
 def customer_profile(customer: DataFrame, health: DataFrame, customer_id: str | None = None) -> DataFrame:
     scores = _of(health, customer_id).select("customer_id", *HEALTH_FIELDS)
     return _of(customer, customer_id).join(scores, "customer_id", "left")
 
 
 def customer_policies(policy: DataFrame, customer_id: str | None = None) -> DataFrame:
-    return _of(policy, customer_id).select(
+    listed = _of(policy, customer_id).select(
         "customer_id", "policy_id", "policy_type", "premium_amount", "status", "start_date", "end_date"
-    ).orderBy("customer_id", F.col("start_date").desc(), "policy_id")
+    )
+    return _ordered(listed, customer_id, F.col("start_date").desc(), "policy_id")
 
 
 def customer_claims(claim: DataFrame, customer_id: str | None = None) -> DataFrame:
-    return _of(claim, customer_id).select(
+    listed = _of(claim, customer_id).select(
         "customer_id", "claim_id", "claim_type", "claim_amount", "status", "filed_date", "resolution_days"
-    ).orderBy("customer_id", F.col("filed_date").desc(), "claim_id")
+    )
+    return _ordered(listed, customer_id, F.col("filed_date").desc(), "claim_id")
 
 
 def customer_payments(payment: DataFrame, customer_id: str | None = None) -> DataFrame:
-    return _of(payment, customer_id).select(
+    listed = _of(payment, customer_id).select(
         "customer_id", "payment_id", "amount", "payment_date", "status", "payment_method", "failure_reason"
-    ).orderBy("customer_id", F.col("payment_date").desc(), "payment_id")
+    )
+    return _ordered(listed, customer_id, F.col("payment_date").desc(), "payment_id")
 
 
 def customer_interactions(interaction: DataFrame, customer_id: str | None = None) -> DataFrame:
-    return _of(interaction, customer_id).select(
+    listed = _of(interaction, customer_id).select(
         "customer_id", "interaction_id", "channel", "direction", "interaction_date", "topic", "disposition"
-    ).orderBy("customer_id", F.col("interaction_date").desc(), "interaction_id")
+    )
+    return _ordered(listed, customer_id, F.col("interaction_date").desc(), "interaction_id")
 
 
 def customer_timeline(events: DataFrame, customer_id: str | None = None, k: int = 50) -> DataFrame:
@@ -67,9 +74,10 @@ def customer_timeline(events: DataFrame, customer_id: str | None = None, k: int
 
 def customer_actions(actions: DataFrame, customer_id: str | None = None) -> DataFrame:
     """Unsuppressed actions, expired ones included, most urgent first."""
-    return _of(actions, customer_id).filter(~F.col("suppressed")).select(
+    listed = _of(actions, customer_id).filter(~F.col("suppressed")).select(
         "customer_id", "action_id", "action_type", "confidence", "rationale", "priority", "status"
-    ).orderBy("customer_id", "priority", F.col("confidence").desc(), "action_id")
+    )
+    return _ordered(listed, customer_id, "priority", F.col("confidence").desc(), "action_id")
 
 
 def customer_health_state(health: DataFrame, customer_id: str | None = None) -> DataFrame:
@@ -89,13 +97,13 @@ CLAIM = "struct<claim_id:string,claim_type:string,amount:double,status:string,fi
 
 def customer_360(
     tables: dict[str, DataFrame], health: DataFrame, moments: DataFrame, as_of: datetime,
-    customer_id: str | None = None, page_size: int = PAGE, one_key: bool = False,
+    customer_id: str | None = None, page_size: int = PAGE,
 ) -> DataFrame:
     """Nested record per customer: master data, health, live moments, policies, claims filed in
-    the last six months. ``one_key``: the caller will filter the result to one customer.
+    the last six months.
 
-    The three lists come from one union and one shuffle. A customer with more than ``page_size``
-    items gets further records (page 1, 2, ...) instead of unbounded arrays.
+    Record n of a customer holds ``page_size`` of its items (see ``paged_arrays``), so that no array grows
+    without bound; totals are sums over a customer's records.
     """
 
     def item(df, key, moment=None, policy=None, claim=None):
@@ -136,17 +144,13 @@ def customer_360(
     )
     scores = _of(health, customer_id).select("customer_id", F.struct(*HEALTH_FIELDS).alias("health"))
     header = master.join(scores, "customer_id", "left")
-    return paged_arrays(
-        items, "customer_id", "item_id", lists, page_size, header, one_key or customer_id is not None
-    )
+    return paged_arrays(items, "customer_id", "item_id", lists, page_size, header)
 
 
 def nba_recommendations(
-    actions: DataFrame, as_of: datetime, customer_id: str | None = None, page_size: int = PAGE,
-    one_key: bool = False,
+    actions: DataFrame, as_of: datetime, customer_id: str | None = None, page_size: int = PAGE
 ) -> DataFrame:
     """Pending, unsuppressed, unexpired actions as an array per customer (paged like above)."""
     open_ = _live(_of(actions, customer_id), as_of).filter(~F.col("suppressed") & (F.col("status") == "PENDING"))
     record = F.struct("priority", "action_id", "action_type", "confidence", "rationale", "status", "evidence")
-    one = one_key or customer_id is not None
-    return paged_arrays(open_, "customer_id", "action_id", {"actions": record}, page_size, one_key=one)
+    return paged_arrays(open_, "customer_id", "action_id", {"actions": record}, page_size)

@@ -179,9 +179,11 @@ def q_resolution_by_type(claim: DataFrame) -> DataFrame:
     )
 
 
-def q_top_contact_reasons(interaction: DataFrame, k: int = 10) -> DataFrame:
+def q_top_contact_reasons(interaction: DataFrame, k: int | None = None) -> DataFrame:
+    """Topics by number of contacts, or the ``k`` most frequent ones."""
     counts = interaction.groupBy("topic").agg(F.count("*").alias("contacts"))
-    return counts.orderBy(F.col("contacts").desc(), "topic").limit(k)
+    ordered = counts.orderBy(F.col("contacts").desc(), "topic")
+    return ordered if k is None else ordered.limit(k)
 
 
 def q_payment_assistance(actions: DataFrame, customer: DataFrame) -> DataFrame:

@@ -536,6 +536,22 @@ def customer_360(w):
     )
 
 
+@query
+def customer_360_small_pages(w):
+    """The same records with three items each, so that most customers have several."""
+    nested = lookup.customer_360(w.tables, w.health, w.moments, w.as_of, page_size=3)
+    ids = F.array_sort(F.concat(F.transform("policies", lambda x: x["policy_id"]), F.transform("recent_claims", lambda x: x["claim_id"])))
+    return nested.select("customer_id", "page", F.size("active_moments").alias("n_moments"), F.array_join(ids, ",").alias("item_ids"))
+
+
+@query
+def customer_text_digest_small_parts(w):
+    t = w.tables
+    return enrich.customer_digest(t["transcript"], t["email"], t["note"], max_lines=2).select(
+        "customer_id", "part", "n_lines", "oldest", "newest", "digest"
+    )
+
+
 @query
 def nba_recommendation(w):
     arrays = lookup.nba_recommendations(w.actions, w.as_of)
@@ -746,10 +762,9 @@ def q_resolution_by_type(w):
 def q_customer_360(w):
     """The one question that names a customer."""
     nested = lookup.customer_360(w.tables, w.health, w.moments, w.as_of, ONE_CUSTOMER)
-    return nested.select(
-        "customer_id", "customer.name", "health.health_score", "health.risk_level",
-        F.size("policies").alias("n_policies"), F.size("recent_claims").alias("n_claims"),
-        F.size("active_moments").alias("n_moments"),
+    lists = {"n_policies": "policies", "n_claims": "recent_claims", "n_moments": "active_moments"}
+    return nested.groupBy("customer_id", "customer.name", "health.health_score", "health.risk_level").agg(
+        *[F.sum(F.size(c)).cast("int").alias(n) for n, c in lists.items()]
     )
 
 

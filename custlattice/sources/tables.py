@@ -18,17 +18,11 @@ from custlattice.sources.schemas import SCHEMAS
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder on shared storage: below ``spark.checkpoint.dir`` when the session names one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """A new folder on shared storage: below ``spark.checkpoint.dir``, or the folder the caller gave to
+    ``SparkContext.setCheckpointDir``. Without either there is none, on any master."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-        spark.sparkContext.setCheckpointDir(base)
+        raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 

@@ -20,10 +20,17 @@ FROM t_signal WHERE NOT is_call
 SELECT 'ENR-CLS-' || source_id AS enrichment_id, customer_id, kind AS source_table, source_id, klass AS classification
 FROM t_signal WHERE is_call
 -- name: customer_text_digest
-SELECT customer_id, 0::BIGINT AS part, count(line) AS n_lines, strftime(min(written_on), '%Y-%m-%d 00:00:00') AS oldest,
+SELECT customer_id, part, count(line) AS n_lines, strftime(min(written_on), '%Y-%m-%d 00:00:00') AS oldest,
        strftime(max(written_on), '%Y-%m-%d 00:00:00') AS newest,
        string_agg(line, chr(10) ORDER BY written_on DESC, doc_key DESC) AS digest
-FROM d_line GROUP BY customer_id
+FROM (SELECT *, (row_number() OVER (PARTITION BY customer_id ORDER BY written_on DESC, doc_key DESC) - 1) // 10000 AS part FROM d_line)
+GROUP BY customer_id, part
+-- name: customer_text_digest_small_parts
+SELECT customer_id, part, count(line) AS n_lines, strftime(min(written_on), '%Y-%m-%d 00:00:00') AS oldest,
+       strftime(max(written_on), '%Y-%m-%d 00:00:00') AS newest,
+       string_agg(line, chr(10) ORDER BY written_on DESC, doc_key DESC) AS digest
+FROM (SELECT *, (row_number() OVER (PARTITION BY customer_id ORDER BY written_on DESC, doc_key DESC) - 1) // 2 AS part FROM d_line)
+GROUP BY customer_id, part
 -- name: enrich_customer_summary
 SELECT 'ENR-SUM-' || customer_id AS enrichment_id, customer_id, 'CUSTOMER' AS source_table, customer_id AS source_id, summary
 FROM d_summary
@@ -263,17 +270,42 @@ SELECT string_agg('[' || source_type || '] (Customer: ' || customer_id || ', Sen
                   chr(10) || chr(10) ORDER BY score DESC, doc_id) AS context
 FROM b_top JOIN x_doc USING (doc_id)
 -- name: customer_360
-SELECT c.customer_id, 0 AS page, first_name || ' ' || last_name AS name, segment, region, tenure_months, health_score, risk_level,
-       coalesce(m.n, 0)::INTEGER AS n_moments, coalesce(p.n, 0)::INTEGER AS n_policies, coalesce(k.n, 0)::INTEGER AS n_claims,
-       coalesce(k.cents, 0)::BIGINT AS claim_cents
+SELECT c.customer_id, coalesce(i.page, 0)::INTEGER AS page, first_name || ' ' || last_name AS name, segment, region, tenure_months,
+       health_score, risk_level, coalesce(n_moments, 0)::INTEGER AS n_moments, coalesce(n_policies, 0)::INTEGER AS n_policies,
+       coalesce(n_claims, 0)::INTEGER AS n_claims, coalesce(claim_cents, 0)::BIGINT AS claim_cents
 FROM m_customer c LEFT JOIN o_health h USING (customer_id)
-LEFT JOIN (SELECT customer_id, count(*) AS n FROM o_moment WHERE expires_on > DATE '2024-01-31' GROUP BY 1) m USING (customer_id)
-LEFT JOIN (SELECT customer_id, count(*) AS n FROM m_policy GROUP BY 1) p USING (customer_id)
-LEFT JOIN (SELECT customer_id, count(*) AS n, sum(round(claim_amount * 100)::BIGINT) AS cents FROM m_claim
-           WHERE filed_date >= DATE '2023-07-31' GROUP BY 1) k USING (customer_id)
+LEFT JOIN (
+  SELECT customer_id, page, count(*) FILTER (kind = 'm') AS n_moments, count(*) FILTER (kind = 'p') AS n_policies,
+         count(*) FILTER (kind = 'c') AS n_claims, sum(cents) AS claim_cents
+  FROM (
+    SELECT *, (row_number() OVER (PARTITION BY customer_id ORDER BY md5(item_id), item_id) - 1) // 10000 AS page
+    FROM (
+      SELECT customer_id, moment_id AS item_id, 'm' AS kind, 0 AS cents FROM o_moment WHERE expires_on > DATE '2024-01-31'
+      UNION ALL SELECT customer_id, policy_id, 'p', 0 FROM m_policy
+      UNION ALL SELECT customer_id, claim_id, 'c', round(claim_amount * 100)::BIGINT FROM m_claim WHERE filed_date >= DATE '2023-07-31'
+    )
+  ) GROUP BY 1, 2
+) i USING (customer_id)
+-- name: customer_360_small_pages
+SELECT c.customer_id, coalesce(i.page, 0)::INTEGER AS page, coalesce(n_moments, 0)::INTEGER AS n_moments, coalesce(ids, '') AS item_ids
+FROM m_customer c
+LEFT JOIN (
+  SELECT customer_id, page, count(*) FILTER (kind = 'm') AS n_moments, string_agg(item_id, ',' ORDER BY item_id) FILTER (kind <> 'm') AS ids
+  FROM (
+    SELECT *, (row_number() OVER (PARTITION BY customer_id ORDER BY md5(item_id), item_id) - 1) // 3 AS page
+    FROM (
+      SELECT customer_id, moment_id AS item_id, 'm' AS kind FROM o_moment WHERE expires_on > DATE '2024-01-31'
+      UNION ALL SELECT customer_id, policy_id, 'p' FROM m_policy
+      UNION ALL SELECT customer_id, claim_id, 'c' FROM m_claim WHERE filed_date >= DATE '2023-07-31'
+    )
+  ) GROUP BY 1, 2
+) i USING (customer_id)
 -- name: nba_recommendation
-SELECT customer_id, 0 AS page, count(*)::INTEGER AS n_actions, string_agg(action_id, ',' ORDER BY action_id) AS action_ids
-FROM o_action WHERE NOT suppressed AND status = 'PENDING' AND expires_on > DATE '2024-01-31' GROUP BY 1
+SELECT customer_id, page::INTEGER AS page, count(*)::INTEGER AS n_actions, string_agg(action_id, ',' ORDER BY action_id) AS action_ids
+FROM (
+  SELECT customer_id, action_id, (row_number() OVER (PARTITION BY customer_id ORDER BY md5(action_id), action_id) - 1) // 10000 AS page
+  FROM o_action WHERE NOT suppressed AND status = 'PENDING' AND expires_on > DATE '2024-01-31'
+) GROUP BY 1, 2
 -- name: customer_profile
 SELECT customer_id, first_name, last_name, gender, segment, region, state, tenure_months, lifetime_value, health_score, churn_risk,
        risk_level, sentiment_score, claims_score, payment_score, engagement_score
@@ -396,7 +428,7 @@ SELECT c.customer_id, first_name || ' ' || last_name AS name, health_score, risk
        (SELECT count(*) FROM o_moment m WHERE m.customer_id = c.customer_id AND expires_on > DATE '2024-01-31')::INTEGER AS n_moments
 FROM m_customer c LEFT JOIN o_health h ON h.customer_id = c.customer_id WHERE c.customer_id = 'CUST-000001'
 -- name: q_top_contact_reasons
-SELECT topic, count(*) AS contacts FROM m_interaction GROUP BY 1 ORDER BY contacts DESC, topic LIMIT 10
+SELECT topic, count(*) AS contacts FROM m_interaction GROUP BY 1
 -- name: q_payment_assistance
 SELECT customer_id, first_name || ' ' || last_name AS customer_name, action_id, confidence, rationale
 FROM o_action JOIN (SELECT customer_id, first_name, last_name FROM m_customer) USING (customer_id)

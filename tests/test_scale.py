@@ -32,7 +32,7 @@ def test_digest_of_a_hot_customer_is_whole_and_in_bounded_parts(hot):
     rows = enrich.customer_digest(*hot, max_lines=100).collect()
     assert {r["customer_id"] for r in rows if r["part"] > 0} == {"HOT"}
     hot_parts = sorted((r for r in rows if r["customer_id"] == "HOT"), key=lambda r: r["part"])
-    assert len(hot_parts) >= 5 and max(r["n_lines"] for r in hot_parts) < 400
+    assert [r["part"] for r in hot_parts] == list(range(10)) and {r["n_lines"] for r in hot_parts} == {100}
     assert "\n".join(r["digest"] for r in hot_parts) == whole["HOT"]
     assert {r["customer_id"]: r["digest"] for r in rows if r["customer_id"] != "HOT"} == {
         c: d for c, d in whole.items() if c != "HOT"
@@ -47,7 +47,7 @@ def test_paged_arrays_keep_every_item(spark):
     got = grouping.paged_arrays(items, "k", "item", {"all": F.col("item")}, 200, header).collect()
     assert sorted(i for r in got for i in r["all"]) == list(range(5000))
     hot = [r for r in got if r["k"] == "HOT"]
-    assert len(hot) == 15 and max(len(r["all"]) for r in hot) < 300
+    assert sorted(r["page"] for r in hot) == list(range(15)) and {len(r["all"]) for r in hot} == {200}
     assert all(r["title"] == r["k"].lower() for r in got)
     assert [(r["page"], r["all"]) for r in got if r["k"] == "EMPTY"] == [(0, [])]
 
@@ -81,11 +81,59 @@ def test_uneven_join_equals_plain_join(spark):
         F.col("id").alias("row"),
     )
     few = many.select("k").distinct().filter("k is null or k <> '4'").withColumn("x", F.length("k"))
-    got = grouping.join_uneven(many, few, "k")
+    got = grouping.join_uneven(many, few, "k", "row")
     want = many.join(few, "k")
     assert sorted(map(str, got.collect())) == sorted(map(str, want.select(got.columns).collect()))
 
 
+def test_uneven_anti_join_equals_plain_anti_join(spark):
+    many = spark.range(3000).select(F.when(F.col("id") % 3 == 0, "HOT").when(F.col("id") % 5 == 0, None).otherwise((F.col("id") % 40).cast("string")).alias("k"), F.col("id").alias("row"))
+    few = spark.createDataFrame([("HOT",), ("7",), (None,)], "k string")
+    got = grouping.anti_uneven(many, few, "k", "row")
+    assert sorted(map(str, got.collect())) == sorted(map(str, many.join(few, "k", "left_anti").select(got.columns).collect()))
+
+
+def largest_task(df):
+    """Rows of the largest partition just above the last exchange."""
+    return max(r[0] for r in df.groupBy(F.spark_partition_id()).count().select("count").collect())
+
+
+def test_pages_do_not_depend_on_the_number_of_tasks(spark, hot):
+    items = spark.range(2000).select(F.when(F.col("id") < 1500, "HOT").otherwise("x").alias("k"), F.col("id").alias("item"))
+    got = []
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in ("3", "17"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            pages = grouping.paged_arrays(items.repartition(int(n)), "k", "item", {"all": F.col("item")}, 70)
+            digest = enrich.customer_digest(*[t.repartition(int(n)) for t in hot], max_lines=90)
+            got.append((sorted(map(str, pages.collect())), sorted(map(str, digest.collect()))))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got[0] == got[1]
+
+
+def test_hot_key_is_many_tasks_work(spark):
+    many = spark.range(20_000).select(F.when(F.col("id") % 3 == 0, "HOT").otherwise(F.col("id").cast("string")).alias("k"), F.col("id").alias("row"))
+    few = many.select("k").distinct()
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "32")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        assert largest_task(grouping.join_uneven(many, few, "k", "row")) < 2_500
+        numbered = grouping.positions(many, "k", F.col("row") % 64, F.col("row"), first_bucket=F.col("_bucket"))
+        assert largest_task(numbered) < 2_500
+    finally:
+        for key in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold"):
+            spark.conf.unset(key)
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+@pytest.mark.parametrize("name", ["customer_policies", "customer_claims", "customer_payments", "customer_interactions", "customer_actions", "customer_nba", "active_moments"])
+def test_listings_of_all_customers_are_not_sorted(spark, name):
+    assert "rangepartitioning" not in plan(QUERIES[name](spark, DATA))
+
+
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
