@@ -40,9 +40,13 @@ def anti_uneven(many: DataFrame, few: DataFrame, key: str, spread_by: str) -> Da
     return many.withColumn("_part", part).join(spread, [key, "_part"], "left_anti").drop("_part")
 
 
-def positions(rows: DataFrame, key: str, bucket: Column, *order: Column, first_bucket: Column) -> DataFrame:
+def positions(
+    rows: DataFrame, key: str, bucket: Column, *order: Column, first_bucket: Column, null_key: bool = True
+) -> DataFrame:
     """``rows`` with ``_at``: the row's number within its key, from 0, without gaps.
 
+    Without ``null_key`` rows with a NULL key drop out, and a filter on the key reaches both readings.
+
     ``bucket`` cuts a key's order into consecutive stretches; ``first_bucket`` orders them. A stretch
     is numbered on its own and starts after the rows of the earlier ones, so a key with very many
     rows is many tasks' work. The counts per stretch come from a second, narrow reading.
@@ -54,7 +58,8 @@ def positions(rows: DataFrame, key: str, bucket: Column, *order: Column, first_b
     own = F.row_number().over(Window.partitionBy(key, "_bucket").orderBy(*order))
     numbered = named.withColumn("_own", own)
     starts = counts.select(F.col(key).alias("_key"), F.col("_bucket").alias("_in"), "_before")
-    same = numbered[key].eqNullSafe(starts["_key"]) & numbered["_bucket"].eqNullSafe(starts["_in"])
+    same = numbered[key].eqNullSafe(starts["_key"]) if null_key else numbered[key] == starts["_key"]
+    same &= numbered["_bucket"].eqNullSafe(starts["_in"])
     joined = numbered.join(starts, same)
     return joined.withColumn("_at", F.col("_before") + F.col("_own") - 1).drop("_key", "_in", "_before", "_own", "_bucket")
 
@@ -74,7 +79,7 @@ def paged_arrays(
     digest = F.md5(F.coalesce(F.col(item_id).cast("string"), F.lit("")).cast("binary"))
     slim = items.select(F.col(key), F.col(item_id).alias("_id"), digest.alias("_digest"), *[c.alias(n) for n, c in fields.items()])
     bucket = F.substring("_digest", 1, PAGE_BUCKETS)
-    numbered = positions(slim, key, bucket, F.col("_digest"), F.col("_id"), first_bucket=F.col("_bucket"))
+    numbered = positions(slim, key, bucket, F.col("_digest"), F.col("_id"), first_bucket=F.col("_bucket"), null_key=False)
     page = F.floor(F.col("_at") / page_size).cast("int")
     spread = numbered.select(key, page.alias("page"), *fields)
     head = [c for c in header.columns if c != key] if header is not None else []
