@@ -347,14 +347,40 @@ def customer_summary(
     return _rows(with_text, SUMMARY_PREFIX, "customer_id", "CUSTOMER", as_of, ("summary",))
 
 
-def run_enrichment(tables: dict[str, DataFrame], lexicon: Lexicon, as_of: datetime) -> DataFrame:
-    """All enrichers over everything unprocessed on a first run: tall rows plus summaries."""
-    wide = wide_from_text(tables["transcript"], tables["email"], lexicon)
+def _incomplete(source: DataFrame, kind: TextSource, done: DataFrame) -> DataFrame:
+    """Documents that lack a row of some enricher. Only ids are compared; texts stay where they are."""
+    wanted = ("sentiment_score", "intents", *(("entities", "classification") if kind is TRANSCRIPT else ()))
+    own = done.filter((F.col("source_table") == kind.table) & F.col("source_id").isNotNull())
+    has = own.groupBy("source_id").agg(*[F.max(F.col(c).isNotNull()).alias(f"_{c}") for c in wanted])
+    complete = has.filter(reduce(lambda x, y: x & y, [F.col(f"_{c}") for c in wanted]))
+    return source.join(complete.select(F.col("source_id").alias(kind.id_column)), kind.id_column, "left_anti")
+
+
+def new_rows(tables: dict[str, DataFrame], lexicon: Lexicon, as_of: datetime, done: DataFrame) -> DataFrame:
+    """The text enrichers' rows that ``done`` lacks; documents that have all of theirs are not scored again."""
+    todo = [(tables["transcript"], TRANSCRIPT), (tables["email"], EMAIL)]
+    wide = reduce(DataFrame.unionByName, [wide_from_source(_incomplete(t, k, done), k, lexicon) for t, k in todo])
+    return tall_from_wide(wide, as_of).join(done.select("enrichment_id"), "enrichment_id", "left_anti")
+
+
+def run_enrichment(
+    tables: dict[str, DataFrame], lexicon: Lexicon, as_of: datetime, done: DataFrame | None = None
+) -> DataFrame:
+    """All enrichers over everything unprocessed: tall rows plus summaries, to be appended to ``done``.
+
+    ``done`` is the enrichment table of earlier runs; no id of it comes again. Summaries are written for
+    customers that have none, from the signals of all rows, old and new.
+    """
+    if done is None:
+        wide = wide_from_text(tables["transcript"], tables["email"], lexicon)
+        fresh, signals = tall_from_wide(wide, as_of), customer_signals(wide)
+    else:
+        fresh = new_rows(tables, lexicon, as_of, done)
+        signals = customer_signals(enrichment_wide(done.select(fresh.columns).unionByName(fresh)))
     summaries = customer_summary(
-        tables["customer"], tables["transcript"], tables["email"], tables["note"],
-        customer_signals(wide), as_of,
+        tables["customer"], tables["transcript"], tables["email"], tables["note"], signals, as_of, done
     )
-    return tall_from_wide(wide, as_of).unionByName(summaries)
+    return fresh.unionByName(summaries)
 
 
 def mean_sentiment(enrichment: DataFrame) -> DataFrame:

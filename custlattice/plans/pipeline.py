@@ -117,28 +117,38 @@ class Workspace:
 
 def run_pipeline(
     spark: SparkSession, tables: dict[str, DataFrame], lexicon: Lexicon, root: str, as_of: datetime,
-    prior_actions: DataFrame | None = None,
+    prior_actions: DataFrame | None = None, done: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """Write every derived table of one run below ``root`` and read each back before the next
-    stage uses it, so a lost executor never repeats more than one stage."""
+    stage uses it, so a lost executor never repeats more than one stage.
+
+    ``done`` is the enrichment table of earlier runs: only documents and customers it lacks are
+    enriched, and the new version holds its rows and the new ones.
+    """
     version = as_of.strftime("v%Y%m%d%H%M%S")
 
     def publish(df: DataFrame, table: str, *cluster_by: str) -> DataFrame:
         return store.new_version(df, root, table, as_of, version, cluster_by)
 
     wide_path = f"{root}/text_signals/{version}"
-    enrich.wide_from_text(tables["transcript"], tables["email"], lexicon).write.mode("overwrite").parquet(wide_path)
+    if done is None:
+        wide = enrich.wide_from_text(tables["transcript"], tables["email"], lexicon)
+    else:
+        fresh_path = f"{root}/new_enrichment/{version}"
+        enrich.new_rows(tables, lexicon, as_of, done).write.mode("overwrite").parquet(fresh_path)
+        known = done.unionByName(spark.read.schema(store.SCHEMAS["customer_ai_enrichment"]).parquet(fresh_path))
+        wide = enrich.enrichment_wide(known)
+    wide.write.mode("overwrite").parquet(wide_path)
     wide = spark.read.parquet(wide_path)
     signals_path = f"{root}/customer_signals/{version}"
     enrich.customer_signals(wide).write.mode("overwrite").parquet(signals_path)
     signals = spark.read.parquet(signals_path)
     summaries = enrich.customer_summary(
-        tables["customer"], tables["transcript"], tables["email"], tables["note"], signals, as_of
+        tables["customer"], tables["transcript"], tables["email"], tables["note"], signals, as_of, done
     )
+    texts = enrich.tall_from_wide(wide, as_of) if done is None else known
     out = {
-        "customer_ai_enrichment": publish(
-            enrich.tall_from_wide(wide, as_of).unionByName(summaries), "customer_ai_enrichment"
-        ),
+        "customer_ai_enrichment": publish(texts.unionByName(summaries), "customer_ai_enrichment"),
         "customer_event": publish(
             events.customer_events(tables, as_of), "customer_event", "customer_id", "event_timestamp"
         ),

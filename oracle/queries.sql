@@ -41,6 +41,13 @@ SELECT enrichment_id, customer_id, source_table, source_id, sentiment_score, sen
        cancellation_intent, classification, summary FROM e_row
 UNION ALL
 SELECT 'ENR-SUM-' || customer_id, customer_id, 'CUSTOMER', customer_id, NULL, NULL, NULL, NULL, NULL, summary FROM d_summary
+-- name: run_all_enrichment_again
+SELECT * FROM (
+  SELECT enrichment_id, customer_id, source_table, source_id, sentiment_score, sentiment_label, competitors,
+         cancellation_intent, classification, summary FROM e_row
+  UNION ALL
+  SELECT 'ENR-SUM-' || customer_id, customer_id, 'CUSTOMER', customer_id, NULL, NULL, NULL, NULL, NULL, summary FROM d_summary
+) WHERE md5(enrichment_id)[1] >= '8'
 -- name: enrichment_wide
 SELECT kind AS source_table, source_id, customer_id, score AS sentiment_score, label AS sentiment_label,
        CASE WHEN is_call THEN array_to_string(competitors, ',') END AS competitors, cancellation_intent,
