@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 CAPACITY = 1024
 END = 2
 #: Rows packed by one task.
-ROWS = 100_000
+ROWS = 30_000
 #: Cuts whose ids a Python worker remembers.
 REMEMBERED = 150_000
 
@@ -145,7 +145,7 @@ class SumOfSquares:
 
         A sequence without a gap is no longer open and counts nowhere, so closing one changes it by 1 - 2 open[g]. Ties go to the smallest gap.
         A new sequence is begun only if no open one has room: pieces come longest first, where this needs 1.0015 times the least
-        number of sequences, and 1.027 times if the sum may also choose a new one (100,000 pieces of the sample documents).
+        number of sequences, and 1.027 times if the sum may also choose a new one (30,000 and more pieces of the sample documents).
         """
         count = self.open
         fits = np.flatnonzero(count[n:] > 0)
