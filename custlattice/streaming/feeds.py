@@ -3,6 +3,10 @@
 All jobs run the same column logic as the batch operators. Sinks written in ``foreachBatch`` put
 each micro-batch in its own ``batch=<id>`` directory with overwrite, so a replayed batch replaces
 itself instead of being added twice; the event feed uses the exactly-once file sink.
+
+What later batches look up (ids that have been seen, sums, health rows) lies in narrow tables that are compacted:
+every ``COMPACT_EVERY`` batches a ``through=<id>`` directory takes over all up to that batch, so the files a batch reads
+follow the size of these tables and not the number of batches. Only complete directories are read.
 """
 
 from __future__ import annotations
@@ -15,10 +19,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from custlattice.functions.text import Lexicon
-from custlattice.functions.values import ts_lit
+from custlattice.functions.values import fixed_units, ts_lit
 from custlattice.operators import enrich, events, evidence, health
+from custlattice.operators.health import HEALTH
 
 LATENESS = "1 day"
+COMPACT_EVERY = 8
 
 
 def stream_reader(spark: SparkSession, path: str, schema, glob: str | None = None, max_files: int | None = None):
@@ -63,37 +69,73 @@ def _batch_path(sink: str, table: str, batch_id: int) -> str:
     return f"{sink}/{table}/batch={batch_id}"
 
 
-def sink_batches(spark: SparkSession, sink: str, table: str, before: int | None = None) -> list[int]:
-    """Ids of the batches a sink table holds, in order."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sink}/{table}")
+def _ids(spark: SparkSession, sink: str, table: str, kind: str) -> list[int]:
+    """Ids of a table's complete ``batch=`` or ``through=`` directories, in order."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    path = hadoop(f"{sink}/{table}")
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(path):
         return []
-    names = [s.getPath().getName() for s in fs.listStatus(path)]
-    ids = sorted(int(n.split("=")[1]) for n in names if n.startswith("batch="))
-    return [i for i in ids if before is None or i < before]
+    found = [s.getPath() for s in fs.listStatus(path) if s.getPath().getName().startswith(kind + "=")]
+    return sorted(int(p.getName().split("=")[1]) for p in found if fs.exists(hadoop(p, "_SUCCESS")))
+
+
+def sink_batches(spark: SparkSession, sink: str, table: str, before: int | None = None) -> list[int]:
+    """Ids of the batches a sink table holds, in order."""
+    return [i for i in _ids(spark, sink, table, "batch") if before is None or i < before]
+
+
+def sink_folders(spark: SparkSession, sink: str, table: str, before: int | None = None) -> list[str]:
+    """The newest compacted directory (before a batch) and the batches after it."""
+    whole = [i for i in _ids(spark, sink, table, "through") if before is None or i < before]
+    later = [i for i in sink_batches(spark, sink, table, before) if not whole or i > whole[-1]]
+    start = [f"{sink}/{table}/through={whole[-1]}"] if whole else []
+    return start + [_batch_path(sink, table, i) for i in later]
 
 
 def read_sink(spark: SparkSession, sink: str, table: str, before: int | None = None) -> DataFrame | None:
     """What the batches (before one) wrote, or None when there is nothing yet."""
-    ids = sink_batches(spark, sink, table, before)
-    return spark.read.parquet(*[_batch_path(sink, table, i) for i in ids]) if ids else None
+    paths = sink_folders(spark, sink, table, before)
+    return spark.read.parquet(*paths) if paths else None
+
+
+def write_sink(rows: DataFrame, sink: str, table: str, batch_id: int) -> None:
+    rows.write.mode("overwrite").parquet(_batch_path(sink, table, batch_id))
+
+
+def compact(spark: SparkSession, sink: str, table: str, batch_id: int, merge=lambda df: df) -> None:
+    """After ``COMPACT_EVERY`` batches, write all that readers need up to this one as one directory."""
+    if len(sink_folders(spark, sink, table, batch_id + 1)) > COMPACT_EVERY:
+        whole = merge(read_sink(spark, sink, table, batch_id + 1)).hint("rebalance")
+        whole.write.mode("overwrite").parquet(f"{sink}/{table}/through={batch_id}")
+
+
+def _unseen(batch: DataFrame, key: str, sink: str, table: str, batch_id: int) -> DataFrame:
+    """Rows whose key no earlier batch has brought; the keys alone are compared, and kept for later batches.
+
+    Repeats within the batch stay; callers drop them when the rows no longer carry text.
+    """
+    spark = batch.sparkSession
+    seen = read_sink(spark, sink, table, before=batch_id)
+    keys = batch.select(key).distinct()
+    if seen is not None:
+        keys = keys.join(seen, key, "left_anti")
+    write_sink(keys, sink, table, batch_id)
+    compact(spark, sink, table, batch_id)
+    return batch if seen is None else batch.join(spark.read.schema(keys.schema).parquet(_batch_path(sink, table, batch_id)), key, "left_semi")
 
 
 def stream_enrichment(
     source: DataFrame, kind: enrich.TextSource, lexicon: Lexicon, sink: str, checkpoint: str, trigger: dict,
     as_of: datetime,
 ) -> StreamingQuery:
-    """Enrich each document once: every batch anti-joins the ids earlier batches enriched."""
+    """Enrich each document once: every batch leaves out the ids that earlier batches enriched."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        done = read_sink(batch.sparkSession, sink, "customer_ai_enrichment", before=batch_id)
-        todo = enrich.unprocessed(batch, kind.id_column, done, kind.table, "sentiment_score")
+        todo = _unseen(batch, kind.id_column, sink, "enriched_ids", batch_id)
         # repeats within a batch are dropped after scoring, when the rows no longer carry text
         scored = enrich.wide_from_source(todo, kind, lexicon).dropDuplicates(["source_id"])
-        enrich.tall_from_wide(scored, as_of).write.mode("overwrite").parquet(
-            _batch_path(sink, "customer_ai_enrichment", batch_id)
-        )
+        write_sink(enrich.tall_from_wide(scored, as_of), sink, "customer_ai_enrichment", batch_id)
 
     return source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
@@ -102,13 +144,10 @@ def stream_evidence_refresh(source: DataFrame, sink: str, checkpoint: str, trigg
     """Add new corpus documents to the postings; with an hourly trigger the lag is one hour."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        known = read_sink(batch.sparkSession, sink, "documents", before=batch_id)
-        fresh = batch.dropDuplicates(["doc_id"])
-        if known is not None:
-            fresh = fresh.join(known.select("doc_id"), "doc_id", "left_anti")
+        fresh = _unseen(batch, "doc_id", sink, "indexed_ids", batch_id)
         index = evidence.build_index(fresh)
-        index.postings.write.mode("overwrite").parquet(_batch_path(sink, "postings", batch_id))
-        index.documents.write.mode("overwrite").parquet(_batch_path(sink, "documents", batch_id))
+        write_sink(index.postings.dropDuplicates(["doc_id", "term"]), sink, "postings", batch_id)
+        write_sink(index.documents.dropDuplicates(["doc_id"]), sink, "documents", batch_id)
 
     return source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
@@ -152,34 +191,53 @@ def ingest_interaction(
 ) -> StreamingQuery:
     """Append each arrival's three rows, then worsen the health of the touched customers.
 
-    Health versions live in the sink as ``customer_health/batch=<id>``: a batch reads the newest
-    version before it (or ``health_rows``) and writes its own.
+    A batch reads and writes only what its customers need: their earlier sentiment rows as sums, and their newest
+    health row. The sink's health starts as a copy of ``health_rows``; ``newest_health`` gives all customers.
     """
+    spark = health_rows.sparkSession
+    if not sink_folders(spark, sink, "customer_health"):
+        start = health_rows.select(*HEALTH).withColumn("batch_id", F.lit(-1).cast("bigint"))
+        start.write.mode("overwrite").parquet(f"{sink}/customer_health/through=-1")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        fresh = batch.dropDuplicates(["arrival_id"])
-        earlier = read_sink(spark, sink, "customer_ai_enrichment", before=batch_id)
-        if earlier is not None:
-            seen = earlier.select(F.expr("substring(enrichment_id, 3)").alias("arrival_id"))
-            fresh = fresh.join(seen, "arrival_id", "left_anti")
+        fresh = _unseen(batch, "arrival_id", sink, "arrival_ids", batch_id)
+        write_sink(fresh.dropDuplicates(["arrival_id"]), sink, "arrivals", batch_id)
+        fresh = spark.read.schema(fresh.schema).parquet(_batch_path(sink, "arrivals", batch_id))
         for table, rows in ingest_rows(fresh, as_of).items():
-            rows.write.mode("overwrite").parquet(_batch_path(sink, table, batch_id))
-        mine = spark.read.parquet(_batch_path(sink, "customer_ai_enrichment", batch_id))
-        narrow = ("customer_id", "sentiment_score")
-        known = enrichment.select(*narrow).unionByName(mine.select(*narrow))
-        if earlier is not None:
-            known = known.unionByName(earlier.select(*narrow))
-        previous = newest_health(spark, sink, batch_id)
-        updated = health.health_apply_delta(
-            health_rows if previous is None else previous, health.agg_sentiment(known), mine.select("customer_id"), as_of
+            write_sink(rows, sink, table, batch_id)
+        touched = fresh.select("customer_id").distinct()
+        write_sink(sentiment_sums(fresh.withColumnRenamed("sentiment", "sentiment_score")), sink, "sentiment_sums", batch_id)
+        sums = sentiment_sums(enrichment.join(touched, "customer_id", "left_semi")).unionByName(
+            read_sink(spark, sink, "sentiment_sums", batch_id + 1).join(touched, "customer_id", "left_semi")
         )
-        updated.write.mode("overwrite").parquet(_batch_path(sink, "customer_health", batch_id))
+        mood = added_sums(sums).select("customer_id", F.round(F.col("micro").cast("double") / 1_000_000.0 / F.col("n"), 12).alias("avg_sentiment"))
+        before = newest_rows(read_sink(spark, sink, "customer_health", batch_id).join(touched, "customer_id", "left_semi"))
+        updated = health.health_apply_delta(before, mood, touched, as_of)
+        write_sink(updated.withColumn("batch_id", F.lit(batch_id).cast("bigint")), sink, "customer_health", batch_id)
+        compact(spark, sink, "sentiment_sums", batch_id, added_sums)
+        compact(spark, sink, "customer_health", batch_id, newest_rows)
 
     return arrivals.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
+def sentiment_sums(rows: DataFrame) -> DataFrame:
+    """Per customer the sum of the scores in millionths, exact in any order, and their number."""
+    micro = fixed_units(F.col("sentiment_score"), 6)
+    return rows.filter(F.col("sentiment_score").isNotNull()).groupBy("customer_id").agg(F.sum(micro).alias("micro"), F.count("*").alias("n"))
+
+
+def added_sums(sums: DataFrame) -> DataFrame:
+    return sums.groupBy("customer_id").agg(F.sum("micro").alias("micro"), F.sum("n").alias("n"))
+
+
+def newest_rows(rows: DataFrame) -> DataFrame:
+    """Of each customer the rows' columns of the latest batch."""
+    latest = F.max_by(F.struct(*rows.columns), "batch_id").alias("r")
+    return rows.groupBy("customer_id").agg(latest).select("r.*")
+
+
 def newest_health(spark: SparkSession, sink: str, before: int | None = None) -> DataFrame | None:
-    """The health table after the last batch (before one), or None."""
-    ids = sink_batches(spark, sink, "customer_health", before)
-    return spark.read.parquet(_batch_path(sink, "customer_health", ids[-1])) if ids else None
+    """The health of all customers after the last batch (before one), or None."""
+    rows = read_sink(spark, sink, "customer_health", before)
+    return None if rows is None else newest_rows(rows).drop("batch_id")

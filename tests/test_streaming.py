@@ -109,6 +109,20 @@ def test_ingest_worsens_once_per_batch(spark, make, as_of, tmp_path):
     assert feeds.read_sink(spark, sink, "interaction").count() == 3
 
 
+def test_folders_read_do_not_grow_with_the_batches(spark, tmp_path):
+    sink = str(tmp_path)
+    for i in range(30):
+        batch = spark.createDataFrame([(f"a{i}",), (f"a{i}",), (f"a{i // 2}",)], "arrival_id string")
+        fresh = feeds._unseen(batch, "arrival_id", sink, "ids", i)
+        assert {r[0] for r in fresh.collect()} == {f"a{i}"}
+        assert len(feeds.sink_folders(spark, sink, "ids", i)) <= feeds.COMPACT_EVERY
+    assert feeds.read_sink(spark, sink, "ids").count() == 30
+    assert len(feeds.sink_batches(spark, sink, "ids")) == 30
+    shutil.rmtree(f"{sink}/ids/through=29", ignore_errors=True)
+    (tmp_path / "ids" / "through=28").mkdir(exist_ok=True)  # not complete: it has no _SUCCESS
+    assert feeds.read_sink(spark, sink, "ids").count() == 30
+
+
 def test_sink_reader_before_any_batch(spark, tmp_path):
     assert feeds.read_sink(spark, str(tmp_path), "nothing") is None
     assert feeds.newest_health(spark, str(tmp_path)) is None
