@@ -658,6 +658,16 @@ def sem_policy(w):
     return _rounded(_rounded(out, "avg_premium"), "total_premium", digits=4)
 
 
+@query
+def sem_policy_by_day(w):
+    """A time dimension, a filter, an order and a limit: the 25 start days with most active premium."""
+    out = semantic.metrics(
+        semantic.MODEL, {"policy": w.tables["policy"]}, ["policy_count", "total_premium"], by=["start_date"],
+        where=F.col("dim.status") == "Active", order=[F.col("total_premium").desc(), F.col("start_date")], limit=25,
+    )
+    return _rounded(out, "total_premium", digits=4)
+
+
 @query
 def sem_nba_log(w):
     out = semantic.metrics(

@@ -172,6 +172,15 @@ def _columns(*names: str) -> list[dict]:
     return [{"name": n, "expr": n} for n in names]
 
 
+def _total(column: str) -> str:
+    """Sum of a column with up to six decimals as whole millionths: the same in any order of rows."""
+    return f"cast(sum(cast(rint({column} * 1e6) as bigint)) as double) / 1e6"
+
+
+def _mean(column: str) -> str:
+    return f"{_total(column)} / count({column})"
+
+
 MODEL = SemanticModel.from_dict(
     {
         "tables": [
@@ -181,13 +190,13 @@ MODEL = SemanticModel.from_dict(
                 "time_dimensions": _columns("scored_at"),
                 "measures": _terms(
                     customer_count="count(distinct customer_id)",
-                    avg_health_score="avg(health_score)",
-                    avg_churn_risk="avg(churn_risk)",
+                    avg_health_score=_mean("health_score"),
+                    avg_churn_risk=_mean("churn_risk"),
                     churn_rate="count_if(churn_risk >= 0.4) / nullif(count(*), 0)",
                     critical_customers="count_if(risk_level = 'CRITICAL')",
-                    avg_sentiment="avg(sentiment_score)",
-                    avg_payment_score="avg(payment_score)",
-                    avg_engagement_score="avg(engagement_score)",
+                    avg_sentiment=_mean("sentiment_score"),
+                    avg_payment_score=_mean("payment_score"),
+                    avg_engagement_score=_mean("engagement_score"),
                 ),
             },
             {
@@ -196,9 +205,9 @@ MODEL = SemanticModel.from_dict(
                 "time_dimensions": _columns("created_at"),
                 "measures": _terms(
                     total_customers="count(distinct customer_id)",
-                    avg_tenure_months="avg(tenure_months)",
-                    avg_lifetime_value="avg(lifetime_value)",
-                    total_lifetime_value="sum(lifetime_value)",
+                    avg_tenure_months=_mean("tenure_months"),
+                    avg_lifetime_value=_mean("lifetime_value"),
+                    total_lifetime_value=_total("lifetime_value"),
                 ),
             },
             {
@@ -207,8 +216,8 @@ MODEL = SemanticModel.from_dict(
                 "time_dimensions": _columns("start_date", "end_date"),
                 "measures": _terms(
                     policy_count="count(distinct policy_id)",
-                    avg_premium="avg(premium_amount)",
-                    total_premium="sum(premium_amount)",
+                    avg_premium=_mean("premium_amount"),
+                    total_premium=_total("premium_amount"),
                     active_policies="count_if(status = 'Active')",
                 ),
             },
@@ -236,8 +245,8 @@ VIEW = SemanticModel.from_dict(
                 "dimensions": [{"name": "risk_level", "expr": "risk_level", "synonyms": ["risk category"]}],
                 "measures": [
                     {"name": "customer_count", "expr": "count(distinct customer_id)", "synonyms": ["total customers"]},
-                    {"name": "avg_health", "expr": "avg(health_score)", "synonyms": ["average health"]},
-                    {"name": "avg_churn_risk", "expr": "avg(churn_risk)", "synonyms": ["average churn risk"]},
+                    {"name": "avg_health", "expr": _mean("health_score"), "synonyms": ["average health"]},
+                    {"name": "avg_churn_risk", "expr": _mean("churn_risk"), "synonyms": ["average churn risk"]},
                     {
                         "name": "critical_count", "expr": "count_if(risk_level = 'CRITICAL')",
                         "synonyms": ["critical alerts"],

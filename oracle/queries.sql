@@ -351,6 +351,10 @@ FROM m_customer GROUP BY 1, 2, 3
 SELECT policy_type, status, count(DISTINCT policy_id) AS policy_count, round(avg(premium_amount)::DECIMAL(28,8), 6)::DOUBLE AS avg_premium,
        round(sum(premium_amount)::DECIMAL(28,8), 4)::DOUBLE AS total_premium, count(*) FILTER (status = 'Active') AS active_policies
 FROM m_policy GROUP BY 1, 2
+-- name: sem_policy_by_day
+SELECT strftime(start_date, '%Y-%m-%d') AS start_date, count(DISTINCT policy_id) AS policy_count,
+       round(sum(premium_amount)::DECIMAL(28,8), 4)::DOUBLE AS total_premium
+FROM m_policy WHERE status = 'Active' GROUP BY 1 ORDER BY round(sum(premium_amount)::DECIMAL(28,8), 4) DESC, 1 LIMIT 25
 -- name: sem_nba_log
 SELECT action_type, decided_by, count(DISTINCT action_id) AS action_count,
        round((count(*) FILTER (decision = 'APPROVED') / count(*))::DECIMAL(28,8), 6)::DOUBLE AS approval_rate,
