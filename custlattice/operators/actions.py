@@ -118,13 +118,19 @@ def nba_retention(
 
 
 def nba_claims(claim: DataFrame, health: DataFrame, existing: DataFrame, as_of: datetime) -> DataFrame:
-    """One escalation per stale claim of a customer with sentiment below 50."""
+    """One escalation per stale claim of a customer with sentiment below 50.
+
+    An escalation that was decided earlier and fires again gets this run's stamp, so that ids stay unique.
+    """
     unhappy = health.filter(F.col("sentiment_score") < 50).select("customer_id", "sentiment_score")
     stale = stale_claims(claim, as_of).select("customer_id", "claim_id", "claim_amount", "days_open")
     hits = join_uneven(stale, _free(unhappy, existing, ESCALATION), "customer_id", "claim_id")
+    taken = existing.filter(F.col("action_type") == ESCALATION).select(F.col("action_id").alias("_id")).distinct()
+    plain = F.concat(F.lit("NBA-CLM-"), "customer_id", F.lit("-"), "claim_id")
+    hits = hits.withColumn("_id", plain).join(taken.withColumn("_taken", F.lit(True)), "_id", "left")
     days = F.col("days_open")
     return _action(
-        hits, as_of, F.concat(F.lit("NBA-CLM-"), "customer_id", F.lit("-"), "claim_id"), ESCALATION,
+        hits, as_of, F.when(F.col("_taken"), F.concat("_id", F.lit("-" + stamp(as_of)))).otherwise(F.col("_id")), ESCALATION,
         clamp((days - 14) * 0.01 + 0.6, 0.0, 0.90), _filled(ESCALATION_TEXT, F.col("claim_id"), days), 2, 7,
         claim_id=F.col("claim_id"), days_open=days, claim_amount=F.col("claim_amount"),
         sentiment=F.col("sentiment_score"),
@@ -194,8 +200,7 @@ def generate_nba(
 ) -> DataFrame:
     """The next version of the action table: what was decided before, plus the five rules' actions.
 
-    Pending rows are cleared first, so only approved ones block. Claim escalations carry no run
-    stamp in their id: one that was decided earlier and fires again has the same id.
+    Pending rows are cleared first, so only approved ones block.
     """
     kept = clear_pending(existing, mode)
     parts = [

@@ -313,6 +313,14 @@ def test_escalation_confidence_cap_and_block(spark, make, as_of):
         assert (nba.nba_claims(claims, hl, held, as_of).count() == 0) is blocked
 
 
+def test_escalation_that_fires_again_gets_a_new_id(make, as_of):
+    claims = make("claim", *[dict(claim_id=f"K{d}", customer_id="C", status="Open", filed_date=ago(d)) for d in (15, 44)])
+    hl = make("customer_health", dict(customer_id="C", sentiment_score=49.0))
+    held = make("next_best_action", dict(action_id="NBA-CLM-C-K44", customer_id="C", action_type="CLAIMS_ESCALATION", status="REJECTED"))
+    got = {r["action_id"] for r in nba.nba_claims(claims, hl, held, as_of).collect()}
+    assert got == {"NBA-CLM-C-K15", "NBA-CLM-C-K44-20240131000000"}
+
+
 @pytest.mark.parametrize("churn,confidence", [(0.4, 0.7), (0.9, 0.95), (1.0, 0.95)])
 def test_retention_confidence(spark, make, as_of, churn, confidence):
     hl = make("customer_health", dict(customer_id="C5", churn_risk=churn, sentiment_score=10.0))
