@@ -15,18 +15,19 @@ from pyspark.sql import functions as F
 
 #: Own labelled URLs: what a crawl of texts should leave out, and ordinary sites.
 BLOCKED = """
-http://adult-videos.example/clips/12 http://www.adult-chat.example/room http://xxx-adult.example/x/1 https://sexcam-live.example/x
-https://porn-tube.example/watch/3 http://hot-xxx.example/x/gallery https://m.adult-dates.example/meet
-http://casino-royal.example/slots https://www.online-casino.example/bonus http://poker-win.example/table/7 https://big-win-slots.example/win
-http://lucky-win.example/jackpot https://casino-bonus.example/free-spins http://blog.casino-tips.example/win
-http://free-bets-now.example/odds https://sports-bets.example/live http://bets-online.example/free https://best-bets.example/tips
-http://cheap-meds.example/pills https://www.pills-online.example/buy http://cheap-viagra.example/order https://diet-pills.example/cheap
-http://buy-cheap-pills.example/offer http://pharmacy-cheap.example/pills/2 https://cheap-watches.example/replica http://cheap-loans.example/fast
-http://ads-server.example/click https://track-ads.example/pixel.gif http://banner-ads.example/js http://m.ads-click.example/redirect
-https://ad-track.example/count http://popup-ads.example/show https://user-track.example/track http://click-track.example/t
-http://spam-links.example/farm https://link-farm.example/page1 http://seo-spam.example/links https://content-farm.example/spam
-http://article-farm.example/auto http://spam-mail.example/list https://free-prize.example/claim http://free-gift-win.example/claim
-http://free-iphone.example/winner http://phish-bank.example/login-verify http://warez-crack.example/keygen https://torrent-crack.example/free
+http://adult-videos.example/en/12 http://www.adult-chat.example/fr/7 https://xxx-adult.example/de/4.html https://sexcam-live.example/es/9
+https://porn-tube.example/en/31 http://hot-xxx.example/x/gallery https://m.adult-dates.example/en/6?page=2 http://blog.adult-x-pics.example/en/44
+http://casino-royal.example/de/15 https://www.online-casino.example/en/22/ http://poker-win.example/fr/7 https://big-win-slots.example/en/400
+http://lucky-win.example/es/81 https://casino-bonus.example/en/5 http://blog.casino-tips.example/de/2 http://m.casino-winner.example/en/13.html
+http://free-bets-now.example/en/3 https://sports-bets.example/fr/21 http://bets-online.example/en/70 https://best-bets.example/de/8#top
+http://www.free-bet-odds.example/es/5 http://free-spins.example/en/66 http://blog.free-bets-tips.example/en/1 https://bets-free.example/en/90
+http://cheap-meds.example/en/19 https://www.pills-online.example/de/6 http://cheap-viagra.example/en/2 https://diet-pills.example/fr/11
+http://buy-cheap-pills.example/en/8 http://pharmacy-cheap.example/es/2 https://cheap-watches.example/en/37 http://m.cheap-loans.example/en/9
+http://ads-server.example/en/14 https://track-ads.example/de/3 http://banner-ads.example/en/25 http://m.ads-click.example/fr/12
+https://ad-track.example/en/77 http://popup-ads.example/es/3 https://ads-user-track.example/en/6/ http://click-track.example/de/18
+http://spam-links.example/en/51 https://link-farm.example/fr/4 http://seo-spam.example/en/28 https://content-farm.example/de/91
+http://www.article-farm.example/en/2 http://spam-mail.example/es/40 https://spam-farms.example/en/33 http://blog.farm-spam.example/en/12
+https://free-prize.example/en/10 http://phish-bank.example/login-verify http://warez-crack.example/keygen https://torrent-crack.example/fr/6
 """.split()
 ALLOWED = """
 http://thonder.example/en/12 https://www.tionary.example/fr/88.html http://blog.thewhole.example/de/31 https://m.ththere.example/en/900
