@@ -26,6 +26,8 @@ SAMPLE = (4_000, 12_000)
 #: Bytes of a word's start that can be a stem, besides the whole word.
 STEMS = (4, 5, 6)
 LEXICON = 600
+#: How many times as often as in other texts a stem of the lexicon occurs in toxic ones; with few texts only stems without a clean one reach it.
+RATIO = 50
 CUT = 0.3
 
 #: Own small word lists, in English, German, French and Spanish.
@@ -278,9 +280,8 @@ def fit(docs: DataFrame, labels: DataFrame, allowed=lambda doc_id: F.lit(True))
         share = np.clip(bad / max(1, bad + good), 1e-6, 1 - 1e-6)
         return Grammar(*nothing, np.array([np.log(share / (1 - share)), *[0.0] * len(PATTERNS)]))
     ratio = (F.col("bad") + 0.5) / (bad + 1) / ((F.col("good") + 0.5) / (good + 1))
-    least = max(5, bad // 50)
     chosen = (
-        _stem_counts(sample).withColumn("ratio", ratio).where((F.col("bad") >= least) & (F.col("ratio") >= 20))
+        _stem_counts(sample).withColumn("ratio", ratio).where((F.col("bad") >= 3) & (F.col("ratio") >= RATIO))
         .orderBy(F.desc("bad"), F.desc("ratio"), "stem").limit(LEXICON).collect()
     )
     keys = np.array([r.stem for r in chosen], dtype=np.int64).view(np.uint64)

@@ -33,7 +33,7 @@ def found(df):
 def test_odd_vectors_ties_and_copies(spark):
     nan, inf = float("nan"), float("inf")
     vectors = [(0, [1, 0, 0]), (1, [1, 0, 0]), (2, [0, 0, 0]), (3, None), (4, [1, nan, 0]), (5, [inf, 0, 0]), (6, [1, None, 0]), (None, [1, 0, 0])]
-    vectors += [(i, [1, 0.5, 0]) for i in range(10, 30)] + [(50, [1, 0.5, 0]), (51, [-1, 2, 1e-30]), (51, [-1, 2, 1e-30]), (100, [0, 0, 1e30]), (7, [])]
+    vectors += [(i, [1, 0.5, 0]) for i in range(10, 30)] + [(50, [1, 0.5, 0]), (51, [-1, 2, 0]), (51, [-1, 2, 0]), (100, [0, 0, 1e30]), (7, [])]
     got = found(ann.nearest(rows_of(spark, vectors), F.col("vec_id") % 50 == 0))
     assert got == brute([v for v in vectors if v[1] != []], (0, 50, 100))
 
