@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from custlattice.llm.staging import staged
-from custlattice.llm.tokens import LETTER, HashTable, Words, signed, slices, word_slices, words
+from custlattice.llm.tokens import LETTER, HashTable, Words, grams, signed, slices, word_slices, words
 
 #: Rows of the training sample with label 1 and with label 0, at most.
 SAMPLE = (4_000, 12_000)
@@ -234,7 +234,7 @@ def _sample(docs: DataFrame, labels: DataFrame, allowed) -> DataFrame:
 
 
 def _stem_counts(sample: DataFrame) -> DataFrame:
-    """(stem, toxic, texts): in how many texts each stem occurs; near copies, which share their smallest word hash, count once."""
+    """(stem, toxic, texts): in how many texts each stem occurs; near copies, which mostly share their smallest hash of three words, count once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -242,7 +242,9 @@ def _stem_counts(sample: DataFrame) -> DataFrame:
                 w = words(raw, off, LETTER)
                 row_of, found = w.row_of, stems(w)
                 least = np.full(part.num_rows, np.iinfo(np.uint64).max, dtype=np.uint64)
-                np.minimum.at(least, row_of, w.hashes)
+                three = grams(w.hashes, 3)
+                inside = w.left_in_row[: len(three)] >= 3
+                np.minimum.at(least, row_of[: len(three)][inside], three[inside])
                 for index, hashes in found:
                     if len(index):
                         pairs = np.unique(np.stack([hashes, row_of[index].astype(np.uint64)]), axis=1)
