@@ -1,9 +1,9 @@
 """Repeated passages by a sparse suffix array.
 
 Retained suffixes start at minimisers: the smallest hash of 11 consecutive words in each window of 40 such positions, so every passage of
-50 words holds one that depends on its own words alone. Suffixes whose first 11 words occur once are dropped; the others are
-sorted by their words over the whole cluster, each is compared with its neighbours, and a match is extended to the left and right,
-at most 39 and 50 words from the minimiser. The next minimiser of a longer match goes on from there, and the spans are merged.
+50 words belongs to one that depends on its own words alone. Suffixes whose first 11 words occur once are dropped; the others are
+extended to the left and right to every passage of 50 words that belongs to them, and sorted with it over the whole cluster. Equal passages
+are neighbours then, the first one leads, and all others are compared with it, however many suffixes share a minimiser.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from custlattice.llm.staging import staged
@@ -24,12 +24,13 @@ PASSAGE = 50
 #: Words of a minimiser's own hash.
 SEED = 11
 WINDOW = PASSAGE - SEED + 1
-LEFT = PASSAGE - SEED
 #: Bits of the broadcast map of repeated minimisers, as a power of two: 8 MB, whatever the input. Beyond it more suffixes
 #: are sorted than need be, with the same result.
 MAP_BITS = 26
-#: Runs of matching suffixes that stay open while a sort key goes on.
-OPEN_RUNS = 8
+#: Rows handled at once.
+ROWS = 1 << 16
+#: Stands for a null doc_id, which is the last in the order of documents.
+NO_ID = 2**63 - 1
 
 _ID = ["doc_id", "copy"]
 
@@ -43,30 +44,29 @@ def _keyed(docs: DataFrame) -> DataFrame:
     )
 
 
-def minimisers(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word positions of the minimisers, their hashes, and the hashes of all words."""
-    hashes = w.hashes
+def minimisers(hashes: np.ndarray, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions of passages of PASSAGE words within one row, the position of each one's minimiser, and the hashes of all seeds."""
     h = grams(hashes, SEED)
     n = len(h) - WINDOW + 1
     if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), hashes
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), h
     least, width = np.arange(len(h)), 1  # the leftmost smallest hash of `width` positions from each one
     while width < WINDOW:
         step = min(width, WINDOW - width)
         a, b = least[: len(least) - step], least[step:]
         least = np.where(h[b] < h[a], b, a)
         width += step
-    chosen = least[:n][w.left_in_row[:n] >= PASSAGE]
-    chosen = np.unique(chosen)
-    return chosen, h[chosen], hashes
+    start = np.flatnonzero(w.left_in_row[:n] >= PASSAGE)
+    return start, least[start], h
 
 
 def _keys(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, raw, off in slices(batch, "text"):
-                _, key, _ = minimisers(words(raw, off))
-                yield pa.RecordBatch.from_arrays([pa.array(signed(key))], ["key"])
+                w = words(raw, off)
+                _, at, seeds = minimisers(w.hashes, w)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(seeds[np.unique(at)]))], ["key"])
 
     return docs.select("text").mapInArrow(run, "key bigint")
 
@@ -86,18 +86,8 @@ def _repeated(keys: DataFrame) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def _context(hashes: np.ndarray, at: np.ndarray, before: np.ndarray, after: np.ndarray) -> tuple[list[bytes], list[bytes]]:
-    """Per suffix its words to the right, and those to its left read backwards, as big-endian 32-bit hashes."""
-    short = hashes.astype(">u4").tobytes()
-    back = hashes[::-1].astype(">u4").tobytes()
-    n = len(hashes)
-    right = [short[4 * i : 4 * (i + r)] for i, r in zip(at.tolist(), after.tolist(), strict=True)]
-    left = [back[4 * (n - i) : 4 * (n - i + b)] for i, b in zip(at.tolist(), before.tolist(), strict=True)]
-    return right, left
-
-
 def suffixes(docs: DataFrame) -> DataFrame:
-    """Retained suffixes whose minimiser may occur twice: key, right, left, doc_id, copy, pos (all in words)."""
+    """Passages around the retained suffixes, whose minimiser may occur twice: key, passage (hashes), doc_id, copy, pos (in words)."""
     docs = _keyed(docs)
     bitmap = docs.sparkSession.sparkContext.broadcast(_repeated(_keys(docs)))
 
@@ -106,21 +96,21 @@ def suffixes(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for part, raw, off in slices(batch, "text"):
                 w = words(raw, off)
-                at, key, hashes = minimisers(w)
+                hashes = w.hashes
+                start, at, seeds = minimisers(hashes, w)
+                key = seeds[at]
                 hit = bits[key >> np.uint64(64 - MAP_BITS + 6)] >> ((key >> np.uint64(64 - MAP_BITS)) & np.uint64(63)) & np.uint64(1)
-                at, key = at[hit == 1], key[hit == 1]
-                if not len(at):
+                start, key = start[hit == 1], key[hit == 1]
+                if not len(start):
                     continue
-                row = np.searchsorted(w.rows, at, "right") - 1
-                pos = at - w.rows[row]
-                right, left = _context(hashes, at, np.minimum(pos, LEFT), np.minimum(w.rows[row + 1] - at, PASSAGE))
+                row = np.searchsorted(w.rows, start, "right") - 1
                 rows = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(key)), pa.array(right, pa.binary()), pa.array(left, pa.binary()), part.column(0).take(rows), part.column(1).take(rows), pa.array(pos)],
-                    ["key", "right", "left", "doc_id", "copy", "pos"],
+                    [pa.array(signed(key)), pa.array(signed(grams(hashes, PASSAGE)[start])), part.column(0).take(rows), part.column(1).take(rows), pa.array(start - w.rows[row])],
+                    ["key", "passage", "doc_id", "copy", "pos"],
                 )
 
-    return docs.mapInArrow(run, "key bigint, right binary, left binary, doc_id bigint, copy bigint, pos bigint")
+    return docs.mapInArrow(run, "key bigint, passage bigint, doc_id bigint, copy bigint, pos bigint")
 
 
 def common_words(a: bytes, b: bytes) -> int:
@@ -132,115 +122,175 @@ def common_words(a: bytes, b: bytes) -> int:
     return (8 * n - x.bit_length()) >> 5
 
 
-_RUN = "run bigint, doc_id bigint, copy bigint, pos bigint, l int, r int, edge int, key bigint, right binary, left binary"
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= ROWS:
+            yield pa.Table.from_batches(held)
+            held, rows = [], 0
+    if rows:
+        yield pa.Table.from_batches(held)
+
+
+def _columns(block: pa.Table, *names: str) -> list[np.ndarray]:
+    return [block.column(n).combine_chunks().fill_null(NO_ID).to_numpy(zero_copy_only=False) for n in names]
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted suffixes in, matched suffixes out: those of one run match a neighbour over PASSAGE words or more.
+_MATCH = "part int, head boolean, edge int, alone boolean, key bigint, passage bigint, doc_id bigint, copy bigint, pos bigint, is_first boolean, first_doc bigint"
+_PLACE = ["key", "passage", "doc_id", "copy", "pos"]
 
-    edge 1 and 2: the partition's first and last suffix, with their words, to be compared across partitions.
+
+def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted passages in, those that occur at two places or more out, each with its first one's document.
+
+    head: equals of the partition's first passage. edge 1 and 2: the first of the equals of the partition's first and last passage, to be
+    compared across partitions; alone: it has no equal in the partition.
     """
-    base = TaskContext.get().partitionId() << 40
-    made, now = 0, None
-    runs: list[list] = []  # of the key: [id, right, left, row not yet given out or None]
-    out: list[tuple] = []
-    last = None
-
-    def batch() -> pa.RecordBatch:
-        columns = list(zip(*out, strict=True))
-        schema = pa.schema([("run", pa.int64()), ("doc_id", pa.int64()), ("copy", pa.int64()), ("pos", pa.int64()), ("l", pa.int32()), ("r", pa.int32()), ("edge", pa.int32()), ("key", pa.int64()), ("right", pa.binary()), ("left", pa.binary())])
-        made_batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
-        out.clear()
-        return made_batch
-
-    for got in batches:
-        for key, right, left, doc, copy, pos in zip(*(got.column(i).to_pylist() for i in range(6)), strict=True):
-            if key != now:
-                now, runs = key, []
-            best, where = (0, 0), None
-            for run in reversed(runs):
-                l, r = common_words(run[2], left), common_words(run[1], right)
-                if l + r >= PASSAGE and l + r > sum(best):
-                    best, where = (l, r), run
-            if where is None:
-                made += 1
-                where = [base + made, right, left, (doc, copy, pos)]
-                runs.append(where)
-                del runs[:-OPEN_RUNS]
-            else:
-                if where[3]:
-                    out.append((where[0], *where[3], *best, 0, None, None, None))
-                out.append((where[0], doc, copy, pos, *best, 0, None, None, None))
-                where[1:] = [right, left, None]
-            row = (where[0], doc, copy, pos, 0, 0)
-            if last is None:
-                out.append((*row, 1, key, right, left))
-            last = (*row, 2, key, right, left)
-            if len(out) >= 20_000:
-                yield batch()
-    if last is not None:
-        out.append(last)
-        yield batch()
+    part = TaskContext.get().partitionId()
+    held: pa.Table | None = None  # the row before, whose next one is not known yet
+    held_new, lead, groups, sizes = True, None, 0, [0, 0]  # sizes: rows of the first and last group
+    first: pa.Table | None = None
+
+    def marked(rows: pa.Table, head, edge: int, alone, is_first, first_doc) -> list[pa.RecordBatch]:
+        n = rows.num_rows
+        columns = [np.full(n, part, np.int32), head, np.full(n, edge, np.int32), np.full(n, alone), *(rows.column(c) for c in _PLACE), is_first, first_doc]
+        return pa.table([c if isinstance(c, pa.ChunkedArray) else pa.array(c) for c in columns], names=[c.split()[0] for c in _MATCH.split(", ")]).to_batches()
+
+    for block in _blocks(batches):
+        block = block.select(_PLACE)
+        rows = block if held is None else pa.concat_tables([held, block])
+        values = [*_columns(rows, *_PLACE), rows.column("doc_id").combine_chunks().is_null().to_numpy(zero_copy_only=False)]
+        change = [np.append(True, c[1:] != c[:-1]) for c in values]
+        keep = np.logical_or.reduce(change)  # repeated rows of a document are one
+        new = (change[0] | change[1])[keep]
+        new[0] = held_new
+        rows, doc = rows.filter(pa.array(keep)), values[2][keep]
+        starts = np.flatnonzero(new)
+        number = groups + np.cumsum(new)
+        leaders = np.concatenate([[NO_ID if lead is None else _columns(lead, "doc_id")[0][0]], doc[starts]])[np.cumsum(new)]
+        out = np.append(~new[:-1] | ~new[1:], False)  # of the last row when the next one is known
+        if out.any():
+            yield from marked(rows.filter(pa.array(out)), number[out] == 1, 0, False, new[out], leaders[out])
+        if first is None:
+            first = rows.slice(0, 1)
+        if len(starts):
+            lead = rows.slice(int(starts[-1]), 1)
+        sizes[0] += int((number[:-1] == 1).sum())
+        sizes[1] = (sizes[1] if number[0] == number[-1] else 0) + int((number[:-1] == number[-1]).sum())
+        held, held_new, groups = rows.slice(rows.num_rows - 1, 1), bool(new[-1]), int(number[-1]) - int(new[-1])
+    if held is None:
+        return
+    number = groups + int(held_new)
+    if not held_new:
+        yield from marked(held, np.array([number == 1]), 0, False, np.array([False]), _columns(lead, "doc_id")[0])
+    alone = [sizes[0] + (number == 1) == 1, sizes[1] == 0]
+    for edge, row in ((1, first), (2, lead)):
+        yield from marked(row, np.array([False]), edge, alone[edge - 1], np.array([False]), _columns(row, "doc_id")[0])
 
 
 def matches(retained: DataFrame) -> DataFrame:
-    """(run, doc_id, copy, pos, l, r): suffixes that match another one of their run over l words before and r words from pos."""
-    order = ["key", "right", "left", "doc_id", "copy", "pos"]
-    ordered = retained.repartitionByRange(*order).sortWithinPartitions(*order)
-    found = staged(ordered.mapInArrow(_runs, _RUN), "runs")
-    ends = sorted(found.where("edge > 0").collect(), key=lambda x: (x.run >> 40, x.edge))  # two rows a partition
-    joins: list[tuple] = []
-    same: dict[int, int] = {}
-    previous = None
-    for x in ends:
-        if x.edge == 1 and previous is not None and previous.key == x.key:
-            l, r = common_words(previous.left, x.left), common_words(previous.right, x.right)
-            if l + r >= PASSAGE:
-                same[x.run] = same.get(previous.run, previous.run)
-                joins += [(same[x.run], y.doc_id, y.copy, y.pos, l, r) for y in (previous, x)]
-        if x.edge == 2:
-            previous = x
-    inner = found.where("edge = 0").select("run", *_ID, "pos", "l", "r")
-    if not joins:
-        return inner
+    """(doc_id, copy, pos, is_first, first_doc): passages of PASSAGE words from pos that occur at two places or more.
+
+    first_doc: the document of the first of its equals, in the order of doc_id (null, here NO_ID, is last), copy and pos.
+    """
+    order = ["key", "passage", F.col("doc_id").asc_nulls_last(), "copy", "pos"]
+    found = staged(retained.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_matched, _MATCH), "runs")
+    ends = sorted(found.where("edge > 0").collect(), key=lambda x: (x.part, x.edge))  # two rows a partition
+    added: list[tuple] = []
+    into: dict[int, int] = {}
+    open_, alone = None, False  # the first of the equals that the last partition ended with
+    for a, b in zip(ends[::2], ends[1::2], strict=True):
+        if open_ is not None and (open_.key, open_.passage) == (a.key, a.passage):
+            into[a.part] = open_.first_doc
+            added += [(x.doc_id, x.copy, x.pos, x is open_, open_.first_doc) for x, single in ((open_, alone), (a, a.alone)) if single]
+            alone = False
+            if (b.key, b.passage) == (a.key, a.passage):
+                continue
+        open_, alone = b, b.alone
+    inner = found.where("edge = 0").select("part", "head", *_ID, "pos", "is_first", "first_doc")
     spark = retained.sparkSession
-    renamed = spark.createDataFrame(pa.table({"run": list(same), "into": list(same.values())}))
-    inner = inner.join(F.broadcast(renamed), "run", "left").select(F.coalesce("into", "run").alias("run"), *_ID, "pos", "l", "r")
-    names, kinds = inner.columns, [pa.int64()] * 4 + [pa.int32()] * 2
-    found = pa.table({n: pa.array(c, t) for n, c, t in zip(names, zip(*joins, strict=True), kinds, strict=True)})
-    return inner.unionByName(spark.createDataFrame(found))
+    if into:
+        renamed = spark.createDataFrame(pa.table({"part": pa.array(list(into), pa.int32()), "into": list(into.values())}))
+        inner = inner.join(F.broadcast(renamed), "part", "left")
+        moved = F.col("head") & F.col("into").isNotNull()
+        inner = inner.withColumns({"is_first": F.col("is_first") & ~moved, "first_doc": F.when(moved, F.col("into")).otherwise(F.col("first_doc"))})
+    inner = inner.select(*_ID, "pos", "is_first", "first_doc")
+    if added:
+        kinds = [pa.int64()] * 3 + [pa.bool_(), pa.int64()]
+        more = pa.table({n: pa.array(c, t) for n, c, t in zip(inner.columns, zip(*added, strict=True), kinds, strict=True)})
+        inner = inner.unionByName(spark.createDataFrame(more))
+    return inner
+
+
+_SPAN = "doc_id bigint, copy bigint, start_word bigint, end_word bigint, is_first boolean, first_doc_id bigint"
+
+
+def _islands(start: np.ndarray, first_doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and smallest first_doc of the unions of passages that begin at `start` (sorted)."""
+    if not len(start):
+        return start, start, first_doc
+    begin = np.flatnonzero(np.append(True, np.diff(start) > PASSAGE))
+    return start[begin], start[np.append(begin[1:], len(start)) - 1] + PASSAGE, np.minimum.reduceat(first_doc, begin)
+
+
+def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Passages sorted by document and position in; the spans of repeated_spans out."""
+
+    def inside(point: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return np.searchsorted(start, point, "right") > np.searchsorted(end, point, "right")
+
+    def spans(rows: pa.Table, new: np.ndarray) -> Iterator[pa.RecordBatch]:
+        pos, is_first, first_doc = (rows.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("pos", "is_first", "first_doc"))
+        begin = np.flatnonzero(new)
+        size = pos[np.append(begin[1:], len(pos)) - 1] + 2 * PASSAGE  # documents one after the other on one scale, never touching
+        base = np.cumsum(size) - size
+        at = pos + base[np.cumsum(new) - 1]
+        own, doc = _islands(at[is_first], first_doc[is_first]), first_doc[~is_first]
+        other = at[~is_first]
+        again = _islands(other, doc)
+        # a passage whose words all belong to first occurrences of others is cut all the same
+        where = np.searchsorted(own[0], other, "right") - 1
+        within = other[(where >= 0) & (np.append(own[1], 0)[where] >= other + PASSAGE)]
+        within = _islands(within, within)
+        point = np.unique(np.concatenate([*again[:2], *own[:2], *within[:2]]))
+        gone = inside(point, *again[:2]) & (~inside(point, *own[:2]) | inside(point, *within[:2]))
+        edge = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]])))
+        start, end = point[edge[::2]], point[edge[1::2]]
+        named = again[2][np.searchsorted(again[0], start, "right") - 1] if len(start) else start
+        for a, b, d, kind in ((*own, True), (start, end, named, False)):
+            row = np.searchsorted(base, a, "right") - 1
+            of = pa.array(begin[row])
+            yield pa.RecordBatch.from_arrays(
+                [*(rows.column(c).combine_chunks().take(of) for c in _ID), pa.array(a - base[row]), pa.array(b - base[row]), pa.array(np.full(len(a), kind)), pa.array(d, mask=d == NO_ID)],
+                [c.split()[0] for c in _SPAN.split(", ")],
+            )
+
+    held: pa.Table | None = None
+    for block in _blocks(batches):
+        rows = block if held is None else pa.concat_tables([held, block])
+        doc, copy = _columns(rows, *_ID)
+        absent = rows.column("doc_id").combine_chunks().is_null().to_numpy(zero_copy_only=False)
+        new = np.append(True, (doc[1:] != doc[:-1]) | (copy[1:] != copy[:-1]) | (absent[1:] != absent[:-1]))
+        cut_at = int(np.flatnonzero(new)[-1])  # the last document may go on
+        if cut_at:
+            yield from spans(rows.slice(0, cut_at), new[:cut_at])
+        held = rows.slice(cut_at)
+    if held is not None and held.num_rows:
+        yield from spans(held, np.arange(held.num_rows) == 0)
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """One row per repeated passage of a document: doc_id, copy, start_word, end_word, is_first, first_doc_id.
 
-    is_first: the passage occurs here first, in the order of doc_id, copy and position; first_doc_id has that occurrence. Rows equal in doc_id and
-    text are one document. Texts that are null, empty or shorter than PASSAGE words have no row, and no table is too small.
+    is_first: the passage occurs here first, in the order of doc_id, copy and position; first_doc_id has that occurrence. It is decided for
+    each PASSAGE words, so a span that is not first has only words that an earlier occurrence holds, and leaves out those that belong to the first
+    occurrence of another passage, unless a repeated passage would stay whole. Rows equal in doc_id and text are one document. Texts that
+    are null, empty or shorter than PASSAGE words have no row, and no table is too small.
     """
-    found = staged(matches(staged(suffixes(docs), "suffixes")), "matches")
-    place = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc"), "copy", "pos")
-    first = staged(found.groupBy("run").agg(F.min(place).alias("first")), "firsts")
-    is_first = place == F.col("first")
-    same = (F.col("first.doc") == place["doc"]) & (F.col("first.copy") == F.col("copy")) & ~is_first
-    start = F.col("pos") - F.col("l")
-    # a passage that overlaps its own first occurrence, as in periodic text, begins after it
-    start = F.when(same, F.greatest(start, F.col("first.pos") + F.col("r"))).otherwise(start)
-    spans = found.join(first, "run").select(
-        *_ID,
-        start.alias("start_word"),
-        (F.col("pos") + F.col("r")).alias("end_word"),
-        is_first.alias("is_first"),
-        F.col("first.doc").alias("first_doc_id"),
-    ).where("start_word < end_word")
-    by = Window.partitionBy(*_ID, "is_first").orderBy("start_word", "end_word", "first_doc_id")
-    before = F.max("end_word").over(by.rowsBetween(Window.unboundedPreceding, -1))
-    island = F.sum(F.when(before >= F.col("start_word"), 0).otherwise(1)).over(by)
-    return (
-        spans.distinct().withColumn("island", island)
-        .groupBy(*_ID, "is_first", "island")
-        .agg(F.min("start_word").alias("start_word"), F.max("end_word").alias("end_word"), F.min("first_doc_id").alias("first_doc_id"))
-        .select(*_ID, "start_word", "end_word", "is_first", F.when(F.col("first_doc_id") < 2**63 - 1, F.col("first_doc_id")).alias("first_doc_id"))
-    )
+    found = matches(staged(suffixes(docs), "suffixes"))
+    return found.repartition(*_ID).sortWithinPartitions(*_ID, "pos").mapInArrow(_spans, _SPAN)
 
 
 def cut(texts: pa.Array, spans: pa.Array) -> pa.Array:

@@ -93,3 +93,21 @@ def test_common_words():
     assert suffixes.common_words(b"abcdefgh", b"abcdefgi") == 1
     assert suffixes.common_words(b"abcdefgh", b"abcdefghijkl") == 2
     assert suffixes.common_words(b"\0\0\0\1", b"\0\0\0\2") == 0
+
+
+def test_left_heavy_pair_among_many_contexts_of_one_line(spark, docs_of):
+    line = prose(2000, 15)
+    before = prose(2001, 36)
+    texts = [f"{prose(3000 + i, 60)} {line} {prose(6000 + i, 60)}" for i in range(400)]
+    for i in (50, 150, 250, 350):
+        texts[i] = f"{prose(3000 + i, 60)} {before} {line} {prose(6000 + i, 60)}"
+    saved = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "7")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        rows = repeated_spans(docs_of(texts).repartition(5)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", saved)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert covered(rows) == plain_repeated(texts)
+    assert {(r.doc_id, r.is_first, r.first_doc_id) for r in rows} == {(50, True, 50), (150, False, 50), (250, False, 50), (350, False, 50)}
