@@ -111,3 +111,19 @@ def test_left_heavy_pair_among_many_contexts_of_one_line(spark, docs_of):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert covered(rows) == plain_repeated(texts)
     assert {(r.doc_id, r.is_first, r.first_doc_id) for r in rows} == {(50, True, 50), (150, False, 50), (250, False, 50), (350, False, 50)}
+
+
+def test_passages_around_a_shared_one_are_not_lost(spark, docs_of):
+    for seed in range(4):
+        shared, left = prose(4000 + seed, 80), prose(4100 + seed, 39)
+        texts = [f"{prose(4200 + seed, 60)} {shared}", f"{left} {shared}", f"{prose(4300 + seed, 60)} {left} {shared}"]
+        kept = [r.text.lower().split() for r in without_repeats(docs_of(texts)).collect()]
+        left_over = {tuple(w[a : a + PASSAGE]) for w in kept for a in range(len(w) - PASSAGE + 1)}
+        places = {}
+        for i, t in enumerate(texts):
+            w = t.split()
+            for a in range(len(w) - PASSAGE + 1):
+                places.setdefault(tuple(w[a : a + PASSAGE]), []).append(i)
+        assert {p for p, at in places.items() if len(at) > 1} <= left_over
+        assert all(any(w[a : a + PASSAGE].count(x) for w in kept for a in range(0, len(w), PASSAGE)) for x in left.split())
+        assert all(sum(tuple(w[a : a + PASSAGE]) == p for w in kept for a in range(len(w) - PASSAGE + 1)) == 1 for p, at in places.items() if len(at) > 1)
