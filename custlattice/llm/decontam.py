@@ -1,6 +1,6 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming look-up, exact weighted-shingle check.
 
-An item of n words is compared with windows of n words. Weights are the counts of 5-word shingles; similarity is the weighted Jaccard
+An item of n words is compared with windows of n words, or with the whole text where that has fewer. Weights are the counts of 5-word shingles; similarity is the weighted Jaccard
 measure, the sum of smaller counts over the sum of larger ones. A window with fewer than 0.8 of an item's shingles cannot reach 0.8, so
 fingerprints are computed for the other windows only; no window that could match is left out. A window's fingerprint is looked up in BLOCKS
 tables, one for each block of its bits, that hold every item under all block values within RADIUS // BLOCKS bits: by the pigeonhole principle this finds
@@ -140,10 +140,10 @@ class Benchmark:
         """Best window per item of one row's words. items, at: the row's hits."""
         n, best, windows, seen = len(hashes), {}, {}, set()
         for item in np.unique(items).tolist():
-            size, need = self.length[item], int(self.need[item])
+            size, need = min(self.length[item], n), int(self.need[item])
             k = min(SHINGLE, size)
             own = np.sort(at[items == item])
-            if len(own) < need or n < size:
+            if len(own) < need:
                 continue
             first = own[: len(own) - need + 1]
             last = own[need - 1 :]
@@ -151,11 +151,12 @@ class Benchmark:
             starts = set()
             for a, b in zip(first[near].tolist(), last[near].tolist(), strict=True):
                 starts.update(range(max(0, b + k - size), min(a, n - size) + 1))
-            index, members = self.by_length[size]
+            length = self.length[item]
+            index, members = self.by_length[length]
             for start in sorted(starts):
-                if (start, size) in seen:
+                if (start, length) in seen:
                     continue
-                seen.add((start, size))
+                seen.add((start, length))
                 window = shingle_counts(hashes[start : start + size])
                 for j, distance in index.search(int(simhash(*window))).items():
                     i = int(members[j])
@@ -198,8 +199,8 @@ def _search(docs: DataFrame, block: Benchmark) -> DataFrame:
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, start_word, words, hamming, similarity, windows): per document row and item its most similar window.
 
-    windows: how many windows reach SIMILARITY; ties go to the leftmost. Null and empty texts and items match nothing, texts shorter than an
-    item neither; items below 5 words are one shingle and match exactly. Repeated rows and items each count; empty tables give no rows.
+    windows: how many windows reach SIMILARITY; ties go to the leftmost. A text shorter than an
+    item is one window as a whole. Null and empty texts and items match nothing; items below 5 words are one shingle and match exactly. Repeated rows and items each count; empty tables give no rows.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     parts = [_search(rows, block) for block in _blocks(benchmark)]

@@ -78,3 +78,25 @@ def test_index_finds_all_within_the_radius():
             x ^= 1 << int(b)
         expected = {i: (x ^ int(p)).bit_count() for i, p in enumerate(prints.tolist())}
         assert index.search(x) == {i: d for i, d in expected.items() if d <= decontam.RADIUS}
+
+
+def test_texts_shorter_than_the_item(spark, docs_of):
+    items = [prose(700 + i, n) for i, n in enumerate((40, 15, 9, 6, 5, 4))]
+    texts = [" ".join(t.split()[a : len(t.split()) - b]) for t in items for a in range(3) for b in range(9) if a + b]
+
+    def shingles(w):
+        k = min(5, len(w))
+        return Counter(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
+
+    expected = {}
+    for d, t in enumerate(texts):
+        for i, item in enumerate(items):
+            p, q = shingles(t.split()), shingles(item.split())
+            if len(t.split()) < len(item.split()) and (p & q).total() >= 0.8 * (p | q).total():
+                expected[d, i] = (0, len(t.split()), (p & q).total() / (p | q).total(), 1)
+    assert len(expected) > 10
+    docs = docs_of(texts)
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id): (r.start_word, r.words, r.similarity, r.windows) for r in decontam.contaminated(docs, benchmark).collect()}
+    assert got == expected
+    assert {r.doc_id for r in decontam.without_contaminated(docs, benchmark).collect()} == set(range(len(texts))) - {d for d, _ in expected}
