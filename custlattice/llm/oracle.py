@@ -21,3 +21,86 @@ SELECT
 FROM turns GROUP BY conv_id
 """,
 }
+
+_LEAF = "sha256(" + " || ".join(
+    f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || {c} END" for c in ("doc_id", "source", "lang", "n_chars", "{}")
+) + ")"
+
+#: Levels unrolled: trees of up to 8^8 leaves, and as many as 8^3 languages.
+_LEVELS, _TOP = 8, 3
+
+
+def _merkle() -> str:
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    ctes = [
+        "crc_table AS (SELECT list(list_reduce(list_prepend(v, range(8)), lambda c, i: xor(c >> 1, 3988292384 * (c & 1))) ORDER BY v) AS t FROM range(256) AS r(v))",
+        """docs AS (
+  SELECT d.*, xor(4294967295, list_reduce(
+    list_prepend(4294967295, [CAST(unicode(c) AS BIGINT) FOR c IN string_split(CAST(doc_id AS VARCHAR), '')]),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])
+  )) % 3 = 0 AS changed
+  FROM documents AS d, crc_table
+)""",
+        f"""hashed AS (
+  SELECT doc_id, lang, {_LEAF.format(*["text"] * 3)} AS leaf,
+    CASE WHEN changed THEN {_LEAF.format(*[lower] * 3)} ELSE {_LEAF.format(*["text"] * 3)} END AS found FROM docs
+)""",
+        "p0 AS (SELECT *, found AS cur, '' AS proof, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf, found) - 1 AS i FROM hashed)",
+        "n0 AS (SELECT lang, i, leaf AS d FROM p0)",
+    ]
+
+    def level(nodes, runs, after, key):
+        """One level up: runs of 8 nodes, and their parents; a tree of one node stays."""
+        ctes.append(
+            f"{runs} AS (SELECT {key} AS k, i // 8 AS i, list(d ORDER BY i) AS run, any_value(n) AS n FROM (SELECT *, count(*) OVER (PARTITION BY {key}) AS n FROM {nodes}) GROUP BY {key}, i // 8)"
+        )
+        ctes.append(f"{after} AS (SELECT k AS {key}, i, CASE WHEN n = 1 THEN run[1] ELSE sha256(array_to_string(run, '')) END AS d FROM {runs})")
+
+    def step(before, runs, after, key):
+        """Folds one level into the proofs."""
+        others = "list_concat(run[1:(p.i % 8)], run[(p.i % 8 + 2):])"
+        ctes.append(
+            f"""{after} AS (SELECT p.* REPLACE (
+    p.i // 8 AS i,
+    CASE WHEN n = 1 THEN proof ELSE proof || array_to_string({others}, '') END AS proof,
+    CASE WHEN n = 1 THEN cur ELSE sha256(array_to_string(list_concat(list_append(run[1:(p.i % 8)], cur), run[(p.i % 8 + 2):]), '')) END AS cur)
+  FROM {before} AS p JOIN {runs} AS r ON r.k IS NOT DISTINCT FROM p.{key} AND r.i = p.i // 8)"""
+        )
+
+    for x in range(_LEVELS):
+        level(f"n{x}", f"r{x}", f"n{x + 1}", "lang")
+        step(f"p{x}", f"r{x}", f"p{x + 1}", "lang")
+    ctes.append(f"subroots AS (SELECT lang, d, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS place FROM n{_LEVELS})")
+    ctes.append("m0 AS (SELECT 0 AS one, place AS i, d FROM subroots)")
+    ctes.append(f"q0 AS (SELECT p.* REPLACE (s.place AS i), s.d AS subroot, 0 AS one FROM p{_LEVELS} AS p JOIN subroots AS s ON s.lang IS NOT DISTINCT FROM p.lang)")
+    for x in range(_TOP):
+        level(f"m{x}", f"t{x}", f"m{x + 1}", "one")
+        step(f"q{x}", f"t{x}", f"q{x + 1}", "one")
+    return (
+        "WITH " + ",\n".join(ctes) + f"\nSELECT doc_id, leaf, subroot, d AS root, sha256(proof) AS proof_sha256, cur AS folded_root, cur = d AS verified FROM q{_TOP} CROSS JOIN m{_TOP}"
+    )
+
+
+ORACLE_SQL["op12_manifest"] = _merkle()
+
+_TERMS = r"unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))"
+
+ORACLE_SQL["op13_search"] = f"""
+WITH numbered AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+items AS (SELECT row_number() OVER () AS j, item_id, text FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+item_terms AS (SELECT DISTINCT j, item_id, {_TERMS} AS term FROM items),
+words AS (SELECT r, doc_id, {_TERMS} AS term FROM numbered),
+sizes AS (SELECT r, count(*) AS n FROM words GROUP BY r),
+whole AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS l FROM sizes),
+counts AS (SELECT r, any_value(doc_id) AS doc_id, term, count(*) AS tf FROM words WHERE term IN (SELECT term FROM item_terms) GROUP BY r, term),
+weights AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM counts, whole GROUP BY term, docs),
+scored AS (
+  SELECT j, item_id, c.r, any_value(c.doc_id) AS doc_id,
+    CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // l)))) AS BIGINT) AS score
+  FROM item_terms JOIN counts AS c USING (term) JOIN weights USING (term) JOIN sizes AS s ON s.r = c.r, whole
+  GROUP BY j, item_id, c.r
+)
+SELECT item_id, CAST(place AS INTEGER) AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY j ORDER BY score DESC, doc_id NULLS LAST) AS place FROM scored WHERE score > 0
+) WHERE place <= 10
+"""

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from custlattice.llm import ann, chatformat, classlm, decontam, langid, neardup, packing, suffixes, toxicity, urlfilter
+from custlattice.llm import ann, chatformat, classlm, decontam, langid, merkle, neardup, packing, ranking, sharding, suffixes, toxicity, urlfilter
 from custlattice.llm.oracle import ORACLE_SQL as ORACLE_SQL
 from custlattice.llm.staging import fold, table
 
@@ -71,7 +71,22 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxic_scores(docs, made).select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", "predicted")
 
 
+def op11_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sharding.sharded(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.when(fold(F.col("doc_id"), 3) == 0, F.translate("text", merkle.UPPER, merkle.LOWER)).otherwise(F.col("text"))
+    return merkle.manifest(docs, tampered)
+
+
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_chat, op2_nearest, op3_packing, op4_language, op5_classes, op6_repeats, op7_urls, op8_decontamination, op9_simhash, op10_toxicity)
+    for f in (op1_chat, op2_nearest, op3_packing, op4_language, op5_classes, op6_repeats, op7_urls, op8_decontamination, op9_simhash, op10_toxicity, op11_shards, op12_manifest, op13_search)
 }

@@ -94,7 +94,7 @@ def test_run_gives_the_last_stage(spark, stages):
 
 def test_registered():
     names = entry.queries()
-    assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 11)) and "pipeline" in names
+    assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 14)) and "pipeline" in names
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
