@@ -111,10 +111,13 @@ class Starts:
 
     def refine(self, spans: list[tuple[int, int]], ask) -> Starts:
         """With the starts that `ask(ranges, width)` finds inside the open gaps that touch a span: (range, first, last, count) per cell of `width`."""
+        gaps = np.flatnonzero(self.open)
         hit = np.zeros(len(self.open), dtype=bool)
-        for a, b in spans:
-            hit[max(0, np.searchsorted(self.at, a, "right") - 1) : np.searchsorted(self.at, b, "right")] = True
-        hit &= self.open
+        for a, b in spans:  # from the first to the last open gap that the span touches
+            i, j = np.searchsorted(self.at, a, "right") - 1, np.searchsorted(self.at, b, "right")
+            own = gaps[np.searchsorted(gaps, max(i, 0)) : np.searchsorted(gaps, j)]
+            if len(own):
+                hit[own[0] : own[-1] + 1] = True
         edge = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]])))
         ranges = [(int(self.at[a]), int(self.at[b])) for a, b in zip(edge[::2], edge[1::2], strict=True)]
         width = max(1, -(-sum(b - a for a, b in ranges) // CELLS))
@@ -132,7 +135,7 @@ class Starts:
             here = np.flatnonzero((left >= a) & (right <= b))
             if len(f) and len(here):
                 cell = np.searchsorted(f, left[here], "right") - 1
-                open_[here] = (cell >= 0) & (right[here] <= x[np.maximum(cell, 0)])
+                open_[here] = self.open[inside[here]] & (cell >= 0) & (right[here] <= x[np.maximum(cell, 0)])
         return Starts(at, open_)
 
 
@@ -154,14 +157,12 @@ def minimax(total: int, shards: int, ask) -> list[int]:
 
 def _asker(groups: DataFrame):
     def ask(ranges: list[tuple[int, int]], width: int) -> tuple[np.ndarray, ...]:
-        where = F.lit(False)
-        for a, b in ranges:
-            where = where | ((F.col("at") > a) & (F.col("at") < b))
+        where = [(F.col("at") > a) & (F.col("at") < b) for a, b in ranges]  # no more than spans
+        while len(where) > 1:
+            where = [a | b for a, b in zip(where[::2], where[1::2], strict=False)] + where[len(where) // 2 * 2 :]
         # a cell that two ranges share counts for each of them
-        of = F.lit(0)
-        for i, (a, _) in enumerate(ranges):
-            of = F.when(F.col("at") > a, F.lit(i)).otherwise(of)
-        cells = groups.where(where).groupBy(of.alias("of"), F.floor(F.col("at") / width).alias("cell"))
+        of = F.size(F.filter(F.array(*(F.lit(a) for a, _ in ranges)), lambda x: x < F.col("at"))) - 1
+        cells = groups.where(where[0]).groupBy(of.alias("of"), F.floor(F.col("at") / width).alias("cell"))
         got = cells.agg(F.min("at").alias("first"), F.max("at").alias("last"), F.count("*").alias("n")).toArrow()
         return tuple(got.column(c).to_numpy() for c in ("of", "first", "last", "n"))
 
