@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,3 +45,50 @@ def numbered(rows: DataFrame, order: list, name: str, weight: str | None = None)
     if weight:
         return joined.withColumn("before", F.col("before") + F.col("_before")).select(*rows.columns, "place", "before")
     return joined.select(*rows.columns, "place")
+
+
+def led(rows: DataFrame, group: str, lead: str, order: list, name: str) -> DataFrame:
+    """rows with `of`, the value of `lead` (bigint) in the first row of their group, and `leads`, whether they are that row.
+
+    order: of the rows of a group. Rows are sorted over the whole cluster by group and order, so a group of any size is many tasks' work; a
+    group that goes on in the next range is carried over by two values per range, which meet in the driver.
+    """
+    spark = rows.sparkSession
+    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", _part int, _head boolean, of bigint, leads boolean"
+    at, own = rows.columns.index(group), rows.columns.index(lead)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, first, last, of = TaskContext.get().partitionId(), None, None, None
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            names = batch.column(at)
+            begin = np.append(True, pa.compute.not_equal(names[1:], names[:-1]).to_numpy(zero_copy_only=False))
+            begin[0] = names[0].as_py() != last
+            start = np.flatnonzero(begin)
+            if first is None:
+                first = names[0].as_py()
+            # place 0 stands for the leader of the group that goes on
+            leaders = pa.concat_arrays([pa.array([of], pa.int64()), batch.column(own).take(pa.array(start))])
+            mine = leaders.take(pa.array(np.cumsum(begin)))
+            head = pa.compute.equal(names, pa.scalar(first, names.type))
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(np.full(n, part, np.int32)), head, mine, pa.array(begin)], [*batch.schema.names, "_part", "_head", "of", "leads"]
+            )
+            last, of = names[n - 1].as_py(), mine[n - 1].as_py()
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = staged(rows.repartitionByRange(parts, group, *order).sortWithinPartitions(group, *order).mapInArrow(run, kind), name)
+    ends = found.groupBy("_part").agg(F.min(group).alias("first"), F.max(group).alias("last"), F.max_by("of", group).alias("of"))
+    into, open_ = {}, None  # the last group so far and its leader
+    for e in sorted(ends.collect()):  # one row a partition
+        goes_on = open_ is not None and open_[0] == e.first
+        if goes_on:
+            into[e._part] = open_[1]
+        open_ = (e.last, open_[1] if goes_on and e.last == e.first else e.of)
+    named = pa.table({"_part": pa.array(list(into), pa.int32()), "_of": pa.array(list(into.values()), pa.int64()), "_on": [True] * len(into)})
+    joined = found.join(F.broadcast(spark.createDataFrame(named, "_part int, _of bigint, _on boolean")), "_part", "left")
+    moved = F.col("_head") & F.col("_on").isNotNull()
+    of = F.when(moved, F.col("_of")).otherwise(F.col("of"))
+    return joined.select(*rows.columns, of.alias("of"), (F.col("leads") & ~moved).alias("leads"))

@@ -127,3 +127,46 @@ def test_passages_around_a_shared_one_are_not_lost(spark, docs_of):
         assert {p for p, at in places.items() if len(at) > 1} <= left_over
         assert all(any(w[a : a + PASSAGE].count(x) for w in kept for a in range(0, len(w), PASSAGE)) for x in left.split())
         assert all(sum(tuple(w[a : a + PASSAGE]) == p for w in kept for a in range(len(w) - PASSAGE + 1)) == 1 for p, at in places.items() if len(at) > 1)
+
+
+def plain_spans(texts):
+    """(document, first word, last word, whether it leads) of all passages that repeat, one by one."""
+    seen = {}
+    for i, t in enumerate(texts):
+        w = (t or "").lower().split()
+        for a in range(len(w) - PASSAGE + 1):
+            seen.setdefault(tuple(w[a : a + PASSAGE]), []).append((i, a))
+    return {(i, a): (i, a) == places[0] for places in seen.values() if len(places) > 1 for i, a in places}
+
+
+def mixed(seed, n=120):
+    """Texts around one line that agree with others to the left, to the right, to both sides or not at all, in all orders."""
+    rng = random.Random(seed)
+    line = prose(5000 + seed, rng.choice((11, 15, 30)))
+    left = [prose(5100 + 10 * seed + i, 60) for i in range(6)]
+    right = [prose(5200 + 10 * seed + i, 60) for i in range(6)]
+    out = []
+    for i in range(n):
+        a, b = (rng.choice(side).split() if rng.random() < 0.8 else prose(6000 + 1000 * seed + i, 60).split() for side in (left, right))
+        cut = rng.choice((0, 5, 20, 40))
+        out.append(" ".join([*prose(7000 + i, 8).split()[: rng.randrange(8)], *a[cut:], line, *b[: 60 - rng.choice((0, 10, 35))]]))
+    return out + out[:5] + [f"{out[7]} {out[9]}"]
+
+
+def test_passages_that_are_no_neighbours(spark, docs_of):
+    for seed, hot in ((1, 4096), (2, 4096), (3, 5)):
+        texts = mixed(seed)
+        rows = repeated_spans(docs_of(texts).repartition(3), hot).collect()
+        expected = plain_spans(texts)
+        firsts, words = {}, {}
+        for (i, a), leads in expected.items():
+            words.setdefault(i, set()).update(range(a, a + PASSAGE))
+            if leads:
+                firsts.setdefault(i, set()).update(range(a, a + PASSAGE))
+        assert covered(rows) == words
+        assert covered([r for r in rows if r.is_first]) == firsts
+
+
+def test_hot_minimisers_change_nothing(spark, docs_of):
+    docs = docs_of(planted())
+    assert sorted(map(tuple, repeated_spans(docs, 1).collect())) == sorted(map(tuple, repeated_spans(docs).collect()))
