@@ -5,6 +5,9 @@ are the words of a linear code of covering radius 4: the perfect Golay code on 2
 and 2 bits as they are. Two halves at distance d have a point m halfway, at most ceil(d / 2) from both, and m has an anchor within the covering
 radius; so it is enough to replicate a half to all anchors within radius 4 + 1, about 15 of 2^18, and every pair within
 the threshold meets at an anchor. There whole fingerprints are compared.
+
+Texts of a similarity of 0.8 differ in about 15 % of the bits, far more than such a threshold. `without_similar` therefore takes a fingerprint of
+PIECES pieces of 32 bits, replicates each piece to its anchors, and compares whole fingerprints of those that are near in one piece.
 """
 
 from __future__ import annotations
@@ -19,12 +22,18 @@ from pyspark.sql import functions as F
 
 from custlattice.llm.components import components
 from custlattice.llm.staging import staged
-from custlattice.llm.tokens import text_bytes
+from custlattice.llm.tokens import WORD, grams, mix, text_bytes, word_slices
 
 SHINGLE = 4
 THRESHOLD = 4
 COVERING_RADIUS = 4
 HALF_BITS = 32
+#: Pieces of a long fingerprint, words of its shingles, bits that one piece and the whole may differ in. At a Jaccard similarity of 0.8 of two texts' shingles
+#: 77 of 512 bits differ, with a deviation of 8, and a piece is near with a chance of 0.12; at 0.9 it is 0.34; 92 bits are a similarity of 0.73.
+PIECES = 16
+WORDS = 5
+PIECE_THRESHOLD = 2
+LONG_THRESHOLD = 92
 #: Members of an anchor compared by one task; an anchor with more is split into pairs of chunks.
 CHUNK = 8192
 
@@ -177,17 +186,16 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from links(np.concatenate(keys), np.concatenate(prints))
 
 
-def near_links(prints: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """(u, v): links between distinct fingerprints (column fp) that give the same components as all pairs within the threshold.
+def _cells(replicated: DataFrame, chunk: int, name: str) -> DataFrame:
+    """replicated (anchor, fp, others) with `cell` for `anchor`.
 
     An anchor with more than `chunk` members is split: each member goes to the cells of its own chunk and every other chunk,
     so that every pair still meets and no task holds more than two chunks of one anchor.
     """
-    replicated = _replicated(prints)
     hot = staged(
         replicated.groupBy("anchor").count().where(F.col("count") > chunk)
         .select("anchor", F.ceil(F.col("count") / chunk).cast("int").alias("parts")),
-        "hot-anchors",
+        name,
     )
     own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
     cells = F.when(F.col("parts").isNull(), F.array(F.xxhash64("anchor"))).otherwise(
@@ -196,14 +204,114 @@ def near_links(prints: DataFrame, chunk: int = CHUNK) -> DataFrame:
             lambda other: F.xxhash64("anchor", F.least(own, other), F.greatest(own, other)),
         )
     )
-    cells = replicated.join(hot, "anchor", "left").select(F.explode(cells).alias("cell"), "fp")
+    rest = [c for c in replicated.columns if c != "anchor"]
+    return replicated.join(hot, "anchor", "left").select(F.explode(cells).alias("cell"), *rest)
+
+
+def near_links(prints: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """(u, v): links between distinct fingerprints (column fp) that give the same components as all pairs within the threshold."""
+    cells = _cells(_replicated(prints), chunk, "hot-anchors")
     return cells.repartition("cell").sortWithinPartitions("cell", "fp").mapInArrow(_compared, "u bigint, v bigint")
 
 
-def _components(prints: DataFrame) -> DataFrame:
+def long_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """Majority of the bits of PIECES / 2 hashes of all shingles of a word sequence, as 64-bit numbers; no words: zero."""
+    out = np.zeros(PIECES // 2, dtype=np.uint64)
+    if not len(hashes):
+        return out
+    shingles = grams(hashes, min(WORDS, len(hashes)))
+    counts = np.zeros((len(out), 64), dtype=np.int64)
+    for i in range(0, len(shingles), 1 << 14):
+        part = shingles[i : i + (1 << 14)]
+        for j in range(len(out)):
+            bits = np.unpackbits(mix(part + np.uint64(0x632BE59BD9B4E019 * j & (1 << 64) - 1)).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            counts[j] += bits.sum(axis=0, dtype=np.int64)
+    return np.packbits(counts * 2 > len(shingles), axis=1, bitorder="little").view(np.uint64)[:, 0]
+
+
+def _long_fingerprints(text: pa.Array) -> pa.Array:
+    made = []
+    for rows, w in word_slices(text, WORD):
+        hashes = w.hashes
+        made += [long_fingerprint(hashes[w.rows[r] : w.rows[r + 1]]) for r in range(rows)]
+    flat = np.concatenate(made) if made else np.zeros(0, np.uint64)
+    offsets = np.arange(len(made) + 1, dtype=np.int32) * (PIECES // 2)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))
+
+
+def long_fingerprints(docs: DataFrame) -> DataFrame:
+    """(doc_id, copy, bits, fp): one row per document; bits is the long fingerprint, fp its 64-bit hash."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select("doc_id", F.xxhash64(text).alias("copy"), F.arrow_udf(_long_fingerprints, "array<bigint>")(text).alias("bits"))
+    return rows.withColumn("fp", F.xxhash64("bits"))
+
+
+def _replicated_pieces(nodes: DataFrame) -> DataFrame:
+    """(anchor, piece, fp): each piece of each fingerprint at all anchors near it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code = AnchorCode(COVERING_RADIUS + (PIECE_THRESHOLD + 1) // 2)
+        for batch in batches:
+            for i in range(0, batch.num_rows, 4096):
+                fp = batch.column(0).slice(i, 4096)
+                bits = batch.column(1).slice(i, 4096).flatten().to_numpy(zero_copy_only=False).view(np.uint32).reshape(len(fp), PIECES)
+                for piece in range(PIECES):
+                    x = np.ascontiguousarray(bits[:, piece])
+                    row, anchor = code.anchors(x)
+                    key = anchor.astype(np.int64) | (piece << 32)
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(x[row].view(np.int32)), fp.take(pa.array(row))], ["anchor", "piece", "fp"])
+
+    return nodes.select("fp", "bits").mapInArrow(run, "anchor bigint, piece int, fp bigint")
+
+
+def _near_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Input sorted by (cell, fp). Each fingerprint with the first one of its cell that its piece is near to."""
+
+    def links(key: np.ndarray, piece: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        x, n = piece.view(np.uint32), len(key)
+        first, shift, at = np.arange(n), 1, np.arange(n)
+        while True:
+            at = at[at < n - shift]
+            at = at[key[at] == key[at + shift]]
+            if not len(at):
+                break
+            near = at[np.bitwise_count(x[at] ^ x[at + shift]) <= PIECE_THRESHOLD]
+            first[near + shift] = np.minimum(first[near + shift], near)
+            shift += 1
+        keep = np.flatnonzero((first < np.arange(n)) & (fp[first] != fp))
+        return pa.RecordBatch.from_arrays([pa.array(fp[keep]), pa.array(fp[first[keep]])], ["u", "v"])
+
+    held: list[list[np.ndarray]] = []
+    rows = 0
+    for batch in batches:
+        held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+        rows += batch.num_rows
+        if rows >= 1 << 18:
+            columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+            cut = int(np.searchsorted(columns[0], columns[0][-1], "left"))  # the last cell may go on
+            yield links(*(c[:cut] for c in columns))
+            held, rows = [[c[cut:] for c in columns]], len(columns[0]) - cut
+    if rows:
+        yield links(*(np.concatenate(c) for c in zip(*held, strict=True)))
+
+
+def similar_links(nodes: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """(u, v): fingerprints (columns fp, bits) that are near in a piece and differ in LONG_THRESHOLD bits or fewer.
+
+    In each cell a fingerprint is paired with the first one near it, not with all, so a group of n near copies gives at most n pairs a cell.
+    """
+    cells = _cells(_replicated_pieces(nodes), chunk, "hot-pieces").repartition("cell").sortWithinPartitions("cell", "fp")
+    pairs = staged(cells.select("cell", "piece", "fp").mapInArrow(_near_pieces, "u bigint, v bigint").distinct(), "near-pieces")
+    one, other = (nodes.select(F.col("fp").alias(c), F.col("bits").alias(f"{c}_bits")) for c in "uv")
+    distance = F.aggregate(F.zip_with("u_bits", "v_bits", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
+    return pairs.join(one, "u").join(other, "v").where(distance <= LONG_THRESHOLD).select("u", "v")
+
+
+def _components(prints: DataFrame, links=near_links) -> DataFrame:
     """(fp, component_id, root): for each fingerprint its component's smallest doc_id, and a number of the component itself."""
-    nodes = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
-    roots = components(near_links(nodes))
+    more = [F.any_value("bits").alias("bits")] if "bits" in prints.columns else []
+    nodes = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), *more), "nodes")
+    roots = components(links(nodes))
     joined = nodes.join(roots.withColumnRenamed("u", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = joined.groupBy("root").agg(F.min("first").alias("component_id"))
     return staged(joined.join(smallest, "root").select("fp", "component_id", "root"), "components")
@@ -229,9 +337,21 @@ def without_near_duplicates(docs: DataFrame) -> DataFrame:
     Of several rows with that doc_id the one with the smallest fingerprint, then text hash, stays; of rows equal in both, one.
     What stays is found on narrow rows; the texts are shuffled once, to meet it.
     """
-    prints = staged(fingerprints(docs), "fingerprints")
+    return _one_of_each(docs, staged(fingerprints(docs), "fingerprints"), near_links)
+
+
+def without_similar(docs: DataFrame) -> DataFrame:
+    """docs with one document of each group of similar ones, chosen as by `without_near_duplicates`.
+
+    Texts are linked whose WORDS-word shingles have a similarity of about 0.8 or more, as their long fingerprints tell (see LONG_THRESHOLD); groups are what links
+    reach. Fewer words than a shingle's are one shingle, so such texts are linked if they have the same words; null, empty and blank texts are alike.
+    """
+    return _one_of_each(docs, staged(long_fingerprints(docs), "long-fingerprints"), similar_links)
+
+
+def _one_of_each(docs: DataFrame, prints: DataFrame, links) -> DataFrame:
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp", "copy")
-    kept = prints.join(_components(prints).select("fp", "root"), "fp").groupBy("root").agg(F.min(place).alias("kept"))
+    kept = prints.join(_components(prints, links).select("fp", "root"), "fp").groupBy("root").agg(F.min(place).alias("kept"))
     keys = {"_no_id": F.col("doc_id").isNull(), "_id": F.coalesce("doc_id", F.lit(0))}
     kept = staged(kept.select("kept.*").select(*(c.alias(k) for k, c in keys.items()), F.col("copy").alias("_copy")), "kept")
     keyed = docs.withColumns(keys | {"_copy": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))})

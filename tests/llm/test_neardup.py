@@ -97,3 +97,52 @@ def test_one_document_of_each_group_stays(spark, docs_of):
 def test_null_ids(spark, docs_of):
     rows = neardup.near_duplicates(docs_of([(None, "only here"), (None, "b"), (4, "b")])).collect()
     assert sorted(((r.doc_id, r.component_id) for r in rows), key=str) == [(4, 4), (None, 4), (None, None)]
+
+
+def jaccard(a, b):
+    a, b = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.split(), b.split()))
+    return len(a & b) / len(a | b)
+
+
+def edited(seed, n, changes):
+    rng = random.Random(seed)
+    words = prose(100 + seed, n).split()
+    other = list(words)
+    for at in rng.sample(range(n), changes):
+        other[at] = f"changed{at}"
+    return " ".join(words), " ".join(other)
+
+
+def test_similar_texts_are_found(spark, docs_of):
+    pairs = [edited(i, 200 + i % 150, 1 + i % 7) for i in range(300)]
+    texts = [t for p in pairs for t in p]
+    kept = {r.doc_id for r in neardup.without_similar(docs_of(texts).repartition(5)).collect()}
+    alike = [i for i, p in enumerate(pairs) if jaccard(*p) >= 0.8]
+    assert len(alike) > 200 and all(2 * i in kept for i in range(300))
+    assert sum(2 * i + 1 not in kept for i in alike) / len(alike) >= 0.95
+    near = [i for i in alike if jaccard(*pairs[i]) < 0.85]
+    assert sum(2 * i + 1 not in kept for i in near) / len(near) >= 0.85
+
+
+def test_other_texts_stay(spark, docs_of):
+    pairs = [edited(i, 200, 25) for i in range(60)]
+    texts = [t for p in pairs for t in p] + [prose(i, 3) for i in range(30)] + ["same words", "Same  words", None, "", " "]
+    assert all(jaccard(*p) < 0.62 for p in pairs)
+    docs = docs_of(texts)
+    kept = neardup.without_similar(docs)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == set(range(153)) - {151}
+    assert neardup.without_similar(docs.limit(0)).count() == 0
+
+
+def test_a_large_group_of_near_copies_and_split_cells(spark, docs_of, monkeypatch):
+    rng = random.Random(8)
+    base, texts = prose(1, 300).split(), []
+    for i in range(400):
+        words = list(base)
+        for at in rng.sample(range(300), 2):
+            words[at] = f"x{i}y{at}"
+        texts.append(" ".join(words))
+    assert neardup.without_similar(docs_of(texts)).count() == 1
+    nodes = neardup.long_fingerprints(docs_of(texts)).select("fp", "bits").distinct()
+    found = components(neardup.similar_links(nodes, 16)).collect()
+    assert len({r.root for r in found}) == 1 and len(found) == len({r.fp for r in nodes.collect()}) - 1
