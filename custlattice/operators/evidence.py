@@ -1,8 +1,7 @@
 """Evidence corpus over transcripts, e-mails, notes and surveys, and ranked search (BM25).
 
-Search reads a postings index -- (term, doc_id, tf) with the document attributes used for
-filtering -- that is written bucketed by term hash, so a query touches only the buckets of its own
-terms; this is the way for a corpus that is asked more than once. ``search_corpus`` ranks without an index.
+Ranking reads postings -- (term, doc_id, tf) with the document attributes used for filtering. ``search_log`` keeps them as an index on
+storage, for a corpus that is asked more than once; ``search_corpus`` ranks without an index.
 """
 
 from __future__ import annotations
@@ -22,7 +21,6 @@ from custlattice.operators.grouping import join_uneven, top_per_key
 from custlattice.sources.tables import scratch_dir
 
 K1, B = 1.2, 0.75
-TERM_BUCKETS = 256
 CORPUS = ("doc_id", "customer_id", "source_type", "content", "sentiment", "moment_type", "event_date")
 ATTRIBUTES = ("customer_id", "source_type", "sentiment", "moment_type", "event_date")
 
@@ -183,37 +181,6 @@ def build_index(corpus: DataFrame) -> EvidenceIndex:
     return EvidenceIndex(postings(corpus), doc_lengths(corpus))
 
 
-def _bucket(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(TERM_BUCKETS)).cast("int")
-
-
-def write_index(index: EvidenceIndex, path: str, mode: str = "overwrite") -> None:
-    """Postings partitioned by term bucket and sorted by term inside each file.
-
-    The rows are rebalanced by bucket: adaptive execution merges small buckets into one task and
-    splits a bucket that a frequent term makes large.
-    """
-    bucketed = index.postings.withColumn("bucket", _bucket(F.col("term")))
-    balanced = bucketed.sparkSession.sql("SELECT /*+ REBALANCE(bucket) */ * FROM {rows}", rows=bucketed)
-    (
-        balanced.sortWithinPartitions("bucket", "term")
-        .write.mode(mode)
-        .partitionBy("bucket")
-        .parquet(f"{path}/postings")
-    )
-    index.documents.write.mode(mode).parquet(f"{path}/documents")
-
-
-def open_index(spark: SparkSession, path: str) -> EvidenceIndex:
-    return EvidenceIndex(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/documents"))
-
-
-def term_buckets(terms: list[str], spark: SparkSession) -> list[int]:
-    """The buckets of a question's terms, in one select."""
-    buckets = F.array_sort(F.array_distinct(F.transform(F.array(*[F.lit(t) for t in terms]), _bucket)))
-    return list(spark.range(1).select(buckets).first()[0])
-
-
 def _idf(n_docs: Column, df: Column) -> Column:
     return F.log(F.lit(1.0) + (n_docs - df + 0.5) / (df + 0.5))
 
@@ -238,9 +205,6 @@ def search_index(
     row = stats.select(F.struct("n", "avg_dl").alias("s")).scalar()
     n_docs, avg_dl = row["n"], row["avg_dl"]
     hits = index.postings.filter(F.col("term").isin(terms))
-    if "bucket" in hits.columns:
-        buckets = term_buckets(terms, hits.sparkSession)
-        hits = hits.filter(F.col("bucket").isin(buckets)).drop("bucket")
     hits = flt.apply(hits)
     frequency = hits.groupBy("term").agg(F.count("*").alias("df"))  # one row per term of the question
     gain = _idf(n_docs, F.col("df")) * _gain(F.col("tf"), F.col("dl"), avg_dl)
@@ -252,6 +216,16 @@ def search_index(
     return scored.orderBy(F.col("score").desc(), "doc_id").limit(k)
 
 
+def ranked(hits: DataFrame, df: dict[str, int], n_docs: int, avg_dl: float, k: int) -> DataFrame:
+    """Top ``k`` of postings, with the words' document frequencies and the collection's statistics given."""
+    idf = F.lit(None).cast("double")
+    for term, n in df.items():
+        idf = F.when(F.col("term") == term, _idf(F.lit(n_docs), F.lit(n))).otherwise(idf)
+    gain = idf * _gain(F.col("tf"), F.col("dl"), F.lit(avg_dl))
+    scored = hits.groupBy("doc_id", *ATTRIBUTES).agg(F.round(F.sum(F.round(gain, 9).cast("decimal(18,9)")), 6).cast("double").alias("score"))
+    return scored.select("doc_id", "score", *ATTRIBUTES).orderBy(F.col("score").desc(), "doc_id").limit(k)
+
+
 def search_corpus(corpus: DataFrame, query: str, k: int = 5, filters: Filters | None = None) -> DataFrame:
     """Top ``k`` straight from the corpus, without an index: for a corpus that is asked once, and as a check.
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from custlattice.functions.text import Lexicon
 from custlattice.operators import actions as nba
-from custlattice.operators import enrich, events, evidence, health, moments, workflow
+from custlattice.operators import enrich, events, evidence, health, moments, search_log, workflow
 from custlattice.sources import tables as store
 
 
@@ -166,7 +166,7 @@ def run_pipeline(
     )
     # labels scored in place: joining them from the enrichment table would shuffle every text
     corpus = evidence.evidence_from_text(tables, lexicon)
-    evidence.write_index(evidence.build_index(corpus), f"{root}/evidence_index/{version}")
+    search_log.refresh(spark, f"{root}/evidence_index", corpus)
     return out
 
 

@@ -18,9 +18,10 @@ from custlattice import vocab
 from custlattice.functions import scores
 from custlattice.functions.values import round_exact
 from custlattice.operators import actions as nba
-from custlattice.operators import enrich, events, evidence, health, moments, workflow
+from custlattice.operators import enrich, events, evidence, health, moments, search_log, workflow
 from custlattice.plans import checks, lookup, portfolio, semantic
 from custlattice.plans.pipeline import Workspace, count_rows
+from custlattice.sources import tables as store
 from custlattice.sources.sample import AS_OF, LEXICON, SampleTables
 from custlattice.sources.tables import scratch_dir
 from custlattice.streaming import feeds
@@ -358,8 +359,11 @@ def health_apply_delta(w):
 
 @query
 def health_change(w):
-    after = health.health_apply_delta(w.health, w.signals, _touched(w), w.as_of)
-    return health.health_change(w.health, after)
+    """From two stored versions, the newest one and the one before it."""
+    spark, root = w.tables.spark, scratch_dir(w.tables.spark)
+    before = store.new_version(w.health, root, "customer_health", w.as_of, "scored")
+    store.new_version(health.health_apply_delta(before, w.signals, _touched(w), w.as_of), root, "customer_health", w.as_of, "worsened")
+    return health.health_change(store.load(spark, root, "customer_health", "scored"), store.load(spark, root, "customer_health"))
 
 
 # --- actions ---------------------------------------------------------------------------------
@@ -489,19 +493,24 @@ def evidence_index(w):
 _HIT = ("doc_id", "score", "customer_id", "source_type", "sentiment", "moment_type", "event_date")
 
 
+def _index(w: Workspace) -> search_log.SearchLog:
+    """The corpus, written as an index and opened: questions read this and not the corpus."""
+    spark = w.tables.spark
+    path = scratch_dir(spark)
+    search_log.refresh(spark, path, w.corpus)
+    return search_log.open_log(spark, path)
+
+
 @query
 def evidence_search(w):
-    hits = evidence.search_corpus(w.corpus, SEARCH, 5)
-    return evidence.with_content(hits, w.corpus).select(*_HIT, "content")
+    index = _index(w)
+    return index.with_content(index.search(SEARCH, 5)[0]).select(*_HIT, "content")
 
 
 @query
 def evidence_search_index(w):
-    """Write the index, reopen it, and search the buckets of the query's terms."""
-    spark = w.tables.spark
-    path = scratch_dir(spark)
-    evidence.write_index(evidence.build_index(w.corpus), path)
-    return evidence.search_index(evidence.open_index(spark, path), SEARCH, 5).select(*_HIT)
+    """The postings in one reading, without the index's layout."""
+    return evidence.search_index(evidence.build_index(w.corpus), SEARCH, 5).select(*_HIT)
 
 
 @query
@@ -509,7 +518,22 @@ def evidence_search_filtered(w):
     wanted = evidence.Filters(
         sentiment="NEGATIVE", source_type="TRANSCRIPT", since=datetime(2023, 10, 1), until=datetime(2024, 1, 15)
     )
-    return evidence.search_corpus(w.corpus, SEARCH, 5, wanted).select(*_HIT)
+    return _index(w).search(SEARCH, 5, wanted)[0].select(*_HIT)
+
+
+@query
+def evidence_search_corpus(w):
+    """A corpus that is asked once, ranked without an index."""
+    hits = evidence.search_corpus(w.corpus, SEARCH, 5)
+    return evidence.with_content(hits, w.corpus).select(*_HIT, "content")
+
+
+@query
+def evidence_postings_read(w):
+    """How much of the question's postings block bounds let the search skip; the ranking is that of all of them."""
+    index = _index(w)
+    hits, share = index.search(SEARCH, 5)
+    return hits.select("doc_id", "score", F.lit(share < 0.5).alias("below_half"))
 
 
 @query
@@ -524,8 +548,8 @@ def action_evidence(w):
 
 @query
 def copilot_context(w):
-    hits = evidence.with_content(evidence.search_corpus(w.corpus, SEARCH, 5), w.corpus)
-    return evidence.context_lines(hits)
+    index = _index(w)
+    return evidence.context_lines(index.with_content(index.search(SEARCH, 5)[0]))
 
 
 # --- look-ups --------------------------------------------------------------------------------
@@ -898,11 +922,24 @@ def stream_evidence_refresh(w):
     live = SampleTables(spark, w.tables.path, streaming=True)
     corpus = evidence.evidence_from_text(live, w.lexicon)
     feeds.stream_evidence_refresh(corpus, path, f"{path}/checkpoint", ONCE).awaitTermination()
-    return feeds.read_sink(spark, path, "documents").select(
+    return search_log.open_log(spark, path).documents.select(
         "doc_id", "customer_id", "source_type", "sentiment", "moment_type", F.col("dl").cast("bigint").alias("dl")
     )
 
 
+@query
+def stream_evidence_changes(w):
+    """Notes arrive, then every note again with another text and surveys for the first time; the index holds the later state alone."""
+    spark, path = w.tables.spark, scratch_dir(w.tables.spark)
+    kept = w.corpus.filter(F.col("source_type").isin("NOTE", "SURVEY"))
+    changed = kept.withColumn("content", F.when(F.col("source_type") == "NOTE", F.concat(F.lit("license changed "), F.coalesce("content", F.lit("")))).otherwise(F.col("content")))
+    for rows in (kept.filter("source_type = 'NOTE'"), changed):
+        rows.write.mode("append").parquet(f"{path}/in")
+        live = feeds.stream_reader(spark, f"{path}/in", kept.schema)
+        feeds.stream_evidence_refresh(live, f"{path}/index", f"{path}/checkpoint", ONCE).awaitTermination()
+    return search_log.open_log(spark, f"{path}/index").postings(["license", "changed", "stupid"]).select("term", "doc_id", F.col("tf").cast("bigint").alias("tf"))
+
+
 @query
 def ingest_interaction(w):
     """Every note arrives as a phone complaint; the touched customers' health worsens."""

@@ -173,8 +173,8 @@ def _columns(*names: str) -> list[dict]:
 
 
 def _total(column: str) -> str:
-    """Sum of a column with up to six decimals as whole millionths: the same in any order of rows."""
-    return f"cast(sum(cast(rint({column} * 1e6) as bigint)) as double) / 1e6"
+    """Sum of a column with up to six decimals as whole millionths: the same in any order of rows, and exact up to 10^32."""
+    return f"cast(sum(cast(rint({column} * 1e6) as decimal(38, 0))) as double) / 1e6"
 
 
 def _mean(column: str) -> str:

@@ -1,8 +1,7 @@
 """Readers and writers for the fifteen tables, stored as Parquet directories.
 
-Parquet has no row-level update, so a changed table is written as a new version directory and
-readers take the newest complete one. A failed or retried write never touches a version that is
-being read.
+Parquet has no row-level update, so a changed table is written as a new directory and published as a commit (see ``snapshots``);
+readers take the newest commit, or one by name or number. A failed, retried or repeated write never touches a directory that is being read.
 """
 
 from __future__ import annotations
@@ -14,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from custlattice.functions.values import ts_lit
+from custlattice.sources import snapshots
 from custlattice.sources.schemas import SCHEMAS
 
 
@@ -44,10 +44,30 @@ def conform(df: DataFrame, table: str, as_of: datetime) -> DataFrame:
     return df.select(columns)
 
 
-def load(spark: SparkSession, root: str, table: str, version: str | None = None) -> DataFrame:
-    """Typed scan. No inference: the declared schema is given to the reader."""
-    path = f"{root}/{table}" + (f"/{version}" if version else "")
-    return spark.read.schema(SCHEMAS[table]).parquet(path)
+def load(spark: SparkSession, root: str, table: str, version: str | int | None = None) -> DataFrame:
+    """Typed scan. No inference: the declared schema is given to the reader.
+
+    Of a table with versions the newest one is read, or the newest of a name, or the commit of a number. A table that is only appended to is its directory.
+    """
+    path = f"{root}/{table}"
+    if isinstance(version, int):
+        found = snapshots.read(spark, path, version)
+    else:
+        found = snapshots.newest(spark, path, lambda value: version is None or value["name"] == version)
+    if found is None and version is not None:
+        raise ValueError(f"{table} has no version {version}")
+    return spark.read.schema(SCHEMAS[table]).parquet(f"{path}/{found.value['folder']}" if found else path)
+
+
+def changes(spark: SparkSession, root: str, table: str, key: str, before: str | int, after: str | int | None = None) -> DataFrame:
+    """(key, change): rows added, removed or changed from one version to another (by default the newest). Keys are unique and not NULL.
+
+    Rows meet as hashes of their columns, so the exchange is narrow whatever the table holds.
+    """
+    columns = [f.name for f in SCHEMAS[table].fields if f.name != key]
+    old, new = (load(spark, root, table, v).select(key, F.xxhash64(*columns).alias(name)) for v, name in ((before, "_old"), (after, "_new")))
+    kind = F.when(F.col("_old").isNull(), "added").when(F.col("_new").isNull(), "removed").when(F.col("_old") != F.col("_new"), "changed")
+    return old.join(new, key, "full").select(key, kind.alias("change")).filter(F.col("change").isNotNull())
 
 
 def append(df: DataFrame, root: str, table: str, as_of: datetime) -> None:
@@ -62,17 +82,25 @@ def overwrite(df: DataFrame, root: str, table: str, as_of: datetime, partition_b
 def new_version(
     df: DataFrame, root: str, table: str, as_of: datetime, version: str, cluster_by: tuple = ()
 ) -> DataFrame:
-    """Write a complete new version of a table and read it back, which also ends its lineage.
+    """Write a complete new version of a table, publish it and read it back, which also ends its lineage.
 
-    ``cluster_by`` range-partitions and sorts the files, so that a look-up by the first column
-    skips almost all row groups; further columns split a first value that has very many rows.
+    Every call writes a folder of its own and becomes the newest version, also under a name that is in use. ``cluster_by``
+    range-partitions and sorts the files, so that a look-up by the first column skips almost all row groups; further columns split a first
+    value that has very many rows.
     """
-    path = f"{root}/{table}/{version}"
+    spark = df.sparkSession
     rows = conform(df, table, as_of)
     if cluster_by:
         rows = rows.repartitionByRange(*cluster_by).sortWithinPartitions(*cluster_by)
-    rows.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(SCHEMAS[table]).parquet(path)
+    folder, path = f"{version}-{uuid.uuid4().hex}", f"{root}/{table}"
+    rows.write.parquet(f"{path}/{folder}")
+    while True:  # the versions are whole, so a writer that was overtaken just comes later
+        try:
+            snapshots.publish(spark, path, {"name": version, "folder": folder, "as_of": as_of.isoformat()}, snapshots.newest(spark, path))
+            break
+        except snapshots.Conflict:
+            continue
+    return spark.read.schema(SCHEMAS[table]).parquet(f"{path}/{folder}")
 
 
 def delete_where(df: DataFrame, predicate) -> DataFrame:

@@ -2,9 +2,10 @@
 
 All jobs run the same column logic as the batch operators. Sinks written in ``foreachBatch`` put
 each micro-batch in its own ``batch=<id>`` directory with overwrite, so a replayed batch replaces
-itself instead of being added twice; the event feed uses the exactly-once file sink.
+itself instead of being added twice; the event feed uses the exactly-once file sink. Ids that have been seen are keyed
+state: a batch looks up its own ids, whenever they came before, and the state lies in RocksDB, whose changes alone are checkpointed.
 
-What later batches look up (ids that have been seen, sums, health rows) lies in narrow tables that are compacted:
+What later batches look up besides (sums, health rows) lies in narrow tables that are compacted:
 every ``COMPACT_EVERY`` batches a ``through=<id>`` directory takes over all up to that batch, so the files a batch reads
 follow the size of these tables and not the number of batches. Only complete directories are read.
 """
@@ -20,11 +21,15 @@ from pyspark.sql.streaming import StreamingQuery
 
 from custlattice.functions.text import Lexicon
 from custlattice.functions.values import fixed_units, ts_lit
-from custlattice.operators import enrich, events, evidence, health
+from custlattice.operators import enrich, events, health, search_log
 from custlattice.operators.health import HEALTH
 
-LATENESS = "1 day"
 COMPACT_EVERY = 8
+#: Settings of a stream that keeps ids for good: state larger than memory, checkpointed by its changes.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 
 def stream_reader(spark: SparkSession, path: str, schema, glob: str | None = None, max_files: int | None = None):
@@ -38,10 +43,9 @@ def stream_reader(spark: SparkSession, path: str, schema, glob: str | None = Non
 
 
 def event_feed(tables: dict[str, DataFrame], as_of: datetime) -> DataFrame:
-    """The unified events of streaming sources, each event id once within the watermark.
+    """The unified events of streaming sources, each event id once, however late it comes again.
 
-    Works on whichever of policy, claim, payment, interaction and survey are present. The feed's
-    time is when a row arrived (``as_of`` run), not when it happened: back-dated rows are kept.
+    Works on whichever of policy, claim, payment, interaction and survey are present; back-dated rows are kept.
     """
     builders = {
         "policy": events.events_policy,
@@ -52,10 +56,14 @@ def event_feed(tables: dict[str, DataFrame], as_of: datetime) -> DataFrame:
     }
     parts = [build(tables[name]) for name, build in builders.items() if name in tables]
     union = reduce(DataFrame.unionByName, parts)
-    arrived = union.withColumn("arrived_at", F.current_timestamp())
-    return (
-        arrived.withWatermark("arrived_at", LATENESS).dropDuplicatesWithinWatermark(["event_id"]).drop("arrived_at")
-    )
+    return once(union, "event_id")
+
+
+def once(rows: DataFrame, key: str) -> DataFrame:
+    """Rows of a stream whose key has not come before. There is no time limit, so the state holds all keys; each batch reads its own."""
+    for name, value in STATE.items():
+        rows.sparkSession.conf.set(name, value)
+    return rows.dropDuplicates([key])
 
 
 def stream_customer_events(feed: DataFrame, sink: str, checkpoint: str, trigger: dict) -> StreamingQuery:
@@ -110,44 +118,27 @@ def compact(spark: SparkSession, sink: str, table: str, batch_id: int, merge=lam
         whole.write.mode("overwrite").parquet(f"{sink}/{table}/through={batch_id}")
 
 
-def _unseen(batch: DataFrame, key: str, sink: str, table: str, batch_id: int) -> DataFrame:
-    """Rows whose key no earlier batch has brought; the keys alone are compared, and kept for later batches.
-
-    Repeats within the batch stay; callers drop them when the rows no longer carry text.
-    """
-    spark = batch.sparkSession
-    seen = read_sink(spark, sink, table, before=batch_id)
-    keys = batch.select(key).distinct()
-    if seen is not None:
-        keys = keys.join(seen, key, "left_anti")
-    write_sink(keys, sink, table, batch_id)
-    compact(spark, sink, table, batch_id)
-    return batch if seen is None else batch.join(spark.read.schema(keys.schema).parquet(_batch_path(sink, table, batch_id)), key, "left_semi")
-
-
 def stream_enrichment(
     source: DataFrame, kind: enrich.TextSource, lexicon: Lexicon, sink: str, checkpoint: str, trigger: dict,
     as_of: datetime,
 ) -> StreamingQuery:
-    """Enrich each document once: every batch leaves out the ids that earlier batches enriched."""
+    """Enrich each document once. Rows are scored as they come and told apart when they no longer carry text."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        todo = _unseen(batch, kind.id_column, sink, "enriched_ids", batch_id)
-        # repeats within a batch are dropped after scoring, when the rows no longer carry text
-        scored = enrich.wide_from_source(todo, kind, lexicon).dropDuplicates(["source_id"])
-        write_sink(enrich.tall_from_wide(scored, as_of), sink, "customer_ai_enrichment", batch_id)
+        write_sink(enrich.tall_from_wide(batch, as_of), sink, "customer_ai_enrichment", batch_id)
 
-    return source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+    scored = once(enrich.wide_from_source(source, kind, lexicon), "source_id")
+    return scored.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
 def stream_evidence_refresh(source: DataFrame, sink: str, checkpoint: str, trigger: dict) -> StreamingQuery:
-    """Add new corpus documents to the postings; with an hourly trigger the lag is one hour."""
+    """Keep the index at ``sink`` at the state of the documents that arrive: new ones are added, changed ones replaced, and with a column ``deleted`` they go.
+
+    With an hourly trigger the lag is one hour. A batch that runs again finds its documents live and changes nothing.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        fresh = _unseen(batch, "doc_id", sink, "indexed_ids", batch_id)
-        index = evidence.build_index(fresh)
-        write_sink(index.postings.dropDuplicates(["doc_id", "term"]), sink, "postings", batch_id)
-        write_sink(index.documents.dropDuplicates(["doc_id"]), sink, "documents", batch_id)
+        search_log.refresh(batch.sparkSession, sink, batch)
 
     return source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
@@ -198,19 +189,18 @@ def ingest_interaction(
     if not sink_folders(spark, sink, "customer_health"):
         start = health_rows.select(*HEALTH).withColumn("batch_id", F.lit(-1).cast("bigint"))
         start.write.mode("overwrite").parquet(f"{sink}/customer_health/through=-1")
+    if not sink_folders(spark, sink, "sentiment_sums"):  # the earlier enrichment is read once
+        sentiment_sums(enrichment).write.mode("overwrite").parquet(f"{sink}/sentiment_sums/through=-1")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        fresh = _unseen(batch, "arrival_id", sink, "arrival_ids", batch_id)
-        write_sink(fresh.dropDuplicates(["arrival_id"]), sink, "arrivals", batch_id)
-        fresh = spark.read.schema(fresh.schema).parquet(_batch_path(sink, "arrivals", batch_id))
+        write_sink(batch, sink, "arrivals", batch_id)
+        fresh = spark.read.schema(batch.schema).parquet(_batch_path(sink, "arrivals", batch_id))
         for table, rows in ingest_rows(fresh, as_of).items():
             write_sink(rows, sink, table, batch_id)
         touched = fresh.select("customer_id").distinct()
         write_sink(sentiment_sums(fresh.withColumnRenamed("sentiment", "sentiment_score")), sink, "sentiment_sums", batch_id)
-        sums = sentiment_sums(enrichment.join(touched, "customer_id", "left_semi")).unionByName(
-            read_sink(spark, sink, "sentiment_sums", batch_id + 1).join(touched, "customer_id", "left_semi")
-        )
+        sums = read_sink(spark, sink, "sentiment_sums", batch_id + 1).join(touched, "customer_id", "left_semi")
         mood = added_sums(sums).select("customer_id", F.round(F.col("micro").cast("double") / 1_000_000.0 / F.col("n"), 12).alias("avg_sentiment"))
         before = newest_rows(read_sink(spark, sink, "customer_health", batch_id).join(touched, "customer_id", "left_semi"))
         updated = health.health_apply_delta(before, mood, touched, as_of)
@@ -218,7 +208,7 @@ def ingest_interaction(
         compact(spark, sink, "sentiment_sums", batch_id, added_sums)
         compact(spark, sink, "customer_health", batch_id, newest_rows)
 
-    return arrivals.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+    return once(arrivals, "arrival_id").writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
 def sentiment_sums(rows: DataFrame) -> DataFrame:

@@ -253,6 +253,27 @@ b_gain AS (
 b_top AS (SELECT doc_id, round(sum(gain), 6)::DOUBLE AS score FROM b_gain GROUP BY 1 HAVING sum(gain) > 0 ORDER BY score DESC, doc_id LIMIT 5)
 SELECT doc_id, score, customer_id, source_type, sentiment, moment_type, strftime(written_on, '%Y-%m-%d 00:00:00') AS event_date
 FROM b_top JOIN x_doc USING (doc_id)
+-- name: evidence_search_corpus
+, b_doc AS (SELECT x.*, len(w) AS dl FROM x_word x),
+b_tf AS (SELECT doc_id, dl, q AS term, len(list_filter(w, lambda t: t = q)) AS tf FROM b_doc, (VALUES ('stupid'), ('worthless'), ('license'), ('onwh')) v(q)),
+b_gain AS (
+  SELECT doc_id, round(ln(1 + ((SELECT count(*) FROM b_doc) - df + 0.5) / (df + 0.5))
+         * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / (SELECT avg(dl) FROM b_doc))), 9)::DECIMAL(18,9) AS gain
+  FROM b_tf JOIN (SELECT term, count(*) FILTER (tf > 0) AS df FROM b_tf GROUP BY 1) USING (term)
+),
+b_top AS (SELECT doc_id, round(sum(gain), 6)::DOUBLE AS score FROM b_gain GROUP BY 1 ORDER BY score DESC, doc_id LIMIT 5)
+SELECT doc_id, score, customer_id, source_type, sentiment, moment_type, strftime(written_on, '%Y-%m-%d 00:00:00') AS event_date, content
+FROM b_top JOIN x_doc USING (doc_id)
+-- name: evidence_postings_read
+, b_doc AS (SELECT x.*, len(w) AS dl FROM x_word x),
+b_tf AS (SELECT doc_id, dl, q AS term, len(list_filter(w, lambda t: t = q)) AS tf FROM b_doc, (VALUES ('stupid'), ('worthless'), ('license'), ('onwh')) v(q)),
+b_gain AS (
+  SELECT doc_id, round(ln(1 + ((SELECT count(*) FROM b_doc) - df + 0.5) / (df + 0.5))
+         * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / (SELECT avg(dl) FROM b_doc))), 9)::DECIMAL(18,9) AS gain
+  FROM b_tf JOIN (SELECT term, count(*) FILTER (tf > 0) AS df FROM b_tf GROUP BY 1) USING (term)
+),
+b_top AS (SELECT doc_id, round(sum(gain), 6)::DOUBLE AS score FROM b_gain GROUP BY 1 ORDER BY score DESC, doc_id LIMIT 5)
+SELECT doc_id, score, true AS below_half FROM b_top
 -- name: customer_evidence
 SELECT customer_id, doc_id, source_type, left(content, 300) AS content_preview, sentiment, moment_type,
        strftime(written_on, '%Y-%m-%d 00:00:00') AS event_date
@@ -517,6 +538,11 @@ SELECT event_id, customer_id, event_type, strftime(event_at, '%Y-%m-%d %H:%M:%S'
 SELECT enrichment_id, customer_id, source_table, source_id, sentiment_score, sentiment_label, classification FROM e_row WHERE source_table = 'TRANSCRIPT'
 -- name: stream_evidence_refresh
 SELECT doc_id, customer_id, source_type, sentiment, moment_type, len(w) AS dl FROM x_word
+-- name: stream_evidence_changes
+SELECT term, doc_id, count(*) AS tf FROM (
+  SELECT unnest(CASE WHEN source_type = 'NOTE' THEN list_concat(['license', 'changed'], coalesce(w, [])) ELSE w END) AS term, doc_id
+  FROM x_word WHERE source_type IN ('NOTE', 'SURVEY')
+) WHERE term IN ('license', 'changed', 'stupid') GROUP BY ALL
 -- name: ingest_interaction
 SELECT h.customer_id,
        CASE WHEN n.customer_id IS NULL THEN health_score ELSE round(greatest(0, health_score - 10)::DECIMAL(28,8), 2)::DOUBLE END AS health_score,

@@ -79,3 +79,10 @@ def test_check_keys_finds_problems(make):
     }
     got = {(r["table_name"], r["problem"]): r["value"] for r in checks.check_keys(t).collect()}
     assert got == {("CUSTOMER", "duplicate_keys"): 1, ("CUSTOMER", "unknown_customers"): 0, ("NOTE", "duplicate_keys"): 0, ("NOTE", "unknown_customers"): 1}
+
+
+def test_sums_beyond_64_bits_of_millionths(spark):
+    from custlattice.plans import semantic
+
+    rows = spark.range(100).selectExpr("cast(1e11 as double) as x")
+    assert rows.selectExpr(semantic._total("x") + " as t", semantic._mean("x") + " as m").first() == (1e13, 1e11)

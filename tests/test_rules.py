@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from custlattice.functions import scores, text
 from custlattice.functions.values import clamp, days_between, padded_id, strict_least
-from custlattice.operators import actions as nba
+from custlattice.operators import actions as nba, search_log
 from custlattice.operators import enrich, evidence, health, moments, workflow
 from custlattice.sources import tables as store
 
@@ -428,12 +428,12 @@ def test_evidence_joined_wide_or_row(spark, make, as_of):
 
 def test_search_index_equals_corpus(spark, make, tmp_path):
     corpus = evidence.evidence_from_text(evidence_tables(make), LEX)
-    evidence.write_index(evidence.build_index(corpus), str(tmp_path))
-    index = evidence.open_index(spark, str(tmp_path))
+    search_log.refresh(spark, str(tmp_path), corpus)
+    index = search_log.open_log(spark, str(tmp_path))
     for query in ("good nps", "rival", "absent", "3 nps survey"):
         for flt in (None, evidence.Filters(source_type="SURVEY"), evidence.Filters(customer_id="nobody")):
             a = evidence.search_corpus(corpus, query, 3, flt).collect()
-            b = evidence.search_index(index, query, 3, flt).select(a[0].__fields__ if a else ["doc_id"]).collect()
+            b = index.search(query, 3, flt)[0].select(a[0].__fields__ if a else ["doc_id"]).collect()
             assert [(r["doc_id"]) for r in a] == [r["doc_id"] for r in b]
             if a:
                 assert [r["score"] for r in a] == [r["score"] for r in b]
@@ -453,12 +453,21 @@ def test_table_round_trip(spark, make, as_of, tmp_path):
     store.append(one.withColumn("status", F.lit("APPROVED")), root, "next_best_action", as_of)
     rows = store.load(spark, root, "next_best_action")
     assert rows.count() == 2
+    v1 = store.new_version(rows, f"{root}/v", "next_best_action", as_of, "v1")
     v2 = store.new_version(store.delete_where(rows, F.col("status") == "PENDING"), f"{root}/v", "next_best_action", as_of, "v2")
     assert [r["status"] for r in v2.collect()] == ["APPROVED"]
     changed = store.update_where(v2, F.col("status") == "APPROVED", status=F.lit("COMPLETED"))
     assert changed.first()["status"] == "COMPLETED"
     merged = store.merge_update(v2, spark.createDataFrame([("A1", "X"), ("no", "Y")], "action_id string, status string"), "action_id", ["status"])
     assert [r["status"] for r in merged.collect()] == ["X"]
+    # the newest version needs no name, a repeated name is a new version, and a reader keeps what it has opened
+    assert store.load(spark, f"{root}/v", "next_best_action").count() == 1 and v1.count() == 2
+    again = store.new_version(one.withColumn("status", F.lit("REJECTED")), f"{root}/v", "next_best_action", as_of, "v1")
+    assert [r["status"] for r in store.load(spark, f"{root}/v", "next_best_action").collect()] == ["REJECTED"] == [r["status"] for r in again.collect()]
+    assert store.load(spark, f"{root}/v", "next_best_action", "v2").count() == 1 and store.load(spark, f"{root}/v", "next_best_action", 0).count() == 2 == v1.count()
+    assert [tuple(r) for r in store.changes(spark, f"{root}/v", "next_best_action", "action_id", "v2").collect()] == [("A1", "changed")]
+    with pytest.raises(ValueError):
+        store.load(spark, f"{root}/v", "next_best_action", "v9")
     store.overwrite(one, root, "next_best_action", as_of)
     assert store.load(spark, root, "next_best_action").count() == 1
     assert store.one_row(spark, a=1, b="x").collect()[0].asDict() == {"a": 1, "b": "x"}

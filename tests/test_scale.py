@@ -6,7 +6,8 @@ import pytest
 from conftest import DATA
 from pyspark.sql import functions as F
 
-from custlattice.operators import enrich, evidence, grouping
+from custlattice.operators import enrich, evidence, grouping, search_log
+from custlattice.sources import tables as store
 from custlattice.plans import lookup
 from custlattice.plans.registry import QUERIES, open_workspace
 
@@ -186,7 +187,8 @@ def test_pipeline_writes_and_equals_the_lazy_tables(spark, tmp_path):
         assert out[table].select(columns).orderBy(key).collect() == mine.orderBy(key).collect()
     context = out["customer_moment"].filter("moment_type = 'CHURN'").first()["context"]
     assert "reason" in json.loads(context)
-    index = evidence.open_index(spark, f"{tmp_path}/evidence_index/v20240131000000")
+    assert store.load(spark, str(tmp_path), "customer_health").count() == w.health.count()
+    index = search_log.open_log(spark, f"{tmp_path}/evidence_index")
     query = "stupid worthless license onwh"
-    a = evidence.search_index(index, query).select("doc_id", "score").collect()
+    a = index.search(query)[0].select("doc_id", "score").collect()
     assert a == evidence.search_corpus(w.corpus, query).select("doc_id", "score").collect()
