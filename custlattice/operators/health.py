@@ -87,6 +87,11 @@ def customer_health(
         .join(engagement.select("customer_id", "days_since_last"), "customer_id", "left")
         .join(moments.select("customer_id", "churn_moments"), "customer_id", "left")
     )
+    return scored(facts, as_of)
+
+
+def scored(facts: DataFrame, as_of: datetime) -> DataFrame:
+    """Health rows from the joined aggregates, one row per customer."""
     c = F.col
     return with_scores(facts).select(
         "customer_id",

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from custlattice.functions.text import Lexicon
 from custlattice.operators import actions as nba
-from custlattice.operators import enrich, events, evidence, health, moments, search_log, workflow
+from custlattice.operators import enrich, events, evidence, health, health_state, moments, search_log, workflow
 from custlattice.sources import tables as store
 
 
@@ -95,6 +95,12 @@ class Workspace:
     def health(self) -> DataFrame:
         return self._stage(score_health(self.tables, self.signals, self.moments, self.as_of), "health")
 
+    @cached_property
+    def health_facts(self) -> DataFrame:
+        """What the health formula needs of all tables, as numbers that changes can be added to and taken from."""
+        named = ("customer", "policy", "claim", "payment", "interaction")
+        return health_state.facts({t: self.tables[t] for t in named} | {"signals": self.wide})
+
     @cached_property
     def actions(self) -> DataFrame:
         prior = self.prior_actions

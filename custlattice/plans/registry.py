@@ -18,7 +18,7 @@ from custlattice import vocab
 from custlattice.functions import scores
 from custlattice.functions.values import round_exact
 from custlattice.operators import actions as nba
-from custlattice.operators import enrich, events, evidence, health, moments, search_log, workflow
+from custlattice.operators import enrich, events, evidence, health, health_state, moments, search_log, workflow
 from custlattice.plans import checks, lookup, portfolio, semantic
 from custlattice.plans.pipeline import Workspace, count_rows
 from custlattice.sources import tables as store
@@ -357,6 +357,26 @@ def health_apply_delta(w):
     return health.health_apply_delta(w.health, w.signals, _touched(w), w.as_of)
 
 
+@query
+def health_maintained(w):
+    """Health after changes that only touch the stored numbers: late claims are settled, failed payments go through, complaints are withdrawn, some renewals move."""
+    spark, state = w.tables.spark, f"{scratch_dir(w.tables.spark)}/health_state"
+    health_state.add(spark, state, w.health_facts, 0)
+
+    def replaced(table, where, **columns):
+        goes = w.tables[table].filter(where).withColumn("sign", F.lit(-1))
+        return goes.unionByName(goes.withColumns(columns | {"sign": F.lit(1)}))
+
+    settled = replaced("claim", F.col("status") == "Open", status=F.lit("Settled"), resolution_days=F.lit(20))
+    paid = replaced("payment", F.col("status") == "Failed", status=F.lit("Completed"))
+    withdrawn = w.tables["interaction"].filter(F.col("topic") == "Complaint").withColumn("sign", F.lit(-1))
+    lapsed = replaced("policy", F.col("policy_type") == "Auto", status=F.lit("Lapsed"))
+    changes = ({"claim": settled}, {"payment": paid}, {"interaction": withdrawn}, {"policy": lapsed})
+    for batch, change in enumerate(changes, 1):
+        health_state.add(spark, state, health_state.facts(change), batch)
+    return health_state.health_from_facts(health_state.read(spark, state), w.as_of)
+
+
 @query
 def health_change(w):
     """From two stored versions, the newest one and the one before it."""
@@ -940,19 +960,33 @@ def stream_evidence_changes(w):
     return search_log.open_log(spark, f"{path}/index").postings(["license", "changed", "stupid"]).select("term", "doc_id", F.col("tf").cast("bigint").alias("tf"))
 
 
+def _complaints(note: DataFrame) -> DataFrame:
+    return note.select(
+        "customer_id", F.col("note_id").alias("arrival_id"), F.lit("Phone").alias("channel"),
+        F.lit("Complaint").alias("topic"), F.col("note_text").alias("text"), F.lit(-0.5).alias("sentiment"),
+    )
+
+
 @query
 def ingest_interaction(w):
     """Every note arrives as a phone complaint; the touched customers' health worsens."""
     spark, path = w.tables.spark, scratch_dir(w.tables.spark)
     live = SampleTables(spark, w.tables.path, streaming=True)
-    arrivals = live["note"].select(
-        "customer_id", F.col("note_id").alias("arrival_id"), F.lit("Phone").alias("channel"),
-        F.lit("Complaint").alias("topic"), F.col("note_text").alias("text"), F.lit(-0.5).alias("sentiment"),
-    )
     feeds.ingest_interaction(
-        arrivals, w.health, w.enrichment, path, f"{path}/checkpoint", ONCE, w.as_of
+        _complaints(live["note"]), w.health, w.enrichment, path, f"{path}/checkpoint", ONCE, w.as_of
     ).awaitTermination()
     return feeds.newest_health(spark, path).select(
         "customer_id", "health_score", "churn_risk", "sentiment_score", "risk_level"
     )
 
+
+@query
+def ingest_interaction_scored(w):
+    """The same arrivals; the touched customers are scored by the batch formula, from their kept numbers."""
+    spark, path = w.tables.spark, scratch_dir(w.tables.spark)
+    live = SampleTables(spark, w.tables.path, streaming=True)
+    feeds.ingest_interaction(
+        _complaints(live["note"]), w.health, w.enrichment, path, f"{path}/checkpoint", ONCE, w.as_of, w.health_facts
+    ).awaitTermination()
+    return feeds.newest_health(spark, path)
+

@@ -21,7 +21,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from custlattice.functions.text import Lexicon
 from custlattice.functions.values import fixed_units, ts_lit
-from custlattice.operators import enrich, events, health, search_log
+from custlattice.operators import enrich, events, health, health_state, search_log
 from custlattice.operators.health import HEALTH
 
 COMPACT_EVERY = 8
@@ -178,34 +178,52 @@ def ingest_rows(arrivals: DataFrame, as_of: datetime) -> dict[str, DataFrame]:
 
 def ingest_interaction(
     arrivals: DataFrame, health_rows: DataFrame, enrichment: DataFrame, sink: str, checkpoint: str, trigger: dict,
-    as_of: datetime,
+    as_of: datetime, facts: DataFrame | None = None,
 ) -> StreamingQuery:
-    """Append each arrival's three rows, then worsen the health of the touched customers.
+    """Append each arrival's three rows, then bring the health of the touched customers up to date.
+
+    With ``facts`` (``health_state.facts`` of all that has come before) by the batch formula: the arrivals' contacts and sentiments are
+    added to the state at ``sink``/health_state, and the touched customers are scored from their own numbers. Without, by the quick
+    step that always worsens (``health_apply_delta``).
 
-    A batch reads and writes only what its customers need: their earlier sentiment rows as sums, and their newest
-    health row. The sink's health starts as a copy of ``health_rows``; ``newest_health`` gives all customers.
+    A batch reads and writes only what its customers need, and a batch that runs again counts once. The sink's health
+    starts as a copy of ``health_rows``; ``newest_health`` gives all customers. Sink and checkpoint belong together.
     """
     spark = health_rows.sparkSession
+    state = f"{sink}/health_state"
     if not sink_folders(spark, sink, "customer_health"):
         start = health_rows.select(*HEALTH).withColumn("batch_id", F.lit(-1).cast("bigint"))
         start.write.mode("overwrite").parquet(f"{sink}/customer_health/through=-1")
-    if not sink_folders(spark, sink, "sentiment_sums"):  # the earlier enrichment is read once
+    if facts is not None:
+        health_state.add(spark, state, facts, -1)
+    elif not sink_folders(spark, sink, "sentiment_sums"):  # the earlier enrichment is read once
         sentiment_sums(enrichment).write.mode("overwrite").parquet(f"{sink}/sentiment_sums/through=-1")
 
+    def rescored(spark: SparkSession, rows: dict[str, DataFrame], touched: DataFrame, batch_id: int) -> DataFrame:
+        change = health_state.facts({"interaction": rows["interaction"], "sentiment": rows["customer_ai_enrichment"]})
+        health_state.add(spark, state, change, batch_id)
+        return health_state.health_from_facts(health_state.read(spark, state, touched), as_of)
+
+    def worsened(spark: SparkSession, fresh: DataFrame, touched: DataFrame, batch_id: int) -> DataFrame:
+        write_sink(sentiment_sums(fresh.withColumnRenamed("sentiment", "sentiment_score")), sink, "sentiment_sums", batch_id)
+        sums = read_sink(spark, sink, "sentiment_sums", batch_id + 1).join(touched, "customer_id", "left_semi")
+        mood = added_sums(sums).select("customer_id", F.round(F.col("micro").cast("double") / 1_000_000.0 / F.col("n"), 12).alias("avg_sentiment"))
+        before = newest_rows(read_sink(spark, sink, "customer_health", batch_id).join(touched, "customer_id", "left_semi"))
+        return health.health_apply_delta(before, mood, touched, as_of)
+
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         write_sink(batch, sink, "arrivals", batch_id)
         fresh = spark.read.schema(batch.schema).parquet(_batch_path(sink, "arrivals", batch_id))
-        for table, rows in ingest_rows(fresh, as_of).items():
-            write_sink(rows, sink, table, batch_id)
+        rows = ingest_rows(fresh, as_of)
+        for table, part in rows.items():
+            write_sink(part, sink, table, batch_id)
         touched = fresh.select("customer_id").distinct()
-        write_sink(sentiment_sums(fresh.withColumnRenamed("sentiment", "sentiment_score")), sink, "sentiment_sums", batch_id)
-        sums = read_sink(spark, sink, "sentiment_sums", batch_id + 1).join(touched, "customer_id", "left_semi")
-        mood = added_sums(sums).select("customer_id", F.round(F.col("micro").cast("double") / 1_000_000.0 / F.col("n"), 12).alias("avg_sentiment"))
-        before = newest_rows(read_sink(spark, sink, "customer_health", batch_id).join(touched, "customer_id", "left_semi"))
-        updated = health.health_apply_delta(before, mood, touched, as_of)
+        by_formula = facts is not None
+        updated = rescored(spark, rows, touched, batch_id) if by_formula else worsened(spark, fresh, touched, batch_id)
         write_sink(updated.withColumn("batch_id", F.lit(batch_id).cast("bigint")), sink, "customer_health", batch_id)
-        compact(spark, sink, "sentiment_sums", batch_id, added_sums)
+        if not by_formula:
+            compact(spark, sink, "sentiment_sums", batch_id, added_sums)
         compact(spark, sink, "customer_health", batch_id, newest_rows)
 
     return once(arrivals, "arrival_id").writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**trigger).start()

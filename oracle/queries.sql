@@ -153,6 +153,47 @@ SELECT h.customer_id,
        '2024-01-31 00:00:00' AS scored_at
 FROM (SELECT *, EXISTS (SELECT 1 FROM m_interaction i WHERE i.customer_id = o_health.customer_id AND topic = 'Complaint') AS hit FROM o_health) h
 LEFT JOIN s_customer s ON s.customer_id = h.customer_id
+-- name: health_maintained
+, k_claim AS (
+  SELECT customer_id, CASE WHEN status = 'Open' THEN 'Settled' ELSE status END AS status,
+         CASE WHEN status = 'Open' THEN 20 ELSE resolution_days END AS resolution_days FROM m_claim
+),
+k_fact AS (
+  SELECT customer_id, avg_sentiment, open_claims, denied_claims, avg_resolution, failure_rate, days_since_last,
+         customer_id IN (SELECT customer_id FROM t_signal WHERE score < -0.3 AND cancellation_intent)
+         OR (customer_id IN (SELECT customer_id FROM t_signal WHERE is_call AND len(competitors) > 0)
+             AND customer_id IN (SELECT customer_id FROM m_policy WHERE status = 'Active' AND policy_type <> 'Auto'
+                                 AND date_diff('day', DATE '2024-01-31', end_date) BETWEEN 1 AND 45)) AS has_churn
+  FROM m_customer
+  LEFT JOIN s_customer USING (customer_id)
+  LEFT JOIN (SELECT customer_id, count(*) FILTER (status IN ('Open', 'Under Review')) AS open_claims, count(*) FILTER (status = 'Denied') AS denied_claims,
+                    sum(resolution_days)::DOUBLE / nullif(count(resolution_days), 0) AS avg_resolution FROM k_claim GROUP BY 1) USING (customer_id)
+  LEFT JOIN (SELECT DISTINCT customer_id, 0::DOUBLE AS failure_rate FROM m_payment) USING (customer_id)
+  LEFT JOIN (SELECT customer_id, date_diff('day', max(interaction_date)::DATE, DATE '2024-01-31') AS days_since_last
+             FROM m_interaction WHERE topic <> 'Complaint' GROUP BY 1) USING (customer_id)
+),
+k_part AS (
+  SELECT *,
+         CASE WHEN avg_sentiment IS NULL THEN 50.0::DOUBLE ELSE greatest(0::DOUBLE, least(100::DOUBLE, avg_sentiment * 50 + 50)) END AS s,
+         CASE WHEN avg_resolution IS NULL THEN 80.0::DOUBLE
+              ELSE greatest(0::DOUBLE, least(100::DOUBLE, 100::DOUBLE - (open_claims * 15 + denied_claims * 10 + least(avg_resolution, 60::DOUBLE) * 0.5::DOUBLE))) END AS c,
+         CASE WHEN failure_rate IS NULL THEN 90.0::DOUBLE ELSE greatest(0::DOUBLE, least(100::DOUBLE, 100::DOUBLE - failure_rate * 200)) END AS p,
+         CASE WHEN days_since_last <= 7 THEN 95.0::DOUBLE WHEN days_since_last <= 30 THEN 80 WHEN days_since_last <= 90 THEN 60
+              WHEN days_since_last <= 180 THEN 40 ELSE 20 END AS e,
+         least(100, CASE WHEN has_churn THEN 40 ELSE 0 END + CASE WHEN avg_sentiment < -0.3 THEN 20 ELSE 0 END
+           + CASE WHEN failure_rate > 0.2::DOUBLE THEN 15 ELSE 0 END + CASE WHEN open_claims > 2 THEN 15 ELSE 0 END
+           + CASE WHEN days_since_last > 90 THEN 10 ELSE 0 END) AS churn_pct
+  FROM k_fact
+)
+SELECT customer_id,
+       round((s * 0.25::DOUBLE + c * 0.2::DOUBLE + p * 0.2::DOUBLE + e * 0.15::DOUBLE
+              + (1::DOUBLE - churn_pct::DOUBLE / 100) * 100 * 0.2::DOUBLE)::DECIMAL(28,8), 2)::DOUBLE AS health_score,
+       churn_pct::DOUBLE / 100 AS churn_risk,
+       round(s::DECIMAL(28,8), 2)::DOUBLE AS sentiment_score, round(c::DECIMAL(28,8), 2)::DOUBLE AS claims_score,
+       round(p::DECIMAL(28,8), 2)::DOUBLE AS payment_score, round(e::DECIMAL(28,8), 2)::DOUBLE AS engagement_score,
+       CASE WHEN churn_pct >= 70 THEN 'CRITICAL' WHEN churn_pct >= 40 THEN 'AT_RISK' WHEN churn_pct >= 20 THEN 'MONITOR' ELSE 'HEALTHY' END AS risk_level,
+       '2024-01-31 00:00:00' AS scored_at
+FROM k_part
 -- name: health_change
 SELECT customer_id, health_score AS health_before, churn_risk AS churn_before, risk_level AS risk_before,
        CASE WHEN hit THEN round(greatest(0, health_score - 10)::DECIMAL(28,8), 2)::DOUBLE ELSE health_score END AS health_after,
@@ -554,3 +595,39 @@ SELECT h.customer_id,
 FROM o_health h
 LEFT JOIN (SELECT customer_id, count(*) AS cnt FROM m_doc WHERE kind = 'NOTE' GROUP BY 1) n ON n.customer_id = h.customer_id
 LEFT JOIN (SELECT customer_id, count(*) AS cnt, sum(round(score * 1000000)::BIGINT) AS total FROM t_signal GROUP BY 1) s ON s.customer_id = h.customer_id
+-- name: ingest_interaction_scored
+, k_note AS (
+  SELECT customer_id, count(*) AS n FROM m_doc WHERE kind = 'NOTE' GROUP BY 1
+),
+k_mood AS (
+  SELECT customer_id, round(sum(micro)::DOUBLE / 1000000 / sum(n), 12) AS avg_sentiment
+  FROM (SELECT customer_id, sum(round(score * 1000000)::BIGINT) AS micro, count(*) AS n FROM t_signal GROUP BY 1
+        UNION ALL SELECT customer_id, n * -500000, n FROM k_note) GROUP BY 1
+),
+k_fact AS (
+  SELECT f.customer_id, m.avg_sentiment, open_claims, denied_claims, avg_resolution, failure_rate,
+         CASE WHEN k.n IS NULL THEN days_since_last ELSE least(0, coalesce(days_since_last, 0)) END AS days_since_last, has_churn
+  FROM h_fact f LEFT JOIN k_mood m ON m.customer_id = f.customer_id LEFT JOIN k_note k ON k.customer_id = f.customer_id
+),
+k_part AS (
+  SELECT *,
+         CASE WHEN avg_sentiment IS NULL THEN 50.0::DOUBLE ELSE greatest(0::DOUBLE, least(100::DOUBLE, avg_sentiment * 50 + 50)) END AS s,
+         CASE WHEN avg_resolution IS NULL THEN 80.0::DOUBLE
+              ELSE greatest(0::DOUBLE, least(100::DOUBLE, 100::DOUBLE - (open_claims * 15 + denied_claims * 10 + least(avg_resolution, 60::DOUBLE) * 0.5::DOUBLE))) END AS c,
+         CASE WHEN failure_rate IS NULL THEN 90.0::DOUBLE ELSE greatest(0::DOUBLE, least(100::DOUBLE, 100::DOUBLE - failure_rate * 200)) END AS p,
+         CASE WHEN days_since_last <= 7 THEN 95.0::DOUBLE WHEN days_since_last <= 30 THEN 80 WHEN days_since_last <= 90 THEN 60
+              WHEN days_since_last <= 180 THEN 40 ELSE 20 END AS e,
+         least(100, CASE WHEN has_churn THEN 40 ELSE 0 END + CASE WHEN avg_sentiment < -0.3 THEN 20 ELSE 0 END
+           + CASE WHEN failure_rate > 0.2::DOUBLE THEN 15 ELSE 0 END + CASE WHEN open_claims > 2 THEN 15 ELSE 0 END
+           + CASE WHEN days_since_last > 90 THEN 10 ELSE 0 END) AS churn_pct
+  FROM k_fact
+)
+SELECT customer_id,
+       round((s * 0.25::DOUBLE + c * 0.2::DOUBLE + p * 0.2::DOUBLE + e * 0.15::DOUBLE
+              + (1::DOUBLE - churn_pct::DOUBLE / 100) * 100 * 0.2::DOUBLE)::DECIMAL(28,8), 2)::DOUBLE AS health_score,
+       churn_pct::DOUBLE / 100 AS churn_risk,
+       round(s::DECIMAL(28,8), 2)::DOUBLE AS sentiment_score, round(c::DECIMAL(28,8), 2)::DOUBLE AS claims_score,
+       round(p::DECIMAL(28,8), 2)::DOUBLE AS payment_score, round(e::DECIMAL(28,8), 2)::DOUBLE AS engagement_score,
+       CASE WHEN churn_pct >= 70 THEN 'CRITICAL' WHEN churn_pct >= 40 THEN 'AT_RISK' WHEN churn_pct >= 20 THEN 'MONITOR' ELSE 'HEALTHY' END AS risk_level,
+       '2024-01-31 00:00:00' AS scored_at
+FROM k_part
