@@ -40,6 +40,11 @@ def anti_uneven(many: DataFrame, few: DataFrame, key: str, spread_by: str) -> Da
     return many.withColumn("_part", part).join(spread, [key, "_part"], "left_anti").drop("_part")
 
 
+def stretches(rows: DataFrame, key: str, bucket: Column) -> DataFrame:
+    """How many rows (``_n``) a key has in each stretch of its order."""
+    return rows.withColumn("_bucket", bucket).groupBy(key, "_bucket").agg(F.count("*").alias("_n"))
+
+
 def positions(
     rows: DataFrame, key: str, bucket: Column, *order: Column, first_bucket: Column, null_key: bool = True
 ) -> DataFrame:
@@ -52,7 +57,7 @@ def positions(
     rows is many tasks' work. The counts per stretch come from a second, narrow reading.
     """
     named = rows.withColumn("_bucket", bucket)
-    counts = named.groupBy(key, "_bucket").agg(F.count("*").alias("_n"))
+    counts = stretches(rows, key, bucket)
     earlier = Window.partitionBy(key).orderBy(first_bucket).rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
     own = F.row_number().over(Window.partitionBy(key, "_bucket").orderBy(*order))
@@ -84,7 +89,8 @@ def paged_arrays(
     spread = numbered.select(key, page.alias("page"), *fields)
     head = [c for c in header.columns if c != key] if header is not None else []
     if header is not None:
-        pages = items.groupBy(key).agg(F.ceil(F.count("*") / page_size).cast("int").alias("pages"))
+        # the same counts as those of `positions`, so their exchange is used twice
+        pages = stretches(slim, key, bucket).groupBy(key).agg(F.ceil(F.sum("_n") / page_size).cast("int").alias("pages"))
         every_page = F.explode(F.sequence(F.lit(0), F.coalesce("pages", F.lit(1)) - 1))
         titles = header.join(pages, key, "left").select(key, every_page.alias("page"), *head)
         spread = spread.unionByName(titles, allowMissingColumns=True)

@@ -125,20 +125,35 @@ def check_evidence(corpus: DataFrame) -> DataFrame:
 
 
 def check_keys(tables: dict[str, DataFrame]) -> DataFrame:
-    """Per table: repeated primary keys, and rows whose customer does not exist."""
-    known = tables["customer"].select("customer_id")
-    parts = []
-    for name, df in tables.items():
-        repeated = (
-            df.groupBy(F.col(KEYS[name]).alias("key")).agg(F.count("*").alias("n")).filter(F.col("n") > 1)
-            .agg(F.count("*").alias("value")).select(F.lit("duplicate_keys").alias("problem"), "value")
-        )
-        # counted per customer first: a hot customer is one row in the join
-        orphans = (
-            df.groupBy("customer_id").agg(F.count("*").alias("n")).join(known, "customer_id", "left_anti")
-            .agg(F.coalesce(F.sum("n"), F.lit(0)).alias("value"))
-            .select(F.lit("unknown_customers").alias("problem"), "value")
-        )
-        both = repeated.unionByName(orphans)
-        parts.append(both.select(F.lit(name.upper()).alias("table_name"), "problem", "value"))
-    return reduce(DataFrame.unionByName, parts)
+    """Per table: repeated primary keys, and rows whose customer does not exist.
+
+    Every table is read once. A row gives two marks, its key within its table and its customer; one aggregation counts equal marks, and a second
+    adds up the problems. Customer marks of one table combine before the shuffle, so a hot customer is one row of it per task. A row
+    without a customer counts as one whose customer does not exist.
+    """
+    names = [name.upper() for name in tables]
+    marks = reduce(
+        DataFrame.unionByName,
+        [
+            df.select(
+                F.lit(name).alias("table_name"),
+                F.explode(
+                    F.array(
+                        F.struct(F.lit(name).alias("key_of"), F.col(KEYS[table]).cast("string").alias("value")),
+                        F.struct(F.lit(None).cast("string").alias("key_of"), F.col("customer_id").alias("value")),
+                    )
+                ).alias("mark"),
+            )
+            for name, (table, df) in zip(names, tables.items())
+        ],
+    )
+    rows_of = {n: F.count_if(F.col("table_name") == n).alias(f"rows_{n}") for n in names}
+    counted = marks.groupBy("mark").agg(*rows_of.values())
+    of, unknown = F.col("mark.key_of"), F.col("mark.value").isNull() | (F.col("rows_CUSTOMER") == 0)
+    totals = counted.agg(
+        *[F.count_if((of == n) & (F.col(f"rows_{n}") > 1)).alias(f"repeated_{n}") for n in names],
+        *[F.coalesce(F.sum(F.when(of.isNull() & unknown, F.col(f"rows_{n}"))), F.lit(0)).alias(f"unknown_{n}") for n in names],
+    )
+    problems = [(n, p, c) for n in names for p, c in (("duplicate_keys", f"repeated_{n}"), ("unknown_customers", f"unknown_{n}"))]
+    lines = F.array(*[F.struct(F.lit(n).alias("table_name"), F.lit(p).alias("problem"), F.col(c).alias("value")) for n, p, c in problems])
+    return totals.select(F.inline(lines))

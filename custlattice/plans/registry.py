@@ -737,6 +737,15 @@ def sem_view(w):
     return _rounded(out, "avg_health", "avg_churn_risk")
 
 
+@query
+def sem_claims_by_holder(w):
+    """Claims meet the customer's segment over two hops, claim to policy to customer; policies over one."""
+    frames = {t: w.tables[t] for t in ("claim", "policy", "customer")}
+    names = ["claim_count", "claimed_amount", "avg_claim", "largest_claim", "open_share", "policies"]
+    out = semantic.metrics(semantic.CLAIMS, frames, names, by=["segment", "policy_type"])
+    return _rounded(out, "claimed_amount", "avg_claim", "open_share")
+
+
 @query
 def sem_view_actions(w):
     return semantic.metrics(semantic.VIEW, _view_frames(w), ["action_count"], by=["action_type", "nba_status", "segment"])

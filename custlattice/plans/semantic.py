@@ -2,8 +2,10 @@
 
 A model is loaded from a plain mapping (or a YAML file with the same shape). Measure expressions
 are SQL aggregates over one table. A request may combine measures of several tables by dimensions
-they share through declared many-to-one relationships: every table is aggregated on its own before
-the results are joined, so no measure is multiplied by a join.
+they share through declared relationships: every table is aggregated on its own before
+the results are joined, so no measure is multiplied by a join. Relationships are followed over any number of hops, but only
+towards one row; a dimension that lies across a one-to-many hop, or at the end of two equally short paths, is refused.
+A measure that names its ``parts`` is added up per key before the first join.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ class Term:
     name: str
     expr: str
     synonyms: tuple[str, ...] = ()
+    #: measures only: name -> (aggregate over rows, how its values of several groups become one); ``expr`` is then written over these names
+    parts: dict[str, tuple[str, str]] = field(default_factory=dict, hash=False)
 
 
 @dataclass(frozen=True)
@@ -32,11 +36,20 @@ class ModelTable:
 
 @dataclass(frozen=True)
 class Relationship:
-    """Rows of ``table`` point to at most one row of ``target`` through ``key``."""
+    """Rows of ``table`` and ``target`` with the same ``key``: ``many_to_one`` (a row points to at most one), ``one_to_one`` or ``one_to_many``."""
 
     table: str
     key: str
     target: str
+    cardinality: str = "many_to_one"
+
+    def __post_init__(self):
+        if self.cardinality not in ("many_to_one", "one_to_one", "one_to_many"):
+            raise ValueError(f"{self.table} to {self.target}: unknown cardinality {self.cardinality!r}")
+
+    def turned(self) -> Relationship:
+        other = {"many_to_one": "one_to_many", "one_to_many": "many_to_one"}.get(self.cardinality, self.cardinality)
+        return Relationship(self.target, self.key, self.table, other)
 
 
 @dataclass(frozen=True)
@@ -50,7 +63,7 @@ class SemanticModel:
 
         def terms(items):
             return {
-                i["name"].lower(): Term(i["name"].lower(), _spark_sql(i["expr"]), tuple(i.get("synonyms", ())))
+                i["name"].lower(): Term(i["name"].lower(), _spark_sql(i["expr"]), tuple(i.get("synonyms", ())), i.get("parts", {}))
                 for i in items
             }
 
@@ -59,7 +72,7 @@ class SemanticModel:
             dims = [*t.get("dimensions", ()), *t.get("time_dimensions", ())]
             name = t["name"].lower()
             tables[name] = ModelTable(name, terms(dims), terms(t.get("measures", ())))
-        links = tuple(Relationship(r["table"], r["key"], r["target"]) for r in spec.get("relationships", ()))
+        links = tuple(Relationship(**r) for r in spec.get("relationships", ()))
         return cls(tables, links)
 
     @classmethod
@@ -82,12 +95,39 @@ class SemanticModel:
             for term in getattr(self.tables[t], kind).values()
             if (bare or wanted) == term.name or wanted in (s.lower() for s in term.synonyms)
         ]
+        if not found and set(tables) != set(self.tables) and any(self._has(t, kind, name) for t in self.tables):
+            raise ValueError(f"{name!r} cannot be reached from {next(iter(tables))} by one path that keeps its rows single")
         if not found:
             raise KeyError(f"no {kind[:-1]} named {name!r}")
         return found[0]
 
+    def _has(self, table: str, kind: str, name: str) -> bool:
+        scope, _, bare = name.lower().rpartition(".")
+        terms = getattr(self.tables[table], kind).values()
+        return scope in ("", table) and any(bare == t.name or bare in (s.lower() for s in t.synonyms) for t in terms)
+
+    def paths(self, table: str) -> dict[str, list[Relationship]]:
+        """The tables of which a row of ``table`` has at most one row, nearest first, with the hops that lead there.
+
+        A table at the end of several equally short paths is left out, and nothing is reached through it.
+        """
+        hops = [r for r in (*self.relationships, *[r.turned() for r in self.relationships]) if r.cardinality != "one_to_many"]
+        known: dict[str, list[Relationship]] = {table: []}
+        unclear: set[str] = set()
+        edge = [table]
+        while edge:
+            found: dict[str, list[list[Relationship]]] = {}
+            for t in edge:
+                for r in hops:
+                    if r.table == t and r.target not in known and r.target not in unclear:
+                        found.setdefault(r.target, []).append([*known[t], r])
+            unclear |= {t for t, ways in found.items() if len(ways) > 1}
+            edge = [t for t in found if t not in unclear]
+            known |= {t: found[t][0] for t in edge}
+        return known
+
     def _reachable(self, table: str) -> list[str]:
-        return [table, *[r.target for r in self.relationships if r.table == table]]
+        return list(self.paths(table))
 
 
 def _spark_sql(expr: str) -> str:
@@ -118,33 +158,43 @@ def _labels(model, table, by) -> list[str]:
 
 
 def _one_table(model, frames, table, terms, by, where) -> DataFrame:
-    df = frames[table]
+    paths = {t: way for t, way in model.paths(table).items() if all(x in frames for x in (t, *[r.target for r in way]))}
     # all dimensions in reach that this request needs: its own, and those named in the filter
-    dims = {d.name: (table, d) for d in model.tables[table].dimensions.values()}
-    links = [r for r in model.relationships if r.table == table]
-    for r in links:
-        for d in model.tables[r.target].dimensions.values():
-            dims.setdefault(d.name, (r.target, d))
-    wanted = [model._find(d, "dimensions", model._reachable(table)) for d in by]
-    fact = df
-    for r in links:
-        remote = {d.name: d for t, d in wanted if t == r.target}
-        if where is not None:
-            remote |= {n: d for n, (t, d) in dims.items() if t == r.target}
-        if remote:
-            side = frames[r.target].select(F.col(r.key), *[F.expr(d.expr).alias(f"dim_{n}") for n, d in remote.items()])
-            fact = fact.join(side, r.key, "left")
-    local = {d.name: d for t, d in wanted if t == table}
+    dims: dict[str, tuple[str, Term]] = {}
+    for t in paths:
+        for d in model.tables[t].dimensions.values():
+            dims.setdefault(d.name, (t, d))
+    wanted = [model._find(d, "dimensions", paths) for d in by]
+    needed = {d.name: (t, d) for t, d in wanted}
     if where is not None:
-        local |= {n: d for n, (t, d) in dims.items() if t == table}
-    fact = fact.withColumns({f"dim_{n}": F.expr(d.expr) for n, d in local.items()})
+        needed = dims | needed
+    fact = frames[table].withColumns({f"dim_{n}": F.expr(d.expr) for n, (t, d) in needed.items() if t == table})
+    hops = {r.target: r for t, _ in needed.values() for r in paths[t]}
+    first_keys = sorted({r.key for r in hops.values() if r.table == table})
+    parts = {n: p for t in terms for n, p in t.parts.items()}
+    reduced = bool(first_keys) and all(t.parts for t in terms)
+    if reduced:  # one row per key and own dimension meets the other tables
+        fact = fact.groupBy(*first_keys, *[c for c in fact.columns if c.startswith("dim_")]).agg(*[F.expr(p).alias(f"part_{n}") for n, (p, _) in parts.items()])
+    for target in (t for t in paths if t in hops):  # nearest first, so that a hop's key is there
+        hop = hops[target]
+        key = hop.key if hop.table == table else f"key_{hop.table}_{hop.key}"
+        onward = sorted({r.key for r in hops.values() if r.table == target})
+        side = frames[target].select(
+            F.col(hop.key).alias(key), *[F.col(k).alias(f"key_{target}_{k}") for k in onward],
+            *[F.expr(d.expr).alias(f"dim_{n}") for n, (t, d) in needed.items() if t == target],
+        )
+        fact = fact.join(side, key, "left")
     if where is not None:
-        present = [c[4:] for c in fact.columns if c.startswith("dim_")]
-        view = fact.select("*", F.struct(*[F.col(f"dim_{n}").alias(n) for n in present]).alias("dim"))
+        view = fact.select("*", F.struct(*[F.col(f"dim_{n}").alias(n) for n in needed]).alias("dim"))
         fact = view.filter(where)
     groups = [F.col(f"dim_{d.name}").alias(d.name) for _, d in wanted]
-    measures = [F.expr(t.expr).alias(t.name) for t in terms]
-    return fact.groupBy(*groups).agg(*measures) if groups else fact.agg(*measures)
+    if not reduced:
+        measures = {n: F.expr(p) for n, (p, _) in parts.items()} | {t.name: F.expr(t.expr) for t in terms if not t.parts}
+    else:
+        measures = {n: F.expr(f"{merge}(part_{n})") for n, (_, merge) in parts.items()}
+    out = fact.groupBy(*groups) if groups else fact.groupBy()
+    out = out.agg(*[c.alias(n) for n, c in measures.items()])
+    return out.select(*[d.name for _, d in wanted], *[F.expr(t.expr).alias(t.name) if t.parts else F.col(t.name) for t in terms])
 
 
 def _same_groups(a: DataFrame, b: DataFrame, labels: list[str]) -> DataFrame:
@@ -237,6 +287,42 @@ MODEL = SemanticModel.from_dict(
     }
 )
 
+def _added(name: str, column: str) -> dict[str, tuple[str, str]]:
+    """Parts of a sum as in ``_total``, and of the number of its values."""
+    return {f"{name}_micro": (f"sum(cast(rint({column} * 1e6) as decimal(38, 0)))", "sum"), f"{name}_n": (f"count({column})", "sum")}
+
+
+#: Claims by attributes of their policy and, one hop further, of the customer who holds it.
+CLAIMS = SemanticModel.from_dict(
+    {
+        "tables": [
+            {
+                "name": "claim",
+                "dimensions": _columns("claim_type"),
+                "measures": [
+                    {"name": "claim_count", "expr": "rows", "parts": {"rows": ("count(*)", "sum")}},
+                    {"name": "claimed_amount", "expr": "cast(amount_micro as double) / 1e6", "parts": _added("amount", "claim_amount")},
+                    {"name": "avg_claim", "expr": "cast(amount_micro as double) / 1e6 / nullif(amount_n, 0)", "parts": _added("amount", "claim_amount")},
+                    {"name": "largest_claim", "expr": "largest", "parts": {"largest": ("max(claim_amount)", "max")}},
+                    {
+                        "name": "open_share", "expr": "unresolved / nullif(rows, 0)",
+                        "parts": {"unresolved": ("count_if(status in ('Open', 'Under Review'))", "sum"), "rows": ("count(*)", "sum")},
+                    },
+                ],
+            },
+            {
+                "name": "policy", "dimensions": _columns("policy_type"),
+                "measures": [{"name": "policies", "expr": "held", "parts": {"held": ("count(*)", "sum")}}],
+            },
+            {"name": "customer", "dimensions": _columns("segment", "region")},
+        ],
+        "relationships": [
+            {"table": "claim", "key": "policy_id", "target": "policy"},
+            {"table": "policy", "key": "customer_id", "target": "customer"},
+        ],
+    }
+)
+
 VIEW = SemanticModel.from_dict(
     {
         "tables": [

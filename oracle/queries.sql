@@ -430,6 +430,17 @@ FROM (SELECT segment, region, count(*) AS customer_count, round(avg(health_score
       FROM o_health JOIN (SELECT customer_id, segment, region FROM m_customer) USING (customer_id) GROUP BY 1, 2)
 FULL JOIN (SELECT segment, region, count(DISTINCT action_id) AS action_count
            FROM o_action JOIN (SELECT customer_id, segment, region FROM m_customer) USING (customer_id) GROUP BY 1, 2) USING (segment, region)
+-- name: sem_claims_by_holder
+, k_policy AS (
+  SELECT policy_id, policy_type, segment FROM m_policy p LEFT JOIN m_customer c ON c.customer_id = p.customer_id
+)
+SELECT segment, policy_type, claim_count, round(amount::DECIMAL(28,8), 6)::DOUBLE AS claimed_amount, round((amount / claim_count)::DECIMAL(28,8), 6)::DOUBLE AS avg_claim,
+       largest_claim, round(open_share::DECIMAL(28,8), 6)::DOUBLE AS open_share, policies
+FROM (SELECT segment, policy_type, count(*) AS claim_count, sum(round(l_extendedprice * 1000000)::HUGEINT)::DOUBLE / 1000000 AS amount,
+             max(l_extendedprice) AS largest_claim, avg((l_partkey % 20 <= 1)::INTEGER) AS open_share
+      FROM m_line l LEFT JOIN k_policy p ON p.policy_id = 'POL-' || lpad(l_orderkey::VARCHAR, greatest(7, length(l_orderkey::VARCHAR))::INTEGER, '0')
+      WHERE l_returnflag = 'R' GROUP BY 1, 2)
+FULL JOIN (SELECT segment, policy_type, count(*) AS policies FROM k_policy GROUP BY 1, 2) USING (segment, policy_type)
 -- name: sem_view_actions
 SELECT action_type, status AS nba_status, segment, count(DISTINCT action_id) AS action_count
 FROM o_action JOIN (SELECT customer_id, segment FROM m_customer) USING (customer_id) GROUP BY 1, 2, 3

@@ -81,6 +81,78 @@ def test_check_keys_finds_problems(make):
     assert got == {("CUSTOMER", "duplicate_keys"): 1, ("CUSTOMER", "unknown_customers"): 0, ("NOTE", "duplicate_keys"): 0, ("NOTE", "unknown_customers"): 1}
 
 
+def _star(*links):
+    columns = lambda *names: [{"name": n, "expr": n} for n in names]
+    total = {"name": "total", "expr": "s", "parts": {"s": ("sum(x)", "sum")}}
+    tables = [
+        {"name": "a", "dimensions": columns("kind"), "measures": [total, {"name": "ids", "expr": "count(distinct x)"}]},
+        {"name": "b", "dimensions": columns("b_name")}, {"name": "c", "dimensions": columns("c_name")}, {"name": "d", "dimensions": columns("d_name")},
+    ]
+    return semantic.SemanticModel.from_dict({"tables": tables, "relationships": [dict(zip(("table", "key", "target", "cardinality"), r)) for r in links]})
+
+
+@pytest.fixture
+def star(spark):
+    return {
+        "a": spark.createDataFrame([(1, "k", 1), (1, "l", 2), (2, "k", 4), (3, "k", 8), (None, "k", 16)], "b_id int, kind string, x int"),
+        "b": spark.createDataFrame([(1, 10, "b1"), (2, 20, "b2"), (3, None, "b3")], "b_id int, c_id int, b_name string"),
+        "c": spark.createDataFrame([(10, 100, "c1"), (20, 100, "c2")], "c_id int, d_id int, c_name string"),
+        "d": spark.createDataFrame([(100, "d1")], "d_id int, d_name string"),
+    }
+
+
+def test_metrics_over_several_hops(star):
+    model = _star(("a", "b_id", "b"), ("b", "c_id", "c"), ("c", "d_id", "d"))
+    got = lambda names, by, **k: sorted(map(tuple, semantic.metrics(model, star, names, by, **k).collect()), key=str)
+    assert got(["total"], ["c_name"]) == [("c1", 3), ("c2", 4), (None, 24)]
+    assert got(["total"], ["d_name", "kind"]) == sorted([("d1", "k", 5), ("d1", "l", 2), (None, "k", 24)], key=str)
+    assert got(["total", "ids"], ["d_name"]) == sorted([("d1", 7, 3), (None, 24, 2)], key=str)
+    assert got(["total"], ["b_name"], where=F.col("dim.d_name") == "d1") == [("b1", 3), ("b2", 4)]
+    assert got(["total"], []) == [(31,)]
+
+
+def test_added_up_per_key_before_the_first_join(star):
+    model = _star(("a", "b_id", "b"), ("b", "c_id", "c"))
+    plan = semantic.metrics(model, star, ["total"], ["c_name"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 2 and plan.index("Join") < plan.rindex("Aggregate")
+    plan = semantic.metrics(model, star, ["ids"], ["c_name"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1
+
+
+def test_rows_are_never_multiplied(star):
+    fan_out = _star(("b", "b_id", "a"), ("b", "c_id", "c"))  # a row of b has one a, so an a has many b
+    with pytest.raises(ValueError, match="c_name"):
+        semantic.metrics(fan_out, star, ["total"], ["c_name"])
+    both_ways = _star(("b", "b_id", "a", "one_to_one"), ("b", "c_id", "c"))
+    assert semantic.metrics(both_ways, star, ["total"], ["c_name"]).count() == 3
+    turned = _star(("b", "b_id", "a", "one_to_many"))
+    assert semantic.metrics(turned, star, ["total"], ["b_name"]).count() == 4
+    two_paths = _star(("a", "b_id", "b"), ("a", "b_id", "c"), ("b", "c_id", "d"), ("c", "d_id", "d"))
+    with pytest.raises(ValueError, match="d_name"):
+        semantic.metrics(two_paths, star, ["total"], ["d_name"])
+    assert semantic.metrics(two_paths, star, ["total"], ["b_name"]).count() == 4
+    with pytest.raises(ValueError, match="cardinality"):
+        _star(("a", "b_id", "b", "some"))
+    with pytest.raises(KeyError):
+        semantic.metrics(both_ways, star, ["total"], ["nothing"])
+
+
+def test_check_keys_reads_each_table_once(make):
+    names = ("customer", "policy", "claim", "note", "customer_event")
+    t = {n: make(n, *[{KEYS[n]: f"{n}{i % 3}", "customer_id": f"customer{i}"} for i in range(4)]) for n in names}
+    df = checks.check_keys(t)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 2 and "Join" not in plan and plan.count("Scan") == len(names)
+    got = {(r["table_name"], r["problem"]): r["value"] for r in df.collect()}
+    assert got[("CUSTOMER", "duplicate_keys")] == 0 and got[("CUSTOMER", "unknown_customers")] == 0
+    assert all(got[(n.upper(), "duplicate_keys")] == 1 for n in names[1:]) and got[("NOTE", "unknown_customers")] == 0
+
+
+def test_check_keys_of_empty_tables(make):
+    got = checks.check_keys({n: make(n) for n in ("customer", "claim")}).collect()
+    assert [r["value"] for r in got] == [0, 0, 0, 0]
+
+
 def test_sums_beyond_64_bits_of_millionths(spark):
     from custlattice.plans import semantic
 

@@ -144,6 +144,15 @@ def test_top_k_is_cut_before_the_shuffle(spark):
     assert text.count("WindowGroupLimit") == 2
 
 
+def test_pages_come_from_the_counts_of_the_positions(spark, make):
+    items = make("claim", *[dict(claim_id=str(i), customer_id="A") for i in range(25)], dict(claim_id="x", customer_id="B"))
+    header = make("customer", *[dict(customer_id=c) for c in "ABC"]).select("customer_id", F.upper("customer_id").alias("name"))
+    out = grouping.paged_arrays(items, "customer_id", "claim_id", {"claims": F.col("claim_id")}, 10, header)
+    rows = out.collect()
+    assert "ReusedExchange" in plan(out)
+    assert {(r["customer_id"], r["page"]): len(r["claims"]) for r in rows} == {("A", 0): 10, ("A", 1): 10, ("A", 2): 5, ("B", 0): 1, ("C", 0): 0}
+
+
 NO_CROSS = [
     "moments_every_row", "customer_moments", "nba_generate", "customer_health", "customer_360", "check_customer",
     "evidence_source_joined", "action_evidence", "sem_view", "retention_metrics", "evidence_search", "check_keys",
