@@ -17,7 +17,7 @@ from custlattice import vocab
 from custlattice.functions.values import (
     clamp, count_where, date_lit, one_decimal, ratio, round_exact, stamp, ts_lit, ts_plus_days,
 )
-from custlattice.operators.grouping import anti_uneven, join_uneven
+from custlattice.operators.grouping import join_hot
 from custlattice.operators.moments import competitor_rows, next_renewal, renewing, stale_claims
 from custlattice.sources.tables import delete_where
 
@@ -82,15 +82,13 @@ def _action(
     )
 
 
-def _free(df: DataFrame, existing: DataFrame, kind: str, spread_by: str | None = None) -> DataFrame:
-    """Rows of customers without a blocking action of this kind; ``spread_by`` if a customer may have very many rows."""
+def _free(df: DataFrame, existing: DataFrame, kind: str) -> DataFrame:
+    """Rows of customers without a blocking action of this kind; for few rows per customer."""
     holders = existing.filter(
         (F.col("action_type") == kind)
         & F.col("status").isin(*vocab.BLOCKING_STATUSES)
         & F.col("customer_id").isNotNull()
     ).select("customer_id").distinct()
-    if spread_by is not None:
-        return anti_uneven(df, holders, "customer_id", spread_by)
     return df.join(holders, "customer_id", "left_anti")
 
 
@@ -124,7 +122,7 @@ def nba_claims(claim: DataFrame, health: DataFrame, existing: DataFrame, as_of:
     """
     unhappy = health.filter(F.col("sentiment_score") < 50).select("customer_id", "sentiment_score")
     stale = stale_claims(claim, as_of).select("customer_id", "claim_id", "claim_amount", "days_open")
-    hits = join_uneven(stale, _free(unhappy, existing, ESCALATION), "customer_id", "claim_id")
+    hits = join_hot(stale, _free(unhappy, existing, ESCALATION), "customer_id")
     taken = existing.filter(F.col("action_type") == ESCALATION).select(F.col("action_id").alias("_id")).distinct()
     plain = F.concat(F.lit("NBA-CLM-"), "customer_id", F.lit("-"), "claim_id")
     hits = hits.withColumn("_id", plain).join(taken.withColumn("_taken", F.lit(True)), "_id", "left")
@@ -144,8 +142,7 @@ def nba_competitor(
     """Competitor named and a renewal within 45 days: soonest renewal and first naming row, or
     (``all``) every naming row with every distinct renewal day."""
     if mode == "all":  # at most 45 renewal days per naming row
-        rows = _free(competitor_rows(wide), existing, CAMPAIGN, "row_id")
-        hits = rows.join(renewing(policy, as_of, 45).distinct(), "customer_id")
+        hits = join_hot(competitor_rows(wide), _free(renewing(policy, as_of, 45).distinct(), existing, CAMPAIGN), "customer_id")
     else:
         named = signals.filter(F.col("competitor").isNotNull()).select(
             "customer_id", F.col("competitor.names").alias("names")

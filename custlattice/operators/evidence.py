@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from custlattice.functions.text import TOKEN_SPLIT, Lexicon, tokens
 from custlattice.functions.values import date_lit
 from custlattice.operators.enrich import EMAIL, TRANSCRIPT, scored
-from custlattice.operators.grouping import join_uneven, top_per_key
+from custlattice.operators.grouping import join_hot, top_per_key
 from custlattice.sources.tables import scratch_dir
 
 K1, B = 1.2, 0.75
@@ -288,5 +288,5 @@ def action_evidence(actions: DataFrame, corpus: DataFrame, k: int | None = 3) ->
         corpus.select("customer_id", "doc_id", "source_type", "sentiment", "moment_type", "event_date"),
         "customer_id", 2**31 - 1 if k is None else k, *newest, rank="evidence_rank",
     )
-    return join_uneven(actions.select("action_id", "customer_id", "action_type"), best, "customer_id", "action_id")
+    return join_hot(actions.select("action_id", "customer_id", "action_type"), best, "customer_id")
 

@@ -16,28 +16,27 @@ def top_per_key(df: DataFrame, key: str, k: int, *order: Column, rank: str | Non
     return out if rank else out.drop(name)
 
 
-SALTS = 16
 PAGE_BUCKETS = 2  # hexadecimal digits: 256 buckets per key
 
 
-def join_uneven(many: DataFrame, few: DataFrame, key: str, spread_by: str) -> DataFrame:
-    """Inner join where one key may own a large share of ``many``; ``few`` has a small fixed
-    number of rows per key.
+def _exchanged(few: DataFrame, key: str) -> DataFrame:
+    """``few`` without the partitioning by ``key`` that the operators below it leave, so that a join has an exchange of its own on this side too."""
+    return few.repartition(F.xxhash64(key))
 
-    Every key is treated alike: the hash of ``spread_by``, a column that tells the rows of ``many``
-    apart, deals a key's rows over ``SALTS`` parts, and ``few`` meets each part. Both inputs are read
-    once, whatever the sizes.
+
+def join_hot(many: DataFrame, few: DataFrame, key: str) -> DataFrame:
+    """Inner join where one key may own a large share of ``many``; ``few`` has a small fixed number of rows per key.
+
+    Adaptive execution splits an oversized partition of a join only where both inputs are exchanges, with nothing in between. ``many`` must
+    not come partitioned by ``key``; ``few``, usually the result of an aggregation or another join by ``key``, is shuffled once more for it.
+    A part of a hot key meets that key's rows of ``few``; all other rows are sent once.
     """
-    part = F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int")
-    spread = few.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return many.withColumn("_part", part).join(spread, [key, "_part"]).drop("_part")
+    return many.join(_exchanged(few, key), key)
 
 
-def anti_uneven(many: DataFrame, few: DataFrame, key: str, spread_by: str) -> DataFrame:
-    """Rows of ``many`` whose key ``few`` lacks, dealt out as in ``join_uneven``; NULL keys stay."""
-    part = F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int")
-    spread = few.select(key).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return many.withColumn("_part", part).join(spread, [key, "_part"], "left_anti").drop("_part")
+def anti_hot(many: DataFrame, few: DataFrame, key: str) -> DataFrame:
+    """Rows of ``many`` whose key ``few`` lacks, with the inputs of ``join_hot``; NULL keys stay."""
+    return many.join(_exchanged(few.select(key), key), key, "left_anti")
 
 
 def stretches(rows: DataFrame, key: str, bucket: Column) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from custlattice import vocab
 from custlattice.functions.values import date_lit, days_after, days_between, stamp, ts_lit, ts_plus_days
-from custlattice.operators.grouping import anti_uneven
+from custlattice.operators.grouping import anti_hot, join_hot
 
 CHURN, FRICTION, PRICE = "CHURN", "CLAIM_FRICTION", "PRICE_SENSITIVITY"
 RENEWAL_DAYS = 45  # renewal window of the competitor rule
@@ -76,7 +76,7 @@ def moments_churn_competitor(
     """Competitor named and a renewal within 45 days: soonest renewal, first naming row."""
     if mode == "all":
         # distinct renewal days: at most 45 per customer, whatever the number of policies
-        hits = competitor_rows(wide).join(renewing(policy, as_of, RENEWAL_DAYS).distinct(), "customer_id")
+        hits = join_hot(competitor_rows(wide), renewing(policy, as_of, RENEWAL_DAYS).distinct(), "customer_id")
     else:
         named = signals.filter(F.col("competitor").isNotNull()).select(
             "customer_id", F.col("competitor.row_id").alias("row_id")
@@ -111,7 +111,7 @@ def moments_churn_intent(
         (F.col("moment_type") == CHURN) & F.col("customer_id").isNotNull()
     ).select("customer_id").distinct()
     return _moment(
-        anti_uneven(hits, held, "customer_id", "row_id"), as_of, _stamped("MOM-CHR2-", as_of), CHURN, 0.90, 14,
+        anti_hot(hits, held, "customer_id"), as_of, _stamped("MOM-CHR2-", as_of), CHURN, 0.90, 14,
         F.col("row_id"),
         reason=F.lit(CANCEL_REASON), sentiment_score=F.col("score"), source=F.lit(CANCEL_SOURCE),
     )

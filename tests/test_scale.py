@@ -1,12 +1,13 @@
 """Hot customers, bounded groups, and plan shape."""
 
 import json
+from collections import Counter
 
 import pytest
 from conftest import DATA
 from pyspark.sql import functions as F
 
-from custlattice.operators import enrich, evidence, grouping, search_log
+from custlattice.operators import actions, enrich, evidence, grouping, search_log
 from custlattice.sources import tables as store
 from custlattice.plans import lookup
 from custlattice.plans.registry import QUERIES, open_workspace
@@ -76,21 +77,21 @@ def test_action_evidence_equals_brute_force(spark):
     assert len(got) == 150 and {r["doc_id"] for r in got} == {d for _, d in best}
 
 
-def test_uneven_join_equals_plain_join(spark):
+def test_hot_join_equals_plain_join(spark):
     many = spark.range(20000).select(
         F.when(F.col("id") % 3 == 0, "HOT").when(F.col("id") % 50 == 1, None).otherwise((F.col("id") % 5000).cast("string")).alias("k"),
         F.col("id").alias("row"),
     )
     few = many.select("k").distinct().filter("k is null or k <> '4'").withColumn("x", F.length("k"))
-    got = grouping.join_uneven(many, few, "k", "row")
+    got = grouping.join_hot(many, few, "k")
     want = many.join(few, "k")
     assert sorted(map(str, got.collect())) == sorted(map(str, want.select(got.columns).collect()))
 
 
-def test_uneven_anti_join_equals_plain_anti_join(spark):
+def test_hot_anti_join_equals_plain_anti_join(spark):
     many = spark.range(3000).select(F.when(F.col("id") % 3 == 0, "HOT").when(F.col("id") % 5 == 0, None).otherwise((F.col("id") % 40).cast("string")).alias("k"), F.col("id").alias("row"))
     few = spark.createDataFrame([("HOT",), ("7",), (None,)], "k string")
-    got = grouping.anti_uneven(many, few, "k", "row")
+    got = grouping.anti_hot(many, few, "k")
     assert sorted(map(str, got.collect())) == sorted(map(str, many.join(few, "k", "left_anti").select(got.columns).collect()))
 
 
@@ -121,7 +122,6 @@ def test_hot_key_is_many_tasks_work(spark):
         spark.conf.set("spark.sql.shuffle.partitions", "32")
         spark.conf.set("spark.sql.adaptive.enabled", "false")
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-        assert largest_task(grouping.join_uneven(many, few, "k", "row")) < 2_500
         numbered = grouping.positions(many, "k", F.col("row") % 64, F.col("row"), first_bucket=F.col("_bucket"))
         assert largest_task(numbered) < 2_500
     finally:
@@ -130,6 +130,57 @@ def test_hot_key_is_many_tasks_work(spark):
         spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
+SPLIT_AT = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4KB", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4KB", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "16",
+}
+
+
+@pytest.fixture
+def split_early(spark):
+    """Adaptive execution with the limits of a large cluster's partitions cut to those of the test tables."""
+    before = {k: spark.conf.get(k, None) for k in SPLIT_AT}
+    for k, v in SPLIT_AT.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("kind", ["join", "anti"])
+def test_hot_key_of_a_join_is_split(spark, split_early, kind):
+    many = spark.range(0, 40_000, 1, 16).select(F.when(F.col("id") % 3 == 0, "HOT").otherwise(F.col("id").cast("string")).alias("k"), F.col("id").alias("row"), F.md5(F.col("id").cast("string")).alias("x"))
+    # one row per key, as an aggregation leaves it: without an exchange of its own this side would hide the join from the splitting
+    few = many.filter("k <> 'HOT' or row < 9000").groupBy("k").agg(F.max("row").alias("top"))
+    out = grouping.join_hot(many, few, "k") if kind == "join" else grouping.anti_hot(many, few.filter("k <> 'HOT'"), "k")
+    out = out.withColumn("task", F.spark_partition_id())
+    rows = Counter(r["task"] for r in out.collect())
+    assert rows.total() == (40_000 if kind == "join" else 13_334)
+    assert max(rows.values()) < 4_500  # the hot key has 13,334 rows
+    assert "skew=true" in plan(out)
+
+
+def test_escalations_and_action_evidence_split_a_hot_customer(spark, split_early, make, as_of):
+    claims = make("claim", *[dict(claim_id=f"C{i}", customer_id="HOT" if i % 3 else f"c{i}", status="Open", filed_date=as_of.date().replace(day=1), claim_amount=1.0) for i in range(6_000)])
+    claims = claims.repartition(16)
+    scored = claims.select("customer_id").distinct().select("customer_id", F.lit(10.0).alias("sentiment_score"))
+    none = make("next_best_action")
+    out = actions.nba_claims(claims, scored, none, as_of)
+    assert out.count() == 6_000
+    out.collect()
+    assert "skew=true" in plan(out)
+    docs = claims.select(
+        "customer_id", F.col("claim_id").alias("doc_id"), F.lit("NOTE").alias("source_type"), F.lit("UNKNOWN").alias("sentiment"),
+        F.lit("X").alias("moment_type"), F.lit(as_of).cast("timestamp_ntz").alias("event_date"), F.lit("c").alias("content"),
+    )
+    acts = claims.select(F.col("claim_id").alias("action_id"), "customer_id", F.lit("A").alias("action_type"))
+    found = evidence.action_evidence(acts, docs, 2)
+    assert found.count() == 4_000 * 2 + 2_000
+    found.collect()
+    assert "skew=true" in plan(found)
+
+
 @pytest.mark.parametrize("name", ["customer_policies", "customer_claims", "customer_payments", "customer_interactions", "customer_actions", "customer_nba", "active_moments"])
 def test_listings_of_all_customers_are_not_sorted(spark, name):
     assert "rangepartitioning" not in plan(QUERIES[name](spark, DATA))
