@@ -1,7 +1,9 @@
 """A Brown class-based bigram model: P(text) = product of P(class | class before) P(word | class), the text's end being a word of its own class.
 
-Exchange clustering moves items between classes while the likelihood of the class bigrams grows. Items are the most frequent words and, for all
-other words, groups of words with the same ending; so every word, seen or not, has a class that depends on the word and the model alone. Counts of
+Exchange clustering moves items between classes while the likelihood of the class bigrams grows. Items are at first the most frequent words and, for all
+other words, groups of words with the same ending. Then each of the other words whose counts the tasks hold (``HEAD``) is exchanged by itself: Spark
+counts the classes before and after it in all training rows, and it goes to the class that raises the likelihood most, the others staying where they are.
+Words beyond these and unseen words keep the class of their ending; so every word has a class that depends on the word and the model alone. Counts of
 words, item pairs and classes cover all training rows. A word is known by a 64-bit hash.
 """
 
@@ -19,14 +21,17 @@ from pyspark.sql import functions as F
 from custlattice.llm.staging import staged
 from custlattice.llm.tokens import HashTable, Words, mix, signed, slices, words
 
-CLASSES = 48
-#: Words that are items themselves, and groups of endings for the others: their pairs are counted in at most 1.7 million cells.
+#: The number of classes is the cube root of the number of distinct training words, within these bounds (which keep a table of class pairs small).
+CLASSES = (48, 128)
+#: Words that are items from the start, and groups of endings for the others: their pairs are counted in at most 1.7 million cells.
 ITEMS = 1_024
 ENDINGS = 256
 ENDING_BYTES = 3
-#: Most frequent words whose counts are sent to the tasks (8 MB); counts of the others are joined.
+#: Most frequent words whose counts and classes are sent to the tasks (9 MB); counts of the others are joined.
 HEAD = 1 << 19
 ROUNDS = 6
+#: Counted contexts that are compared with all classes at a time.
+BLOCK = 1 << 14
 SMOOTHING = 0.5
 #: Weight of the class's own share against the class bigram.
 BACKOFF = 5.0
@@ -127,7 +132,11 @@ def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
 
-def exchange(pairs: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS) -> np.ndarray:
+def classes_for(words: int) -> int:
+    return int(np.clip(np.ceil(np.cbrt(words)), *CLASSES))
+
+
+def exchange(pairs: np.ndarray, classes: int, rounds: int = ROUNDS) -> np.ndarray:
     """Class of each item: pairs[a, b] counts b after a. Items move, one at a time and most frequent first, to the class that raises the likelihood most.
 
     Class 0 holds item 0, the end, alone. At the start the most frequent items open the classes and the others are dealt out in turn.
@@ -184,23 +193,38 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS) ->
     return own
 
 
+@dataclass
+class Classes:
+    """The class of every word: its own if it is one of the ``head``, else that of its group of endings; the end of a text is class 0."""
+
+    n: int
+    head: HashTable
+    head_class: np.ndarray
+    ending_class: np.ndarray
+
+    def of(self, hashes: np.ndarray, group: np.ndarray) -> np.ndarray:
+        out = self.ending_class[group]
+        at, which = self.head.find(hashes)
+        out[at] = self.head_class[which]
+        out[hashes == END] = 0
+        return out
+
+
 @dataclass
 class ClassModel:
-    """Item classes, log10 transition probabilities, log10 divisors of the word counts per class, tokens, distinct words, the base's divisor, and counts of the most frequent words."""
+    """Classes, log10 transition probabilities, log10 divisors of the word counts per class, tokens, distinct words, the base's divisor, and counts of the head's words."""
 
-    items: Items
-    classes: np.ndarray
+    classes: Classes
     transition: np.ndarray
     norm: np.ndarray
     tokens: int
     words: int
     divisor: float
-    head: HashTable
     head_counts: np.ndarray
 
 
 def _head(counts: DataFrame) -> pa.Table:
-    """(word, n) of the most frequent words, at most HEAD, the bound between whole octave eighths of the count."""
+    """(word, ending, n) of the most frequent words, at most HEAD, the bound between whole octave eighths of the count."""
     eighth = F.floor(F.log2("n") * 8).cast("int")
     room, least = HEAD, None
     for r in counts.groupBy(eighth.alias("eighth")).count().orderBy(F.desc("eighth")).collect():  # at most 512 rows
@@ -208,23 +232,136 @@ def _head(counts: DataFrame) -> pa.Table:
         if room < 0:
             break
         least = r.eighth
-    return counts.where(eighth >= (least if least is not None else 1 << 20)).select("word", "n").toArrow()
+    return counts.where(eighth >= (least if least is not None else 1 << 20)).select("word", "ending", "n").toArrow()
 
 
-def _kinds(counts: DataFrame, items: Items, classes: np.ndarray) -> np.ndarray:
+def class_pairs(docs: DataFrame, classes: Classes) -> np.ndarray:
+    """How often a word of class d follows one of class c in docs (column text), at [c, d]."""
+    sent = docs.sparkSession.sparkContext.broadcast(classes)
+    cells = classes.n**2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = sent.value
+        n = np.zeros(cells, dtype=np.int64)
+        for batch in batches:
+            for _, raw, off in slices(batch, "text"):
+                hashes, group, _ = _tokens(words(raw, off))
+                of = own.of(hashes, group)
+                n += np.bincount(np.concatenate([[0], of[:-1]]) * own.n + of, minlength=cells)
+        seen = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(n[seen])], ["pair", "n"])
+
+    got = docs.select(_text()).mapInArrow(run, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(cells)
+    out[got.column("pair").to_numpy()] = got.column("n").to_numpy()
+    return out.reshape(classes.n, classes.n)
+
+
+def contexts(docs: DataFrame, classes: Classes, listed: np.ndarray) -> DataFrame:
+    """(word, cells): per word of the head, by its number there, how often each class comes before it (cell: the class) and after it (cell: n + the class).
+
+    ``listed`` tells the words that have been exchanged already; they and the end have no row. cells has at most 2 n entries.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast((classes, listed | (classes.head.keys == END)))
+    wide = 2 * classes.n
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, done = sent.value
+        held, size = [], 0
+
+        def counted() -> pa.RecordBatch:
+            key, n = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array((key // wide).astype(np.int32)), pa.array((key % wide).astype(np.int16)), pa.array(n)], ["word", "cell", "n"])
+
+        for batch in batches:
+            for _, raw, off in slices(batch, "text"):
+                hashes, group, _ = _tokens(words(raw, off))
+                of = own.of(hashes, group)
+                at, which = own.head.find(hashes)
+                free = ~done[which]
+                at, which = at[free], which[free]
+                before = np.concatenate([[0], of[:-1]])[at]
+                held += [which * wide + before, which * wide + own.n + of[at + 1]]  # after every word comes a word or the end
+                size += 2 * len(at)
+                if size >= 1 << 21:
+                    yield counted()
+                    size = 0
+        if held:
+            yield counted()
+
+    rows = docs.select(_text()).mapInArrow(run, "word int, cell smallint, n bigint").groupBy("word", "cell").agg(F.sum("n").alias("n"))
+    return rows.groupBy("word").agg(F.collect_list(F.struct("cell", "n")).alias("cells"))
+
+
+def best_classes(table: np.ndarray, old: np.ndarray, row: np.ndarray, cell: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Where each of some words, of classes ``old``, raises the likelihood most while all others stay: its n[i] neighbours of the i-th context are cell[i],
+    as in ``contexts``; row[i] is the word, ascending and without gaps. Table cells that both sides of a word meet are taken as two. Nobody opens an empty class, for all that wish to would meet in it."""
+    classes = len(table)
+    cells = np.hstack([table.T, table])
+    begin = np.flatnonzero(np.diff(row, prepend=-1))
+    there = cells[:, cell]
+    gain = np.add.reduceat(_xlogx(there + n) - _xlogx(there), begin, axis=1).T
+    here = cells[old[row], cell]
+    stay = np.add.reduceat(_xlogx(here) - _xlogx(np.maximum(here - n, 0)), begin)
+    for margin, side in ((table.sum(axis=0), cell < classes), (table.sum(axis=1), cell >= classes)):
+        size = np.add.reduceat(np.where(side, n, 0), begin).astype(float)
+        gain -= _xlogx(margin + size[:, None]) - _xlogx(margin)
+        stay -= _xlogx(margin[old]) - _xlogx(np.maximum(margin[old] - size, 0))
+    gain[:, table.sum(axis=0) == 0] = -np.inf
+    gain[:, 0] = -np.inf
+    gain[np.arange(len(old)), old] = stay
+    new = gain.argmax(axis=1)
+    return np.where(gain.max(axis=1) > stay + 1e-9, new, old)
+
+
+def exchange_all(docs: DataFrame, classes: Classes, listed: np.ndarray, table: np.ndarray) -> tuple[Classes, np.ndarray]:
+    """Every word of the head that is not ``listed`` in its best class, and the table of class pairs by it; as before if all moves together gain nothing."""
+    sent = docs.sparkSession.sparkContext.broadcast((classes.head_class, table))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, pairs = sent.value
+        for batch in batches:
+            word = batch.column("word").to_numpy(zero_copy_only=False)
+            lists = batch.column("cells")
+            size = lists.value_lengths().to_numpy(zero_copy_only=False)
+            cell, n = (lists.flatten().field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            ends = np.concatenate([[0], np.cumsum(size)])
+            i = 0
+            while i < len(word):
+                j = max(i + 1, int(np.searchsorted(ends, ends[i] + BLOCK, "right")) - 1)
+                some = slice(ends[i], ends[j])
+                new = best_classes(pairs, own[word[i:j]], np.repeat(np.arange(j - i), size[i:j]), cell[some].astype(np.int64), n[some])
+                yield pa.RecordBatch.from_arrays([pa.array(word[i:j]), pa.array(new.astype(np.int16))], ["word", "class"])
+                i = j
+
+    got = contexts(docs, classes, listed).mapInArrow(run, "word int, class smallint").toArrow()  # at most HEAD rows
+    own = classes.head_class.copy()
+    own[got.column("word").to_numpy()] = got.column("class").to_numpy()
+    moved = Classes(classes.n, classes.head, own, classes.ending_class)
+    pairs = class_pairs(docs, moved)
+    return (moved, pairs) if likelihood(pairs) > likelihood(table) else (classes, table)
+
+
+def likelihood(table: np.ndarray) -> float:
+    """Log likelihood of class bigrams up to a constant."""
+    return float(_xlogx(table).sum() - _xlogx(table.sum(axis=0)).sum() - _xlogx(table.sum(axis=1)).sum())
+
+
+def _kinds(counts: DataFrame, classes: Classes) -> np.ndarray:
     """How many distinct words each class has."""
-    sent = counts.sparkSession.sparkContext.broadcast((items, classes))
+    sent = counts.sparkSession.sparkContext.broadcast(classes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, of = sent.value
-        n = np.zeros(CLASSES, dtype=np.int64)
+        own = sent.value
+        n = np.zeros(own.n, dtype=np.int64)
         for batch in batches:
             word, group = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            n += np.bincount(of[own.of(word.view(np.uint64), group.astype(np.int64))], minlength=CLASSES)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES, dtype=np.int32)), pa.array(n)], ["class", "n"])
+            n += np.bincount(own.of(word.view(np.uint64), group.astype(np.int64)), minlength=own.n)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(own.n, dtype=np.int32)), pa.array(n)], ["class", "n"])
 
     found = counts.select("word", "ending").mapInArrow(run, "class int, n bigint").groupBy("class").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(CLASSES)
+    out = np.zeros(classes.n)
     out[found.column("class").to_numpy()] = found.column("n").to_numpy()
     return out
 
@@ -244,15 +381,19 @@ def fit(docs: DataFrame) -> tuple[ClassModel, DataFrame]:
     pairs = np.zeros(items.n * items.n)
     pairs[got.column("pair").to_numpy()] = got.column("n").to_numpy()
     pairs = pairs.reshape(items.n, items.n)
-    classes = exchange(pairs)
-    member = np.eye(CLASSES)[classes]
-    table = member.T @ pairs @ member
+    many = classes_for(int(total[1]))
+    own = exchange(pairs, many)
+    order = np.argsort(word)
+    head = HashTable(word)
+    group = top.column("ending").to_numpy()[order].astype(np.int64)
+    classes = Classes(many, head, own[items.of(head.keys, group)], own[-ENDINGS:])
+    member = np.eye(many)[own]
+    classes, table = exchange_all(docs, classes, np.isin(head.keys, items.table.keys), member.T @ pairs @ member)
     tokens = table.sum(axis=0)
-    share = (tokens + SMOOTHING) / (tokens.sum() + SMOOTHING * CLASSES)
+    share = (tokens + SMOOTHING) / (tokens.sum() + SMOOTHING * many)
     transition = np.log10((table + BACKOFF * share) / (table.sum(axis=1, keepdims=True) + BACKOFF))
-    norm = np.log10(tokens + SMOOTHING * (_kinds(counts, items, classes) + 1))
-    order = np.argsort(word)
-    return ClassModel(items, classes, transition, norm, int(total[0]), int(total[1]), float(total[0]) + SMOOTHING * (int(total[1]) + 1), HashTable(word), n[order]), counts
+    norm = np.log10(tokens + SMOOTHING * (_kinds(counts, classes) + 1))
+    return ClassModel(classes, transition, norm, int(total[0]), int(total[1]), float(total[0]) + SMOOTHING * (int(total[1]) + 1), n[order]), counts
 
 
 _PART = "part bigint, doc_id bigint, n_tokens bigint, n_known bigint, base double, score double, word bigint, n bigint"
@@ -270,11 +411,11 @@ def _parts(docs: DataFrame, made: ClassModel) -> DataFrame:
         for batch in batches:
             for part, raw, off in slices(batch, "text"):
                 hashes, group, begin = _tokens(words(raw, off))
-                of = model.classes[model.items.of(hashes, group)]
+                of = model.classes.of(hashes, group)
                 before = np.concatenate([[0], of[:-1]])  # what comes before a row is an end, of class 0
                 rows = part.num_rows
                 row_of = np.repeat(np.arange(rows), np.diff(begin))
-                at, which = model.head.find(hashes)
+                at, which = model.classes.head.find(hashes)
                 known = np.bincount(row_of[at], minlength=rows)
                 bases = np.bincount(row_of[at], base[which], minlength=rows).astype(np.float64)
                 told = model.transition[before, of] - model.norm[of]
