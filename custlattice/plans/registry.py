@@ -6,6 +6,7 @@ date columns so that results compare as plain values.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 from datetime import datetime
 from functools import reduce
@@ -667,6 +668,16 @@ def _rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
     return df.withColumns({n: round_exact(F.col(n), digits) for n in names})
 
 
+@query
+def sem_health_file(w):
+    """``sem_health`` by a model file, held against the tables first."""
+    frames = {"customer_health": w.health, "customer": w.tables["customer"]}
+    model = semantic.checked(semantic.SemanticModel.from_yaml(os.path.join(os.path.dirname(__file__), "models", "health.yaml")), frames)
+    means = ["average health", "avg_churn_risk", "churn_rate", "avg_sentiment", "avg_payment_score", "avg_engagement_score"]
+    out = semantic.metrics(model, frames, ["customer_count", "critical_customers", *means], by=["risk category", "region"])
+    return _rounded(out, "avg_health_score", *means[1:])
+
+
 @query
 def sem_health(w):
     out = semantic.metrics(

@@ -6,6 +6,9 @@ they share through declared relationships: every table is aggregated on its own
 the results are joined, so no measure is multiplied by a join. Relationships are followed over any number of hops, but only
 towards one row; a dimension that lies across a one-to-many hop, or at the end of two equally short paths, is refused.
 A measure that names its ``parts`` is added up per key before the first join.
+
+``problems`` holds a model against tables before anything runs: Spark's parser and analyser read every expression, and what they refuse is
+reported with the name of the term.
 """
 
 from __future__ import annotations
@@ -14,7 +17,8 @@ import re
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException, ParseException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -77,6 +81,7 @@ class SemanticModel:
 
     @classmethod
     def from_yaml(cls, path: str) -> SemanticModel:
+        """A file with the mapping of ``from_dict``."""
         try:
             import yaml
         except ImportError as e:
@@ -130,6 +135,77 @@ class SemanticModel:
         return list(self.paths(table))
 
 
+#: Functions that expressions of a model may call: their values depend on the rows alone, not on the run.
+FUNCTIONS = frozenset(
+    "abs any_value avg ceil coalesce concat count count_if date_trunc datediff floor greatest if ifnull least lower max max_by median min min_by "
+    "month nullif percentile quarter rint round stddev substring sum trim upper variance year".split()
+)
+
+
+def functions_of(spark: SparkSession, expr: str) -> set[str]:
+    """Names of the functions that ``expr`` calls, as Spark's parser reads it; a subquery counts as function ``subquery``."""
+    found, nodes = set(), [spark._jsparkSession.sessionState().sqlParser().parseExpression(expr)]
+    while nodes:
+        node = nodes.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "UnresolvedFunction":
+            found.add(node.nameParts().mkString(".").lower())
+        elif "Subquery" in kind or kind == "Exists":
+            found.add("subquery")
+        children = node.children()
+        nodes += [children.apply(i) for i in range(children.size())]
+    return found
+
+
+def problems(model: SemanticModel, frames: dict[str, DataFrame], functions: frozenset[str] = FUNCTIONS) -> list[str]:
+    """What keeps ``model`` from being used on ``frames``, one line each, empty if nothing: tables that are not there, expressions that do not parse
+    or call other functions than ``functions``, unknown columns, dimensions that aggregate and measures that do not, keys that a side
+    of a relationship lacks. Expressions are analysed, no row is read."""
+    out = []
+
+    def judged(what: str, expr: str, use) -> None:
+        try:
+            others = sorted(functions_of(frame.sparkSession, expr) - functions)
+            out.extend(f"{what}: function {name} is not allowed" for name in others)
+            if not others:
+                use(F.expr(expr)).schema  # noqa: B018
+        except (AnalysisException, ParseException) as e:
+            named = (e.getMessageParameters() or {}).get("objectName")
+            out.append(f"{what}: {e.getCondition()}" + (f" {named}" if named else ""))
+        except Exception as e:  # the parser itself, called through the gateway, raises what it throws in Java
+            if "ParseException" not in str(e):
+                raise
+            out.append(f"{what}: PARSE_SYNTAX_ERROR")
+
+    for name, table in model.tables.items():
+        if name not in frames:
+            out.append(f"{name}: no such table")
+            continue
+        frame = frames[name]
+        for term in table.dimensions.values():
+            judged(f"{name}.{term.name}", term.expr, lambda c: frame.groupBy(c.alias("of")).count())
+        for term in table.measures.values():
+            what = f"{name}.{term.name}"
+            if not term.parts:
+                judged(what, term.expr, lambda c: frame.agg(c.alias("of")))
+                continue
+            before = len(out)
+            for part, (expr, merge) in term.parts.items():
+                judged(f"{what} ({part})", expr, lambda c: frame.agg(c.alias("of")))
+                if merge not in functions:
+                    out.append(f"{what} ({part}): function {merge} is not allowed")
+            if len(out) == before:
+                summed = frame.agg(*[F.expr(expr).alias(part) for part, (expr, _) in term.parts.items()])
+                judged(what, term.expr, lambda c: summed.select(c.alias("of")))
+    for r in model.relationships:
+        for side in (r.table, r.target):
+            if side not in model.tables:
+                out.append(f"{r.table} to {r.target}: no table {side}")
+            elif side in frames and r.key.lower() not in (c.lower() for c in frames[side].columns):
+                out.append(f"{r.table} to {r.target}: {side} has no column {r.key}")
+    return out
+
+
 def _spark_sql(expr: str) -> str:
     """The warehouse's FLOAT is a 64-bit number."""
     return re.sub(r"::\s*FLOAT\b", "::DOUBLE", expr, flags=re.IGNORECASE)
@@ -210,6 +286,14 @@ def _same_groups(a: DataFrame, b: DataFrame, labels: list[str]) -> DataFrame:
     return joined.select(*keys, *rest)
 
 
+def checked(model: SemanticModel, frames: dict[str, DataFrame]) -> SemanticModel:
+    """``model``, or a ValueError with all its problems."""
+    found = problems(model, frames)
+    if found:
+        raise ValueError("the model does not fit its tables:\n" + "\n".join(found))
+    return model
+
+
 # --- the built-in model ----------------------------------------------------------------------
 # Metric and dimension names, and what each computes.
 

@@ -1,5 +1,6 @@
 """Metric layer, portfolio options and generators."""
 
+import os
 from datetime import datetime
 
 import pytest
@@ -46,6 +47,49 @@ def test_model_from_mapping(make):
     assert semantic.metrics(model, {"t": df}, ["share"]).first()["share"] == 1 / 3
 
 
+def test_model_file_fits_its_tables(make):
+    model = semantic.SemanticModel.from_yaml(os.path.join(os.path.dirname(semantic.__file__), "models", "health.yaml"))
+    found = {"customer_health": make("customer_health"), "customer": make("customer")}
+    assert semantic.problems(model, found) == [] and semantic.checked(model, found) is model
+    assert semantic.problems(semantic.MODEL, {t: make(t) for t in ("customer_health", "customer", "policy")} | {"next_best_action_log": make("next_best_action_log")}) == []
+    assert semantic.problems(semantic.CLAIMS, {t: make(t) for t in ("claim", "policy", "customer")}) == []
+
+
+def test_what_a_model_gets_wrong_is_reported(make, tmp_path):
+    path = tmp_path / "model.yaml"
+    path.write_text("""
+tables:
+  - name: policy
+    dimensions:
+      - {name: good, expr: "upper(status)"}
+      - {name: lost, expr: "sttaus"}
+      - {name: folded, expr: "max(status)"}
+      - {name: dice, expr: "rand()"}
+    measures:
+      - {name: held, expr: "COUNT(DISTINCT POLICY_ID)::FLOAT"}
+      - {name: plain, expr: "premium_amount"}
+      - {name: broken, expr: "sum(premium_amount"}
+      - {name: other, expr: "sum((select max(premium_amount) from policy))"}
+      - {name: split, expr: "a / b", parts: {a: [sum(premium_amount), sum]}}
+      - {name: merged, expr: "a", parts: {a: [sum(premium_amount), collect_list]}}
+  - {name: office}
+relationships:
+  - {table: policy, key: branch, target: office}
+  - {table: policy, key: customer_id, target: customers}
+""")
+    model = semantic.SemanticModel.from_yaml(str(path))
+    found = {"policy": make("policy")}
+    lines = semantic.problems(model, found)
+    told = dict(line.split(": ", 1) for line in lines if line.startswith("policy."))
+    assert set(told) == {f"policy.{n}" for n in ("lost", "folded", "dice", "plain", "broken", "other", "split", "merged (a)")}
+    assert "UNRESOLVED_COLUMN" in told["policy.lost"] and "sttaus" in told["policy.lost"]
+    assert told["policy.dice"] == "function rand is not allowed" and told["policy.other"] == "function subquery is not allowed"
+    assert "PARSE_SYNTAX_ERROR" in told["policy.broken"] and "`b`" in told["policy.split"]
+    assert {"office: no such table", "policy to office: policy has no column branch", "policy to customers: no table customers"} <= set(lines)
+    with pytest.raises(ValueError, match="sttaus"):
+        semantic.checked(model, found)
+
+
 def test_queue_filter_and_empty_sums(make):
     acts = make("next_best_action", *[dict(action_id=str(i), customer_id="C", action_type=t, status="PENDING", suppressed=s, priority=1, confidence=0.5) for i, (t, s) in enumerate((("A", False), ("B", False), ("B", None), ("B", True)))])
     cust = make("customer", dict(customer_id="C", first_name="F", last_name="L"))
