@@ -57,7 +57,7 @@ def evidence_source(tables: dict[str, DataFrame], labels: DataFrame) -> DataFram
 
     ``labels`` is ``enrichment_wide`` output (one corpus row per document) or the sparse table
     itself (a document repeats once per enrichment row, each copy with that row's labels).
-    Bucket the text tables and the labels by document id to keep this join local.
+    With text tables and labels in buckets by document id (``sources.layout``) the join is local.
     """
 
     def labelled(table, key, kind):

@@ -23,6 +23,7 @@ from custlattice.operators import enrich, events, evidence, health, health_state
 from custlattice.plans import checks, lookup, portfolio, semantic
 from custlattice.plans.pipeline import Workspace, count_rows
 from custlattice.sources import tables as store
+from custlattice.sources.layout import open_bucketed, write_bucketed
 from custlattice.sources.sample import AS_OF, LEXICON, SampleTables
 from custlattice.sources.tables import scratch_dir
 from custlattice.streaming import feeds
@@ -506,6 +507,18 @@ def evidence_source_joined(w):
     )
 
 
+@query
+def evidence_source_colocated(w):
+    """The same from tables in buckets by document id: laid out once, every later join of texts and labels shuffles neither."""
+    spark = w.tables["customer"].sparkSession
+    root = scratch_dir(spark)
+    laid = {t: open_bucketed(spark, write_bucketed(w.tables[t], root, t, f"{t}_id")) for t in ("transcript", "email")}
+    labels = open_bucketed(spark, write_bucketed(enrich.enrichment_wide(w.enrichment), root, "labels", "source_id"))
+    return evidence.evidence_source(laid | {t: w.tables[t] for t in ("note", "survey")}, labels).select(
+        "doc_id", "customer_id", "source_type", "sentiment", "moment_type", "event_date"
+    )
+
+
 @query
 def evidence_index(w):
     return evidence.postings(w.corpus).select("term", "doc_id", "tf", "customer_id", "source_type", "sentiment", "moment_type")

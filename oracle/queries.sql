@@ -255,6 +255,8 @@ FROM o_action WHERE NOT suppressed AND expires_on > DATE '2024-01-31'
 SELECT doc_id, customer_id, source_type, content, sentiment, moment_type, strftime(written_on, '%Y-%m-%d 00:00:00') AS event_date FROM x_doc
 -- name: evidence_source_joined
 SELECT doc_id, customer_id, source_type, sentiment, moment_type, strftime(written_on, '%Y-%m-%d 00:00:00') AS event_date FROM x_doc
+-- name: evidence_source_colocated
+SELECT doc_id, customer_id, source_type, sentiment, moment_type, strftime(written_on, '%Y-%m-%d 00:00:00') AS event_date FROM x_doc
 -- name: evidence_index
 SELECT term, doc_id, count(*) AS tf, customer_id, source_type, sentiment, moment_type
 FROM (SELECT unnest(w) AS term, doc_id, customer_id, source_type, sentiment, moment_type FROM x_word) GROUP BY ALL
