@@ -87,8 +87,8 @@ class SampleTables:
         """The table whose rows become the result's rows: a file stream in streaming use."""
         if not self.streaming:
             return self._static(name)
-        reader = self.spark.readStream.schema(RAW_SCHEMAS[name]).option("pathGlobFilter", f"{name}.parquet")
-        return reader.parquet(self.path)
+        # a pattern, because a file stream takes a single file by pattern only; a folder of part files fits it as well
+        return self.spark.readStream.schema(RAW_SCHEMAS[name]).parquet(f"{self.path}/{name}[.]parquet")
 
     # a mapping of table name to DataFrame; a table is opened when it is first asked for
     def __getitem__(self, table: str) -> DataFrame:

@@ -1,12 +1,13 @@
 """Streams drained in several micro-batches equal the batch result; replays add nothing."""
 
+import os
 import shutil
 
 import pytest
 from conftest import DATA
 
 from custlattice.operators import enrich, events, evidence, search_log
-from custlattice.plans.registry import open_workspace
+from custlattice.plans.registry import QUERIES, open_workspace
 from custlattice.sources.schemas import SCHEMAS
 from custlattice.streaming import feeds
 
@@ -77,6 +78,18 @@ def test_evidence_stream_grows_the_index(spark, w, tmp_path):
     assert got == evidence.search_corpus(corpus, query).select("doc_id", "score").collect()
 
 
+@pytest.mark.parametrize("name", ["stream_enrichment", "stream_evidence_refresh", "stream_customer_events"])
+def test_tables_that_are_folders_of_files(spark, tmp_path, name):
+    small = "/root/testdata/sf0.001"
+    for table in os.listdir(small):
+        if table in ("documents.parquet", "labels.parquet", "lineitem.parquet"):
+            spark.read.parquet(f"{small}/{table}").repartition(3).write.parquet(str(tmp_path / table))
+        else:
+            os.symlink(f"{small}/{table}", tmp_path / table)
+    want, got = (QUERIES[name](spark, d) for d in (small, str(tmp_path)))
+    assert got.count() and rows(got, *got.columns) == rows(want, *want.columns)
+
+
 ARRIVAL = "customer_id string, arrival_id string, channel string, topic string, text string, sentiment double"
 
 
