@@ -265,21 +265,36 @@ def _replicated_pieces(nodes: DataFrame) -> DataFrame:
 
 
 def _near_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Input sorted by (cell, fp). Each fingerprint with the first one of its cell that its piece is near to."""
-
-    def links(key: np.ndarray, piece: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-        x, n = piece.view(np.uint32), len(key)
-        first, shift, at = np.arange(n), 1, np.arange(n)
+    """Input sorted by (cell, piece). Each cell's fingerprints in groups that near pieces reach; a group is named by its members, so that equal groups of
+    several cells become one. Fingerprints that are near no other are left out."""
+
+    def groups(key: np.ndarray, piece: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        new = np.ones(len(key), dtype=bool)
+        new[1:] = (key[1:] != key[:-1]) | (piece[1:] != piece[:-1])
+        starts = np.flatnonzero(new)  # equal pieces of a cell are compared as one
+        cell, x, node = key[starts], piece[starts].view(np.uint32), np.cumsum(new) - 1
+        label, shift, at = np.arange(len(starts)), 1, np.arange(len(starts))
+        us, vs, held = [], [], 0
         while True:
-            at = at[at < n - shift]
-            at = at[key[at] == key[at + shift]]
-            if not len(at):
-                break
+            at = at[at < len(starts) - shift]
+            at = at[cell[at] == cell[at + shift]]
             near = at[np.bitwise_count(x[at] ^ x[at + shift]) <= PIECE_THRESHOLD]
-            first[near + shift] = np.minimum(first[near + shift], near)
+            us.append(near)
+            vs.append(near + shift)
+            held += len(near)
+            if held > 1 << 21 or not len(at):
+                nodes, low = _smallest_reachable(np.concatenate(us), np.concatenate(vs))
+                us, vs, held = [nodes], [low], len(nodes)
+                if not len(at):
+                    break
             shift += 1
-        keep = np.flatnonzero((first < np.arange(n)) & (fp[first] != fp))
-        return pa.RecordBatch.from_arrays([pa.array(fp[keep]), pa.array(fp[first[keep]])], ["u", "v"])
+        label[nodes] = low
+        group = label[node]
+        members = np.bincount(group, minlength=len(starts))
+        keep = np.flatnonzero(members[group] > 1)
+        name = np.zeros(len(starts), dtype=np.uint64)
+        np.add.at(name, group[keep], mix(fp[keep].view(np.uint64)))
+        return pa.RecordBatch.from_arrays([pa.array(name[group[keep]].view(np.int64)), pa.array(fp[keep])], ["near", "fp"])
 
     held: list[list[np.ndarray]] = []
     rows = 0
@@ -289,22 +304,69 @@ def _near_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if rows >= 1 << 18:
             columns = [np.concatenate(c) for c in zip(*held, strict=True)]
             cut = int(np.searchsorted(columns[0], columns[0][-1], "left"))  # the last cell may go on
-            yield links(*(c[:cut] for c in columns))
+            yield groups(*(c[:cut] for c in columns))
             held, rows = [[c[cut:] for c in columns]], len(columns[0]) - cut
     if rows:
-        yield links(*(np.concatenate(c) for c in zip(*held, strict=True)))
+        yield groups(*(np.concatenate(c) for c in zip(*held, strict=True)))
+
+
+def _alike(fp: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stars of links among a group's fingerprints: all that pairs near in a piece and in the whole reach. A fingerprint that has been reached is only
+    compared with those that have not been, so a group of near copies costs little more than its size."""
+    us, vs, left = [], [], np.arange(len(fp))
+    pieces = bits.view(np.uint32).reshape(len(fp), PIECES)
+    while len(left):
+        root, left = left[0], left[1:]
+        front = [root]
+        while front and len(left):
+            one = front.pop()
+            rest = left[np.bitwise_count(bits[left] ^ bits[one]).sum(axis=1, dtype=np.int64) <= LONG_THRESHOLD]
+            near = rest[(np.bitwise_count(pieces[rest] ^ pieces[one]) <= PIECE_THRESHOLD).any(axis=1)]
+            if len(near):
+                us.append(fp[near])
+                vs.append(np.full(len(near), fp[root]))
+                left = left[~np.isin(left, near, assume_unique=True)]
+                front += near.tolist()
+    none = np.zeros(0, dtype=np.int64)
+    return np.concatenate([none, *us]), np.concatenate([none, *vs])
+
+
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Input (near, fp, bits) sorted by near: the links of each group."""
+    name = None
+    prints: list[np.ndarray] = []
+    words: list[np.ndarray] = []
+
+    def links() -> Iterator[pa.RecordBatch]:
+        u, v = _alike(np.concatenate(prints), np.concatenate(words))
+        if len(u):
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+    for batch in batches:
+        near, fp = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        bits = batch.column(2).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(fp), PIECES // 2)
+        edges = [0, *(np.flatnonzero(near[1:] != near[:-1]) + 1).tolist(), len(near)] if len(near) else []
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            if prints and near[a] != name:
+                yield from links()
+                prints, words = [], []
+            name = near[a]
+            prints.append(fp[a:b])
+            words.append(bits[a:b])
+    if prints:
+        yield from links()
 
 
 def similar_links(nodes: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """(u, v): fingerprints (columns fp, bits) that are near in a piece and differ in LONG_THRESHOLD bits or fewer.
+    """(u, v): links that give the same components as all pairs of fingerprints (columns fp, bits) that are near in a piece and differ in LONG_THRESHOLD bits
+    or fewer.
 
-    In each cell a fingerprint is paired with the first one near it, not with all, so a group of n near copies gives at most n pairs a cell.
+    Cells hold pieces alone and tell which fingerprints may be near; of these groups, equal ones once, whole fingerprints are compared.
     """
-    cells = _cells(_replicated_pieces(nodes), chunk, "hot-pieces").repartition("cell").sortWithinPartitions("cell", "fp")
-    pairs = staged(cells.select("cell", "piece", "fp").mapInArrow(_near_pieces, "u bigint, v bigint").distinct(), "near-pieces")
-    one, other = (nodes.select(F.col("fp").alias(c), F.col("bits").alias(f"{c}_bits")) for c in "uv")
-    distance = F.aggregate(F.zip_with("u_bits", "v_bits", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
-    return pairs.join(one, "u").join(other, "v").where(distance <= LONG_THRESHOLD).select("u", "v")
+    cells = _cells(_replicated_pieces(nodes), chunk, "hot-pieces").repartition("cell").sortWithinPartitions("cell", "piece")
+    near = staged(cells.select("cell", "piece", "fp").mapInArrow(_near_pieces, "near bigint, fp bigint").distinct(), "near-pieces")
+    groups = near.join(nodes.select("fp", "bits"), "fp").select("near", "fp", "bits").repartition("near").sortWithinPartitions("near")
+    return groups.mapInArrow(_linked, "u bigint, v bigint")
 
 
 def _components(prints: DataFrame, links=near_links) -> DataFrame:

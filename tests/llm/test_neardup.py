@@ -146,3 +146,42 @@ def test_a_large_group_of_near_copies_and_split_cells(spark, docs_of, monkeypatc
     nodes = neardup.long_fingerprints(docs_of(texts)).select("fp", "bits").distinct()
     found = components(neardup.similar_links(nodes, 16)).collect()
     assert len({r.root for r in found}) == 1 and len(found) == len({r.fp for r in nodes.collect()}) - 1
+
+
+def test_a_piece_near_to_an_unlike_fingerprint_hides_no_link(spark):
+    rng = np.random.default_rng(4)
+    rows, pairs = [], []
+    for i in range(40):
+        one = rng.integers(0, 2**32, 16, dtype=np.uint64).astype(np.uint32)
+        other, third = one.copy(), rng.integers(0, 2**32, 16, dtype=np.uint64).astype(np.uint32)
+        other[1:] ^= np.uint32(7)  # 45 bits in the whole, three in each piece but the first
+        third[0] = one[0]  # sorts first, shares the piece, and is unlike both in the whole
+        rows += [(3 * i + at, x.view(np.int64).tolist()) for at, x in enumerate((third, one, other))]
+        pairs.append((3 * i + 1, 3 * i + 2))
+    nodes = spark.createDataFrame(rows, "fp bigint, bits array<bigint>").repartition(3)
+    for chunk in (2, 100_000):
+        found = {tuple(sorted((r.u, r.v))) for r in neardup.similar_links(nodes, chunk).collect()}
+        assert found == set(pairs)
+
+
+def test_similar_links_reach_what_all_pairs_reach(spark):
+    rng = np.random.default_rng(5)
+    prints = [rng.integers(0, 2**32, 16, dtype=np.uint64).astype(np.uint32)]
+    for _ in range(250):
+        new = prints[rng.integers(len(prints))].copy()
+        for bit in rng.choice(512, int(rng.integers(30, 130)), replace=False):
+            new[bit // 32] ^= np.uint32(1 << int(bit) % 32)
+        prints.append(new)
+    label = list(range(len(prints)))
+    for i, x in enumerate(prints):
+        for j, y in enumerate(prints[:i]):
+            d = np.bitwise_count(x ^ y)
+            if d.min() <= neardup.PIECE_THRESHOLD and d.sum() <= neardup.LONG_THRESHOLD:
+                a, b = sorted((label[i], label[j]))
+                label = [a if c == b else c for c in label]
+    nodes = spark.createDataFrame([(i, x.view(np.int64).tolist()) for i, x in enumerate(prints)], "fp bigint, bits array<bigint>")
+    for chunk in (8, 100_000):
+        found = components(neardup.similar_links(nodes, chunk)).collect()
+        roots = {i: i for i in range(len(prints))} | {r.u: r.root for r in found}
+        assert [roots[i] for i in range(len(prints))] == label
+    assert 1 < len(set(label)) < 200
