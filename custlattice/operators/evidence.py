@@ -142,22 +142,23 @@ def _folded(words: Column) -> Column:
     """Distinct words of an array with their counts: the sorted words' runs."""
 
     def runs(w: Column) -> Column:
+        # 0-based; before the first word lies NULL, and so does the only place of an empty array
         starts = F.filter(
-            F.sequence(F.lit(1), F.greatest(F.size(w), F.lit(1))),
-            lambda i: (F.size(w) > 0) & ((i == 1) | (F.get(w, i - 1) != F.get(w, i - 2))),
+            F.sequence(F.lit(0), F.greatest(F.size(w) - 1, F.lit(0))),
+            lambda i: ~F.get(w, i).eqNullSafe(F.get(w, i - 1)),
         )
 
         def counted(at: Column) -> Column:
             def one(i: Column, n: Column) -> Column:
-                ends = F.coalesce(F.get(at, n + 1), F.size(w) + 1)
-                return F.struct(F.get(w, i - 1).alias("term"), (ends - i).cast("bigint").alias("tf"))
+                ends = F.coalesce(F.get(at, n + 1), F.size(w))
+                return F.struct(F.get(w, i).alias("term"), (ends - i).cast("bigint").alias("tf"))
 
             return F.transform(at, one)
 
         # binding through a one-element array, so that neither the sort nor the starts are computed again per word
         return F.get(F.transform(F.array(starts), counted), F.lit(0))
 
-    return F.get(F.transform(F.array(F.array_sort(words)), runs), F.lit(0))
+    return F.get(F.transform(F.array(F.sort_array(words)), runs), F.lit(0))
 
 
 def postings(corpus: DataFrame, terms: list[str] | None = None) -> DataFrame:
@@ -189,6 +190,12 @@ def _gain(tf: Column, dl: Column, avg_dl: Column) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avg_dl))
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    path = scratch_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def search_index(
     index: EvidenceIndex, query: str, k: int = 5, filters: Filters | None = None
 ) -> DataFrame:
@@ -205,7 +212,7 @@ def search_index(
     row = stats.select(F.struct("n", "avg_dl").alias("s")).scalar()
     n_docs, avg_dl = row["n"], row["avg_dl"]
     hits = index.postings.filter(F.col("term").isin(terms))
-    hits = flt.apply(hits)
+    hits = _kept(flt.apply(hits))  # the question's words alone: statistics and ranking both read them, the index is read once
     frequency = hits.groupBy("term").agg(F.count("*").alias("df"))  # one row per term of the question
     gain = _idf(n_docs, F.col("df")) * _gain(F.col("tf"), F.col("dl"), avg_dl)
     scored = (
@@ -217,13 +224,13 @@ def search_index(
 
 
 def ranked(hits: DataFrame, df: dict[str, int], n_docs: int, avg_dl: float, k: int) -> DataFrame:
-    """Top ``k`` of postings, with the words' document frequencies and the collection's statistics given."""
+    """Top ``k`` (doc_id, score) of postings, with the words' document frequencies and the collection's statistics given."""
     idf = F.lit(None).cast("double")
     for term, n in df.items():
         idf = F.when(F.col("term") == term, _idf(F.lit(n_docs), F.lit(n))).otherwise(idf)
     gain = idf * _gain(F.col("tf"), F.col("dl"), F.lit(avg_dl))
-    scored = hits.groupBy("doc_id", *ATTRIBUTES).agg(F.round(F.sum(F.round(gain, 9).cast("decimal(18,9)")), 6).cast("double").alias("score"))
-    return scored.select("doc_id", "score", *ATTRIBUTES).orderBy(F.col("score").desc(), "doc_id").limit(k)
+    scored = hits.groupBy("doc_id").agg(F.round(F.sum(F.round(gain, 9).cast("decimal(18,9)")), 6).cast("double").alias("score"))
+    return scored.orderBy(F.col("score").desc(), "doc_id").limit(k)
 
 
 def search_corpus(corpus: DataFrame, query: str, k: int = 5, filters: Filters | None = None) -> DataFrame:
@@ -234,15 +241,12 @@ def search_corpus(corpus: DataFrame, query: str, k: int = 5, filters: Filters |
     ``search_index`` ranks.
     """
     terms = query_terms(query)
-    spark = corpus.sparkSession
     words = (filters or Filters()).apply(corpus).withColumn("_words", F.filter(tokens(F.col("content")), lambda t: t != ""))
     counts = words.select(
         "doc_id", *ATTRIBUTES, F.coalesce(F.size("_words"), F.lit(0)).alias("dl"),
         _folded(F.filter("_words", lambda t: t.isin(terms))).alias("hits"),
     )
-    path = scratch_dir(spark)
-    counts.write.parquet(path)
-    counted = spark.read.schema(counts.schema).parquet(path)
+    counted = _kept(counts)
     hits = counted.select("doc_id", *ATTRIBUTES, "dl", F.explode("hits").alias("_p")).select(
         F.col("_p.term").alias("term"), "doc_id", F.col("_p.tf").alias("tf"), "dl", *ATTRIBUTES
     )

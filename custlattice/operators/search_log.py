@@ -89,7 +89,9 @@ def _segment(root: str, level: int, documents: DataFrame, postings, dead: DataFr
 
 
 def _postings(documents: DataFrame) -> DataFrame:
-    return evidence.postings(documents).withColumn("range", F.pmod(F.xxhash64("doc_id"), F.lit(RANGES)).cast("int"))
+    """Narrow rows, since a text has hundreds of them that are sorted and written: attributes are the documents'."""
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(RANGES)).cast("int").alias("range")
+    return evidence.postings(documents).select("term", "doc_id", "tf", "dl", place)
 
 
 def refresh(spark: SparkSession, root: str, arrived: DataFrame) -> snapshots.Commit | None:
@@ -207,15 +209,18 @@ class SearchLog:
         """
         terms = evidence.query_terms(query)
         if filters is not None and filters != Filters() or self._table("blocks") is None:
-            docs, postings = self.documents, self.postings(terms)
+            docs, postings = self.documents, self.postings(terms)  # narrow postings meet the attributes by doc_id
             if docs is None or postings is None:
                 empty = self.spark.createDataFrame([], "doc_id string, score double, customer_id string, source_type string, sentiment string, moment_type string, event_date timestamp_ntz")
                 return empty, 0.0
-            return evidence.search_index(evidence.EvidenceIndex(postings.drop("segment", "range"), docs), query, k, filters), 1.0
+            docs = docs.select("doc_id", *ATTRIBUTES, "dl")
+            wanted = (filters or Filters()).apply(docs)
+            hits = postings.select("term", "doc_id", "tf", "dl").join(wanted.drop("dl"), "doc_id")
+            return evidence.search_index(evidence.EvidenceIndex(hits, docs), query, k, filters), 1.0
         n_docs, avg_dl = self.commit.value["docs"], self.commit.value["words"] / max(1, self.commit.value["docs"])
         df = {t: n for t, n in self._frequencies(terms).items() if n > 0}
         if not df:
-            return evidence.ranked(self.postings(terms).limit(0), df, n_docs, avg_dl, k), 0.0
+            return self._with(ATTRIBUTES, evidence.ranked(self.postings(terms).limit(0), df, n_docs, avg_dl, k)).select("doc_id", "score", *ATTRIBUTES), 0.0
         bounds = self._bounds(df, n_docs, avg_dl)
         total = sum(n for *_, n in bounds)
         first, read = 0, 0
@@ -228,6 +233,7 @@ class SearchLog:
         if more:
             rest = self._ranked(more, df, n_docs, avg_dl, k)
             found = found.unionByName(rest).orderBy(F.desc("score"), "doc_id").limit(k)
+        found = self._with(ATTRIBUTES, found).select("doc_id", "score", *ATTRIBUTES)
         return found.orderBy(F.desc("score"), "doc_id"), (read + sum(b[3] for b in more)) / total
 
     def _bounds(self, df: dict[str, int], n_docs: int, avg_dl: float) -> list[tuple]:
@@ -245,10 +251,14 @@ class SearchLog:
         hits = self.postings(list(df)).join(F.broadcast(wanted), ["segment", "range"], "left_semi")  # at most RANGES x segments rows
         return evidence.ranked(hits, df, n_docs, avg_dl, k)
 
-    def with_content(self, hits: DataFrame) -> DataFrame:
-        """The k ranked documents with their texts: files are sorted by doc_id, so the few ids prune what is read."""
+    def _with(self, columns: tuple, hits: DataFrame) -> DataFrame:
+        """The k ranked documents with columns of theirs: files are sorted by doc_id, so the few ids prune what is read."""
+        hits = _stage(hits)  # k rows, that are not ranked again for each use
         ids = [r.doc_id for r in hits.select("doc_id").collect()]  # k
-        return self.documents.filter(F.col("doc_id").isin(ids)).select("doc_id", "content").join(F.broadcast(hits), "doc_id")
+        return self.documents.filter(F.col("doc_id").isin(ids)).select("doc_id", *columns).join(F.broadcast(hits), "doc_id")
+
+    def with_content(self, hits: DataFrame) -> DataFrame:
+        return self._with(("content",), hits)
 
 
 def open_log(spark: SparkSession, root: str, number: int | None = None) -> SearchLog:

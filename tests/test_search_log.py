@@ -89,6 +89,19 @@ def test_bounds_skip_most_postings(spark, tmp_path):
     assert index.search("qq aa bb", 4)[1] < 0.5
 
 
+def test_a_question_makes_postings_once_and_stored_ones_are_narrow(spark, tmp_path):
+    live = {"D1": "aa bb aa", "D2": "bb  cc", "D3": "", "D4": None}
+    docs = frame(spark, [row(d, t) for d, t in live.items()]).drop("deleted")
+    found = evidence.search_index(evidence.build_index(docs), "aa bb")
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.select("doc_id", "score").collect() == evidence.search_corpus(docs, "aa bb").select("doc_id", "score").collect()
+    assert sorted((r.term, r.doc_id, r.tf, r.dl) for r in evidence.postings(docs).collect()) == [("aa", "D1", 2, 3), ("bb", "D1", 1, 3), ("bb", "D2", 1, 2), ("cc", "D2", 1, 2)]
+    search_log.refresh(spark, str(tmp_path), docs)
+    index = search_log.open_log(spark, str(tmp_path))
+    assert set(index.postings().columns) == {"term", "doc_id", "tf", "dl", "range", "segment"}
+    assert index.search("bb", 1)[0].columns == ["doc_id", "score", *evidence.ATTRIBUTES]
+
+
 def test_of_two_writers_one_is_refused(spark, tmp_path):
     root = str(tmp_path)
     first = snapshots.publish(spark, root, {"n": 0}, None)
