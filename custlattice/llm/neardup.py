@@ -36,6 +36,8 @@ PIECE_THRESHOLD = 2
 LONG_THRESHOLD = 92
 #: Members of an anchor compared by one task; an anchor with more is split into pairs of chunks.
 CHUNK = 8192
+#: Pairs of whole fingerprints compared at once.
+PAIRS = 1 << 16
 
 
 def fingerprint(text: bytes) -> int:
@@ -294,7 +296,8 @@ def _near_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = np.flatnonzero(members[group] > 1)
         name = np.zeros(len(starts), dtype=np.uint64)
         np.add.at(name, group[keep], mix(fp[keep].view(np.uint64)))
-        return pa.RecordBatch.from_arrays([pa.array(name[group[keep]].view(np.int64)), pa.array(fp[keep])], ["near", "fp"])
+        columns = [name[group[keep]].view(np.int64), members[group[keep]], fp[keep]]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["near", "size", "fp"])
 
     held: list[list[np.ndarray]] = []
     rows = 0
@@ -310,63 +313,92 @@ def _near_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield groups(*(np.concatenate(c) for c in zip(*held, strict=True)))
 
 
-def _alike(fp: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Stars of links among a group's fingerprints: all that pairs near in a piece and in the whole reach. A fingerprint that has been reached is only
-    compared with those that have not been, so a group of near copies costs little more than its size."""
-    us, vs, left = [], [], np.arange(len(fp))
-    pieces = bits.view(np.uint32).reshape(len(fp), PIECES)
-    while len(left):
-        root, left = left[0], left[1:]
-        front = [root]
-        while front and len(left):
-            one = front.pop()
-            rest = left[np.bitwise_count(bits[left] ^ bits[one]).sum(axis=1, dtype=np.int64) <= LONG_THRESHOLD]
-            near = rest[(np.bitwise_count(pieces[rest] ^ pieces[one]) <= PIECE_THRESHOLD).any(axis=1)]
-            if len(near):
-                us.append(fp[near])
-                vs.append(np.full(len(near), fp[root]))
-                left = left[~np.isin(left, near, assume_unique=True)]
-                front += near.tolist()
+def _alike(root: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stars of links among the roots of a group's fingerprints: all that pairs near in a piece and in the whole reach, where fingerprints of one root are
+    linked already. A root that has been reached is only compared with those that have not been, so a group of near copies costs little more than its
+    size, and gives a link less than it has roots."""
+    us, vs = [], []
+    pieces = bits.view(np.uint32).reshape(len(root), PIECES)
+    order = np.argsort(root, kind="stable")
+    names, first = np.unique(root[order], return_index=True)
+    members = np.split(order, first[1:])
+    at = np.empty(len(root), dtype=np.int64)  # the place of each fingerprint's root in names
+    at[order] = np.repeat(np.arange(len(names)), np.diff([*first, len(order)]))
+    reached = np.zeros(len(names), dtype=bool)
+    left = np.arange(len(root))
+    for start in range(len(names)):
+        if reached[start]:
+            continue
+        reached[start] = True
+        left = left[~reached[at[left]]]
+        front = members[start]
+        while len(front) and len(left):
+            some, front = np.split(front, [max(1, PAIRS // len(left))])
+            alike = np.bitwise_count(bits[some, None] ^ bits[None, left]).sum(axis=2, dtype=np.int64) <= LONG_THRESHOLD
+            one, other = np.nonzero(alike)
+            near = (np.bitwise_count(pieces[some[one]] ^ pieces[left[other]]) <= PIECE_THRESHOLD).any(axis=1)
+            new = np.unique(at[left[other[near]]])
+            if len(new):
+                us.append(names[new])
+                vs.append(np.full(len(new), names[start]))
+                reached[new] = True
+                left = left[~reached[at[left]]]
+                front = np.concatenate([front, *(members[i] for i in new)])
     none = np.zeros(0, dtype=np.int64)
     return np.concatenate([none, *us]), np.concatenate([none, *vs])
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Input (near, fp, bits) sorted by near: the links of each group."""
+    """Input (near, root, bits, asks) sorted by near: the links of each group's roots that ask for one."""
     name = None
-    prints: list[np.ndarray] = []
-    words: list[np.ndarray] = []
+    held: list[tuple[np.ndarray, ...]] = []
 
     def links() -> Iterator[pa.RecordBatch]:
-        u, v = _alike(np.concatenate(prints), np.concatenate(words))
-        if len(u):
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+        root, bits, asks = (np.concatenate(c) for c in zip(*held, strict=True))
+        u, v = _alike(root, bits)
+        asked = np.isin(u, root[asks])
+        asked[1:] |= (v[1:] != v[:-1]) & np.isin(v[1:], root[asks])  # the middle of a star has its first link
+        asked[:1] |= np.isin(v[:1], root[asks])
+        if asked.any():
+            yield pa.RecordBatch.from_arrays([pa.array(u[asked]), pa.array(v[asked])], ["u", "v"])
 
     for batch in batches:
-        near, fp = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-        bits = batch.column(2).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(fp), PIECES // 2)
+        near, root, asks = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3))
+        bits = batch.column(2).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(root), PIECES // 2)
         edges = [0, *(np.flatnonzero(near[1:] != near[:-1]) + 1).tolist(), len(near)] if len(near) else []
         for a, b in zip(edges[:-1], edges[1:], strict=True):
-            if prints and near[a] != name:
+            if held and near[a] != name:
                 yield from links()
-                prints, words = [], []
+                held = []
             name = near[a]
-            prints.append(fp[a:b])
-            words.append(bits[a:b])
-    if prints:
+            held.append((root[a:b], bits[a:b], asks[a:b]))
+    if held:
         yield from links()
 
 
+def _group_links(groups: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(u, v): links between the roots of each group of `groups` (near, root, fp, asks)."""
+    whole = groups.join(nodes.select("fp", "bits"), "fp").select("near", "root", "bits", "asks")
+    return whole.repartition("near").sortWithinPartitions("near").mapInArrow(_linked, "u bigint, v bigint")
+
+
 def similar_links(nodes: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """(u, v): links that give the same components as all pairs of fingerprints (columns fp, bits) that are near in a piece and differ in LONG_THRESHOLD bits
     or fewer.
 
-    Cells hold pieces alone and tell which fingerprints may be near; of these groups, equal ones once, whole fingerprints are compared.
+    Cells hold pieces alone and tell which fingerprints may be near; of these groups, equal ones once, whole fingerprints are compared. A member of
+    a large group of near copies is in many such groups, each of other members. So each fingerprint first asks for one link alone, in the largest
+    of its groups; then every group is compared by what these links leave apart.
     """
     cells = _cells(_replicated_pieces(nodes), chunk, "hot-pieces").repartition("cell").sortWithinPartitions("cell", "piece")
-    near = staged(cells.select("cell", "piece", "fp").mapInArrow(_near_pieces, "near bigint, fp bigint").distinct(), "near-pieces")
-    groups = near.join(nodes.select("fp", "bits"), "fp").select("near", "fp", "bits").repartition("near").sortWithinPartitions("near")
-    return groups.mapInArrow(_linked, "u bigint, v bigint")
+    near = staged(cells.select("cell", "piece", "fp").mapInArrow(_near_pieces, "near bigint, size bigint, fp bigint").distinct(), "near-pieces")
+    largest = staged(near.groupBy("fp").agg(F.max(F.struct("size", "near")).alias("of")).select("fp", F.col("of.near").alias("of")), "largest-groups")
+    asked = near.join(largest.select(F.col("of").alias("near")).distinct(), "near", "left_semi").join(largest, "fp")
+    first = components(_group_links(asked.select("near", F.col("fp").alias("root"), "fp", (F.col("near") == F.col("of")).alias("asks")), nodes))
+    rooted = near.join(first.withColumnRenamed("u", "fp"), "fp", "left").select("near", F.coalesce("root", "fp").alias("root"), "fp", F.lit(True).alias("asks"))
+    rooted = staged(rooted, "rooted-pieces")
+    apart = rooted.groupBy("near").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("near")
+    return first.withColumnRenamed("root", "v").unionByName(_group_links(rooted.join(apart, "near", "left_semi"), nodes))
 
 
 def _components(prints: DataFrame, links=near_links) -> DataFrame:

@@ -185,3 +185,19 @@ def test_similar_links_reach_what_all_pairs_reach(spark):
         roots = {i: i for i in range(len(prints))} | {r.u: r.root for r in found}
         assert [roots[i] for i in range(len(prints))] == label
     assert 1 < len(set(label)) < 200
+
+
+def test_a_large_group_of_near_copies_gives_few_links(spark):
+    rng = np.random.default_rng(6)
+    base, rows = rng.integers(0, 2**32, 16, dtype=np.uint64).astype(np.uint32), []
+    for i in range(500):
+        one = base.copy()
+        for bit in rng.choice(512, 20, replace=False):
+            one[bit // 32] ^= np.uint32(1 << int(bit) % 32)
+        rows.append((i, one.view(np.int64).tolist()))
+    nodes = spark.createDataFrame(rows, "fp bigint, bits array<bigint>").repartition(3)
+    for chunk in (64, 100_000):
+        links = neardup.similar_links(nodes, chunk).collect()
+        assert len(links) < 3 * len(rows)
+        found = components(spark.createDataFrame(links, "u bigint, v bigint")).collect()
+        assert {r.u: r.root for r in found} == {i: 0 for i in range(1, 500)}
