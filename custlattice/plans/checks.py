@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from custlattice import vocab
@@ -127,32 +127,28 @@ def check_evidence(corpus: DataFrame) -> DataFrame:
 def check_keys(tables: dict[str, DataFrame]) -> DataFrame:
     """Per table: repeated primary keys, and rows whose customer does not exist.
 
-    Every table is read once. A row gives two marks, its key within its table and its customer; one aggregation counts equal marks, and a second
-    adds up the problems. Customer marks of one table combine before the shuffle, so a hot customer is one row of it per task. A row
-    without a customer counts as one whose customer does not exist.
+    Every table is read once. A row gives two marks, its key and its customer, each within its table; a row of the customer table also makes its customer known
+    to every other table. One aggregation counts equal marks, in two numbers whatever the tables, and a second adds up the problems. Customer
+    marks of one table combine before the shuffle, so a hot customer is one row of it per task. A row without a customer counts as one whose customer
+    does not exist.
     """
     names = [name.upper() for name in tables]
-    marks = reduce(
-        DataFrame.unionByName,
-        [
-            df.select(
-                F.lit(name).alias("table_name"),
-                F.explode(
-                    F.array(
-                        F.struct(F.lit(name).alias("key_of"), F.col(KEYS[table]).cast("string").alias("value")),
-                        F.struct(F.lit(None).cast("string").alias("key_of"), F.col("customer_id").alias("value")),
-                    )
-                ).alias("mark"),
-            )
-            for name, (table, df) in zip(names, tables.items())
-        ],
-    )
-    rows_of = {n: F.count_if(F.col("table_name") == n).alias(f"rows_{n}") for n in names}
-    counted = marks.groupBy("mark").agg(*rows_of.values())
-    of, unknown = F.col("mark.key_of"), F.col("mark.value").isNull() | (F.col("rows_CUSTOMER") == 0)
+
+    def mark(of: int, value: Column, row: bool, known: bool) -> Column:
+        return F.struct(F.lit(of).alias("of"), value.alias("value"), F.lit(row).alias("row"), F.lit(known).alias("known"))
+
+    def marks_of(at: int, table: str, df: DataFrame) -> DataFrame:
+        customer, is_customer = F.col("customer_id").cast("string"), names[at] == "CUSTOMER"
+        others = [mark(len(names) + i, customer, False, True) for i in range(len(names)) if is_customer and i != at]
+        key = F.col(KEYS[table]).cast("string")
+        return df.select(F.explode(F.array(mark(at, key, True, False), mark(len(names) + at, customer, True, is_customer), *others)).alias("mark")).select("mark.*")
+
+    marks = reduce(DataFrame.unionByName, [marks_of(i, table, df) for i, (table, df) in enumerate(tables.items())])
+    counted = marks.groupBy("of", "value").agg(F.count_if("row").alias("rows"), F.count_if("known").alias("known"))
+    unknown = F.col("value").isNull() | (F.col("known") == 0)
     totals = counted.agg(
-        *[F.count_if((of == n) & (F.col(f"rows_{n}") > 1)).alias(f"repeated_{n}") for n in names],
-        *[F.coalesce(F.sum(F.when(of.isNull() & unknown, F.col(f"rows_{n}"))), F.lit(0)).alias(f"unknown_{n}") for n in names],
+        *[F.count_if((F.col("of") == i) & (F.col("rows") > 1)).alias(f"repeated_{n}") for i, n in enumerate(names)],
+        *[F.coalesce(F.sum(F.when((F.col("of") == len(names) + i) & unknown, F.col("rows"))), F.lit(0)).alias(f"unknown_{n}") for i, n in enumerate(names)],
     )
     problems = [(n, p, c) for n in names for p, c in (("duplicate_keys", f"repeated_{n}"), ("unknown_customers", f"unknown_{n}"))]
     lines = F.array(*[F.struct(F.lit(n).alias("table_name"), F.lit(p).alias("problem"), F.col(c).alias("value")) for n, p, c in problems])

@@ -192,6 +192,18 @@ def test_check_keys_reads_each_table_once(make):
     assert all(got[(n.upper(), "duplicate_keys")] == 1 for n in names[1:]) and got[("NOTE", "unknown_customers")] == 0
 
 
+def test_check_keys_counts_marks_in_two_numbers(make):
+    names = ("policy", "claim", "customer", "note", "customer_event")
+    t = {n: make(n, {KEYS[n]: "1", "customer_id": "A"}, {KEYS[n]: "1", "customer_id": "Y"}, {KEYS[n]: "2", "customer_id": "Z"}) for n in names if n != "customer"}
+    t["customer"] = make("customer", dict(customer_id="A"), dict(customer_id="A"))
+    df = checks.check_keys({n: t[n] for n in names})
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    counted = next(line for line in reversed(plan.splitlines()) if "Aggregate [" in line)
+    assert counted.count("count(") == 2  # for any number of tables
+    got = {(r["table_name"], r["problem"]): r["value"] for r in df.collect()}
+    assert got == {(n.upper(), "duplicate_keys"): 1 for n in names} | {(n.upper(), "unknown_customers"): 0 if n == "customer" else 2 for n in names}
+
+
 def test_check_keys_of_empty_tables(make):
     got = checks.check_keys({n: make(n) for n in ("customer", "claim")}).collect()
     assert [r["value"] for r in got] == [0, 0, 0, 0]
