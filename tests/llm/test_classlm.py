@@ -159,6 +159,13 @@ def test_more_words_more_classes_and_no_less_likelihood(spark, monkeypatch):
     assert np.array_equal(classlm.class_pairs(docs, made.classes).sum(), made.tokens)
 
 
+def test_number_of_classes_does_not_hang_on_the_last_digit(monkeypatch):
+    cbrt = np.cbrt
+    for towards in (0, np.inf):
+        monkeypatch.setattr(np, "cbrt", lambda x: np.nextafter(cbrt(x), towards))
+        assert [classlm.classes_for(v) for v in (48**3 - 1, 48**3, 48**3 + 1, 10**6, 10**6 + 1, 128**3)] == [48, 48, 49, 100, 101, 128]
+
+
 def test_beats_word_counts_on_held_out_texts(spark):
     docs = table(spark, SF, "documents")
     held = fold(F.col("doc_id"), 5) == 1
