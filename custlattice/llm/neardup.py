@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from custlattice.llm.components import components
@@ -34,6 +34,8 @@ PIECES = 16
 WORDS = 5
 PIECE_THRESHOLD = 2
 LONG_THRESHOLD = 92
+#: Steps in which groups of near pieces that share pieces become one.
+MERGES = 3
 #: Members of an anchor compared by one task; an anchor with more is split into pairs of chunks.
 CHUNK = 8192
 #: Pairs of whole fingerprints compared at once.
@@ -188,8 +190,8 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from links(np.concatenate(keys), np.concatenate(prints))
 
 
-def _cells(replicated: DataFrame, chunk: int, name: str) -> DataFrame:
-    """replicated (anchor, fp, others) with `cell` for `anchor`.
+def _cells(replicated: DataFrame, chunk: int, name: str, member: str = "fp") -> DataFrame:
+    """replicated (anchor, member, others) with `cell` for `anchor`.
 
     An anchor with more than `chunk` members is split: each member goes to the cells of its own chunk and every other chunk,
     so that every pair still meets and no task holds more than two chunks of one anchor.
@@ -199,7 +201,7 @@ def _cells(replicated: DataFrame, chunk: int, name: str) -> DataFrame:
         .select("anchor", F.ceil(F.col("count") / chunk).cast("int").alias("parts")),
         name,
     )
-    own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
+    own = F.pmod(F.xxhash64(member), F.col("parts")).cast("int")
     cells = F.when(F.col("parts").isNull(), F.array(F.xxhash64("anchor"))).otherwise(
         F.transform(
             F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1),
@@ -248,39 +250,46 @@ def long_fingerprints(docs: DataFrame) -> DataFrame:
     return rows.withColumn("fp", F.xxhash64("bits"))
 
 
-def _replicated_pieces(nodes: DataFrame) -> DataFrame:
-    """(anchor, piece, fp): each piece of each fingerprint at all anchors near it."""
+def _pieces(nodes: DataFrame) -> DataFrame:
+    """(key, fp): a row for each piece of each fingerprint; key is the piece's number (from bit 32) and its 32 bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = batch.column(1).flatten().to_numpy(zero_copy_only=False).view(np.uint32).reshape(batch.num_rows, PIECES)
+            key = bits.astype(np.int64) | (np.arange(PIECES, dtype=np.int64) << 32)
+            fp = batch.column(0).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.repeat(fp, PIECES))], ["key", "fp"])
+
+    return nodes.select("fp", "bits").mapInArrow(run, "key bigint, fp bigint")
+
+
+def _replicated_pieces(values: DataFrame) -> DataFrame:
+    """(anchor, key, label): each piece of `values` (key, label) at all anchors near it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = AnchorCode(COVERING_RADIUS + (PIECE_THRESHOLD + 1) // 2)
         for batch in batches:
             for i in range(0, batch.num_rows, 4096):
-                fp = batch.column(0).slice(i, 4096)
-                bits = batch.column(1).slice(i, 4096).flatten().to_numpy(zero_copy_only=False).view(np.uint32).reshape(len(fp), PIECES)
-                for piece in range(PIECES):
-                    x = np.ascontiguousarray(bits[:, piece])
-                    row, anchor = code.anchors(x)
-                    key = anchor.astype(np.int64) | (piece << 32)
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(x[row].view(np.int32)), fp.take(pa.array(row))], ["anchor", "piece", "fp"])
+                key, label = (batch.column(c).slice(i, 4096).to_numpy(zero_copy_only=False) for c in (0, 1))
+                row, anchor = code.anchors(key.astype(np.uint32))
+                columns = [anchor.astype(np.int64) | (key[row] >> 32 << 32), key[row], label[row]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["anchor", "key", "label"])
 
-    return nodes.select("fp", "bits").mapInArrow(run, "anchor bigint, piece int, fp bigint")
+    return values.select("key", "label").mapInArrow(run, "anchor bigint, key bigint, label bigint")
 
 
 def _near_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Input sorted by (cell, piece). Each cell's fingerprints in groups that near pieces reach; a group is named by its members, so that equal groups of
-    several cells become one. Fingerprints that are near no other are left out."""
-
-    def groups(key: np.ndarray, piece: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-        new = np.ones(len(key), dtype=bool)
-        new[1:] = (key[1:] != key[:-1]) | (piece[1:] != piece[:-1])
-        starts = np.flatnonzero(new)  # equal pieces of a cell are compared as one
-        cell, x, node = key[starts], piece[starts].view(np.uint32), np.cumsum(new) - 1
-        label, shift, at = np.arange(len(starts)), 1, np.arange(len(starts))
+    """Input (cell, key, label) sorted by (cell, key). Each cell's pieces in groups that near pieces of different labels reach, with each group's smallest
+    piece; a group is named by its members, so that equal groups of several cells become one. Pieces that are near no piece of another label are left out."""
+
+    def groups(cell: np.ndarray, key: np.ndarray, label: np.ndarray) -> pa.RecordBatch:
+        x = key.astype(np.uint32)
+        group, shift, at = np.arange(len(key)), 1, np.arange(len(key))
         us, vs, held = [], [], 0
         while True:
-            at = at[at < len(starts) - shift]
+            at = at[at < len(key) - shift]
             at = at[cell[at] == cell[at + shift]]
-            near = at[np.bitwise_count(x[at] ^ x[at + shift]) <= PIECE_THRESHOLD]
+            near = at[(np.bitwise_count(x[at] ^ x[at + shift]) <= PIECE_THRESHOLD) & (label[at] != label[at + shift])]
             us.append(near)
             vs.append(near + shift)
             held += len(near)
@@ -290,14 +299,12 @@ def _near_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if not len(at):
                     break
             shift += 1
-        label[nodes] = low
-        group = label[node]
-        members = np.bincount(group, minlength=len(starts))
-        keep = np.flatnonzero(members[group] > 1)
-        name = np.zeros(len(starts), dtype=np.uint64)
-        np.add.at(name, group[keep], mix(fp[keep].view(np.uint64)))
-        columns = [name[group[keep]].view(np.int64), members[group[keep]], fp[keep]]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["near", "size", "fp"])
+        group[nodes] = low
+        keep = np.flatnonzero(np.bincount(group, minlength=len(key))[group] > 1)
+        name = np.zeros(len(key), dtype=np.uint64)
+        np.add.at(name, group[keep], mix(key[keep].view(np.uint64)))
+        columns = [name[group[keep]].view(np.int64), key[group[keep]], key[keep]]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["near", "low", "key"])
 
     held: list[list[np.ndarray]] = []
     rows = 0
@@ -349,21 +356,17 @@ def _alike(root: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Input (near, root, bits, asks) sorted by near: the links of each group's roots that ask for one."""
+    """Input (near, root, bits) sorted by near: the links of each group's roots."""
     name = None
     held: list[tuple[np.ndarray, ...]] = []
 
     def links() -> Iterator[pa.RecordBatch]:
-        root, bits, asks = (np.concatenate(c) for c in zip(*held, strict=True))
-        u, v = _alike(root, bits)
-        asked = np.isin(u, root[asks])
-        asked[1:] |= (v[1:] != v[:-1]) & np.isin(v[1:], root[asks])  # the middle of a star has its first link
-        asked[:1] |= np.isin(v[:1], root[asks])
-        if asked.any():
-            yield pa.RecordBatch.from_arrays([pa.array(u[asked]), pa.array(v[asked])], ["u", "v"])
+        u, v = _alike(*(np.concatenate(c) for c in zip(*held, strict=True)))
+        if len(u):
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
     for batch in batches:
-        near, root, asks = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3))
+        near, root = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
         bits = batch.column(2).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(root), PIECES // 2)
         edges = [0, *(np.flatnonzero(near[1:] != near[:-1]) + 1).tolist(), len(near)] if len(near) else []
         for a, b in zip(edges[:-1], edges[1:], strict=True):
@@ -371,14 +374,14 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield from links()
                 held = []
             name = near[a]
-            held.append((root[a:b], bits[a:b], asks[a:b]))
+            held.append((root[a:b], bits[a:b]))
     if held:
         yield from links()
 
 
 def _group_links(groups: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(u, v): links between the roots of each group of `groups` (near, root, fp, asks)."""
-    whole = groups.join(nodes.select("fp", "bits"), "fp").select("near", "root", "bits", "asks")
+    """(u, v): links between the roots of each group of `groups` (near, root, fp)."""
+    whole = groups.join(nodes.select("fp", "bits"), "fp").select("near", "root", "bits")
     return whole.repartition("near").sortWithinPartitions("near").mapInArrow(_linked, "u bigint, v bigint")
 
 
@@ -386,19 +389,28 @@ def similar_links(nodes: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """(u, v): links that give the same components as all pairs of fingerprints (columns fp, bits) that are near in a piece and differ in LONG_THRESHOLD bits
     or fewer.
 
-    Cells hold pieces alone and tell which fingerprints may be near; of these groups, equal ones once, whole fingerprints are compared. A member of
-    a large group of near copies is in many such groups, each of other members. So each fingerprint first asks for one link alone, in the largest
-    of its groups; then every group is compared by what these links leave apart.
+    First the fingerprints that share a piece are compared, which joins nearly all of a large group of near copies. Then cells hold each distinct piece once
+    and tell which are near; a piece carries the root of its fingerprints, and two pieces of one root are settled. A cell's group is part of a larger one,
+    named by the smallest piece that is reached in MERGES steps, and whole fingerprints are compared there. So a fingerprint comes about once for each of
+    its pieces, not once for each of their cells. A larger group of more than `chunk` fingerprints is compared by its cells' groups instead.
     """
-    cells = _cells(_replicated_pieces(nodes), chunk, "hot-pieces").repartition("cell").sortWithinPartitions("cell", "piece")
-    near = staged(cells.select("cell", "piece", "fp").mapInArrow(_near_pieces, "near bigint, size bigint, fp bigint").distinct(), "near-pieces")
-    largest = staged(near.groupBy("fp").agg(F.max(F.struct("size", "near")).alias("of")).select("fp", F.col("of.near").alias("of")), "largest-groups")
-    asked = near.join(largest.select(F.col("of").alias("near")).distinct(), "near", "left_semi").join(largest, "fp")
-    first = components(_group_links(asked.select("near", F.col("fp").alias("root"), "fp", (F.col("near") == F.col("of")).alias("asks")), nodes))
-    rooted = near.join(first.withColumnRenamed("u", "fp"), "fp", "left").select("near", F.coalesce("root", "fp").alias("root"), "fp", F.lit(True).alias("asks"))
-    rooted = staged(rooted, "rooted-pieces")
-    apart = rooted.groupBy("near").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("near")
-    return first.withColumnRenamed("root", "v").unionByName(_group_links(rooted.join(apart, "near", "left_semi"), nodes))
+    pieces = staged(_pieces(nodes), "pieces")
+    shared = pieces.join(pieces.groupBy("key").count().where("count > 1").select("key"), "key", "left_semi")
+    first = components(_group_links(shared.select(F.col("key").alias("near"), F.col("fp").alias("root"), "fp"), nodes))
+    rooted = pieces.join(first.withColumnRenamed("u", "fp"), "fp", "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
+    label = F.when(F.min("root") == F.max("root"), F.min("root")).otherwise(F.xxhash64("key"))  # fingerprints of several roots: like no other piece
+    cells = _cells(_replicated_pieces(rooted.groupBy("key").agg(label.alias("label"))), chunk, "hot-pieces", "key")
+    cells = cells.select("cell", "key", "label").repartition("cell").sortWithinPartitions("cell", "key")
+    near = cells.mapInArrow(_near_pieces, "near bigint, low bigint, key bigint").distinct()
+    for _ in range(MERGES):
+        for of in ("key", "near"):
+            near = near.withColumn("low", F.min("low").over(Window.partitionBy(of)))
+    near = staged(near, "near-pieces")
+    members = staged(rooted.join(near.select("low", "key").distinct(), "key"), "near-members")
+    sized = members.join(members.groupBy("low").count(), "low")
+    small = sized.where(F.col("count") <= chunk).select(F.col("low").alias("near"), "root", "fp")
+    large = sized.where(F.col("count") > chunk).join(near, ["low", "key"]).select("near", "root", "fp")
+    return first.withColumnRenamed("root", "v").unionByName(_group_links(small.unionByName(large), nodes))
 
 
 def _components(prints: DataFrame, links=near_links) -> DataFrame:

@@ -201,3 +201,24 @@ def test_a_large_group_of_near_copies_gives_few_links(spark):
         assert len(links) < 3 * len(rows)
         found = components(spark.createDataFrame(links, "u bigint, v bigint")).collect()
         assert {r.u: r.root for r in found} == {i: 0 for i in range(1, 500)}
+
+
+def test_fingerprints_near_in_pieces_alone_are_compared_once_a_piece(spark, monkeypatch):
+    compared, sent = [], neardup._group_links
+
+    def counted(groups, nodes):
+        compared.append(groups.count())
+        return sent(groups, nodes)
+
+    monkeypatch.setattr(neardup, "_group_links", counted)
+    for n in (300, 1200):
+        rng = np.random.default_rng(7)
+        base, rows = rng.integers(0, 2**32, 16, dtype=np.uint64).astype(np.uint32), []
+        for i in range(n):
+            one = base.copy()
+            for bit in rng.choice(512, 70, replace=False):  # two differ in about 121 bits, and often in two or fewer of a piece
+                one[bit // 32] ^= np.uint32(1 << int(bit) % 32)
+            rows.append((i, one.view(np.int64).tolist()))
+        compared.clear()
+        neardup.similar_links(spark.createDataFrame(rows, "fp bigint, bits array<bigint>").repartition(3)).collect()
+        assert n < sum(compared) <= 2 * neardup.PIECES * n
