@@ -407,9 +407,9 @@ def similar_links(nodes: DataFrame, chunk: int = CHUNK) -> DataFrame:
             near = near.withColumn("low", F.min("low").over(Window.partitionBy(of)))
     near = staged(near, "near-pieces")
     members = staged(rooted.join(near.select("low", "key").distinct(), "key"), "near-members")
-    sized = members.join(members.groupBy("low").count(), "low")
-    small = sized.where(F.col("count") <= chunk).select(F.col("low").alias("near"), "root", "fp")
-    large = sized.where(F.col("count") > chunk).join(near, ["low", "key"]).select("near", "root", "fp")
+    over = staged(members.groupBy("low").count().where(F.col("count") > chunk).select("low"), "large-groups")
+    small = members.join(over, "low", "left_anti").select(F.col("low").alias("near"), "root", "fp")
+    large = members.join(over, "low", "left_semi").join(near, ["low", "key"]).select("near", "root", "fp")
     return first.withColumnRenamed("root", "v").unionByName(_group_links(small.unionByName(large), nodes))
 
 
